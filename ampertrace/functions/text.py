@@ -51,3 +51,8 @@ def scenario_hint(c: Column | str) -> Column:
         .when(text.contains("0-100") | text.contains("charging 0 -100") | text.contains("wlc"), F.lit("charging"))
         .otherwise(text)
     )
+
+
+def position_number(c: Column | str) -> Column:
+    """Number of a position label such as ``P 3``."""
+    return F.nullif(F.regexp_extract(as_column(c), r"(?i)\bP\s*(\d+)\b", 1), F.lit("")).try_cast("int")

@@ -101,76 +101,6 @@ def segment(
     )
 
 
-def with_previous(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    context: dict[str, Column],
-    *,
-    name: str = "prev",
-    slot_seconds: int = SLOT_SECONDS,
-) -> DataFrame:
-    """``lag`` of a struct of expressions over an unbounded key."""
-    inside, across = _windows(key, order)
-    local = (
-        df.withColumn("_slot", time_slot(order[0], slot_seconds))
-        .withColumn("_ctx", F.struct(*[c.alias(n) for n, c in context.items()]))
-        .withColumn("_prev", F.lag("_ctx").over(inside))
-    )
-    borders = (
-        local.groupBy(key, "_slot")
-        .agg(F.max_by("_ctx", F.struct(*order)).alias("_last"))
-        .withColumn("_before", F.lag("_last").over(across))
-        .select(key, "_slot", "_before")
-    )
-    return (
-        local.join(borders, [key, "_slot"])
-        .withColumn(name, F.coalesce("_prev", "_before"))
-        .drop("_slot", "_ctx", "_prev", "_before")
-    )
-
-
-def with_last_seen(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    values: dict[str, Column],
-    *,
-    include_current: bool = False,
-    slot_seconds: int = SLOT_SECONDS,
-) -> DataFrame:
-    """Latest non-null value of each expression before the row (or up to it), over an unbounded key."""
-    inside, across = _windows(key, order)
-    frame = inside.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    position = F.struct(*order)
-    local = df.withColumn("_slot", time_slot(order[0], slot_seconds))
-    local = local.withColumns({f"_v_{n}": c for n, c in values.items()})
-    borders = (
-        local.groupBy(key, "_slot")
-        .agg(
-            *[
-                F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), position)).alias(f"_l_{n}")
-                for n in values
-            ]
-        )
-        .select(
-            key,
-            "_slot",
-            *[
-                F.last(f"_l_{n}", ignorenulls=True)
-                .over(across.rowsBetween(Window.unboundedPreceding, -1))
-                .alias(f"_b_{n}")
-                for n in values
-            ],
-        )
-    )
-    local = local.withColumns({f"_s_{n}": F.last(f"_v_{n}", ignorenulls=True).over(frame) for n in values})
-    out = local.join(borders, [key, "_slot"]).withColumns(
-        {n: F.coalesce(f"_s_{n}", f"_b_{n}") for n in values}
-    )
-    return out.drop("_slot", *[f"{p}{n}" for n in values for p in ("_v_", "_l_", "_b_", "_s_")])
-
-
 def with_running(
     df: DataFrame,
     key: str,
@@ -231,3 +161,53 @@ def with_next(
         .withColumn(name, F.coalesce("_next", "_after"))
         .drop("_slot", "_ctx", "_next", "_after")
     )
+
+
+def with_history(
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    *,
+    previous: dict[str, Column] | None = None,
+    seen_before: dict[str, Column] | None = None,
+    seen_upto: dict[str, Column] | None = None,
+    slot_seconds: int = SLOT_SECONDS,
+) -> DataFrame:
+    """``lag`` struct ``prev`` and latest non-null values (before, or up to, the row) in one pass."""
+    inside, across = _windows(key, order)
+    position = F.struct(*order)
+    seen = {**(seen_before or {}), **(seen_upto or {})}
+    local = df.withColumn("_slot", time_slot(order[0], slot_seconds)).withColumns({f"_v_{n}": c for n, c in seen.items()})
+    aggregates = [
+        F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), position)).alias(f"_l_{n}") for n in seen
+    ]
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in seen]
+    if previous:
+        local = local.withColumn("_ctx", F.struct(*[c.alias(n) for n, c in previous.items()]))
+        aggregates.append(F.max_by("_ctx", position).alias("_last"))
+        carried.append(F.lag("_last").over(across).alias("_before"))
+    borders = local.groupBy(key, "_slot").agg(*aggregates).select(key, "_slot", *carried)
+    filled = {
+        f"_s_{n}": F.last(f"_v_{n}", ignorenulls=True).over(
+            inside.rowsBetween(Window.unboundedPreceding, 0 if n in (seen_upto or {}) else -1)
+        )
+        for n in seen
+    }
+    if previous:
+        filled["_prev"] = F.lag("_ctx").over(inside)
+    out = local.withColumns(filled).join(borders, [key, "_slot"])
+    final = {n: F.coalesce(f"_s_{n}", f"_b_{n}") for n in seen}
+    if previous:
+        final["prev"] = F.coalesce("_prev", "_before")
+    out = out.withColumns(final)
+    return out.drop(
+        "_slot", "_ctx", "_prev", "_before", *[f"{p}{n}" for n in seen for p in ("_v_", "_b_", "_s_")]
+    )
+
+
+def attach_facts(df: DataFrame, facts: DataFrame, key: str, ts: str, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """Join per-key facts to ordered rows through (key, slot), so that a huge key is not one join group."""
+    slotted = df.withColumn("_slot", time_slot(ts, slot_seconds))
+    spread = slotted.select(key, "_slot").distinct().join(facts, key)
+    return slotted.join(spread, [key, "_slot"]).drop("_slot")

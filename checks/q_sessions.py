@@ -177,17 +177,17 @@ SESSION_EXACT = (
     "dual_charging_label", "start_ts", "end_ts", "max_temperature", "first_status", "last_status",
     "interruption_count", "eff_drop_count", "rx_drop_count", "tx_drop_count",
 )
-SESSION_FLOATS = ("avg_eff", "avg_rx", "avg_tx", "median_gap_seconds")
+SESSION_FLOATS = ("avg_eff", "avg_rx", "avg_tx", "median_gap_seconds")  # a median of microseconds has at most 7 digits
 
 
 @query(
     "d1_d4_session_rollup",
-    f"with {SESSIONS_SQL} select {rounded_sql(SESSION_EXACT, SESSION_FLOATS)}, "
+    f"with {SESSIONS_SQL} select {rounded_sql(SESSION_EXACT, SESSION_FLOATS, 7)}, "
     "array_to_string(status_codes, ',') as status_codes from ss",
 )
 def _(spark, sf):
     df = built(spark, sf)
-    return rounded(df, (*SESSION_EXACT, "status_codes"), SESSION_FLOATS).withColumn(
+    return rounded(df, (*SESSION_EXACT, "status_codes"), SESSION_FLOATS, 7).withColumn(
         "status_codes", F.array_join("status_codes", ",")
     )
 
