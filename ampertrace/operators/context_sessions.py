@@ -76,8 +76,8 @@ def sessionize_context(events: DataFrame, gap_seconds: int = SESSION_BREAK_SECON
     """Adds ``session_key``, ``session_start``, ``is_start``, ``status``, ``prev`` and ``prev_status``.
 
     ``prev`` holds time and metrics of the previous row, ``prev_status`` the latest real status before
-    the row; both are NULL where they lie outside the session. The keyed history is checkpointed once,
-    because both the candidate search and the final pass read it.
+    the row; both are NULL where they lie outside the session. The keyed history and the result are
+    written once, because several later steps read them.
     """
     markers = context_markers()
     place = F.struct(*ORDER)
@@ -116,7 +116,7 @@ def sessionize_context(events: DataFrame, gap_seconds: int = SESSION_BREAK_SECON
         },
     )
     starts = F.coalesce(F.col("_starts"), F.lit(False))
-    return out.withColumns(
+    sessions = out.withColumns(
         {
             "session_key": F.md5(F.concat_ws("|", *DEVICE_KEYS, F.col("_start.raw_id").cast("string"))),
             "session_start": F.col("_start.event_ts"),
@@ -125,3 +125,4 @@ def sessionize_context(events: DataFrame, gap_seconds: int = SESSION_BREAK_SECON
             "prev_status": F.when(F.col("_real.place") >= F.col("_start"), F.col("_real.status")),
         }
     ).drop("_device", "_gap", "_reach", "_starts", "_start", "_real")
+    return cut_lineage(sessions)

@@ -11,6 +11,7 @@ from ampertrace.operators.context_sessions import METRICS
 from ampertrace.operators.ordered import seconds_between
 from ampertrace.operators.sessions import DEVICE_KEYS, ORDER, drop_flag
 from ampertrace.operators.spans import interruption_severity, transition_severity
+from ampertrace.session import cut_lineage
 
 TEXT_FIELDS = (
     "software_version", "source_csv_file", "fod_object", "card_position", "sample_label", "manual_result", "defect_id",
@@ -177,7 +178,7 @@ def finalize(rows: DataFrame) -> DataFrame:
     merged = {n: F.col(n) | F.coalesce(c, F.lit(False)) for n, c in text_evidence(late).items()}
     minutes = lambda a, b: F.greatest(seconds_between(F.col(b), F.col(a)) / 60.0, F.lit(0.0))
     codes = F.filter(F.transform("status_stats", lambda s: s["status"]), lambda c: c != "N/A")
-    return out.withColumns(
+    sessions = out.withColumns(
         {
             **merged,
             **{f: F.coalesce(F.col(f), F.lit("")) for f in TEXT_FIELDS},
@@ -189,6 +190,7 @@ def finalize(rows: DataFrame) -> DataFrame:
             & (F.col("metric_sample_count") != F.col("sample_count")),
         }
     ).drop("_metric_start", "_metric_end", "_d0", "_d1", "_d2")
+    return cut_lineage(sessions)
 
 
 def annotate_project(sessions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ampertrace.functions.text import blank_to_null, strip
 from ampertrace.operators.ordered import attach_facts
 from ampertrace.operators.verdicts import overlaps, within
+from ampertrace.session import cut_lineage
 
 # Status sets of the rules. All project profiles use the same sets today.
 CHARGING_FAILURE = ("0", "1", "4", "6", "8", "9", "13", "14", "17")
@@ -240,7 +241,7 @@ def assess(sessions: DataFrame, profile_table: DataFrame | None = None) -> DataF
         )
     )
     out = staged.withColumns({"verdict": verdict, "severity_score": score, "reasons": reasons, "is_repeatable": is_repeatable()})
-    return out.drop("_scenario", "_silent", "_rule", "_moved", "_suspects")
+    return cut_lineage(out.drop("_scenario", "_silent", "_rule", "_moved", "_suspects"))
 
 
 def problem_time(assessed: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ampertrace.operators.ordered import (
     attach_facts, group_key, micros, seconds_between, segment, with_history, with_next, with_running,
 )
 from ampertrace.operators.sessions import ORDER
+from ampertrace.session import cut_lineage
 
 # Change thresholds per metric, and the level below which a rise is only start-up.
 ABSOLUTE_WARNING = {"eff": 5.0, "rx": 0.4, "tx": 0.4, "rpp": 0.2, "current_a": 0.03, "voltage_v": 0.15}
@@ -55,7 +56,7 @@ def with_metric_rows(events: DataFrame) -> DataFrame:
     before = F.when(F.col("completed_ts").isNotNull(), F.col("event_ts") < F.col("completed_ts")).otherwise(
         ~F.col("only_final")
     )
-    return rows.withColumn("is_metric", before)
+    return cut_lineage(rows.withColumn("is_metric", before))
 
 
 def metric_rows(events: DataFrame) -> DataFrame:
@@ -165,12 +166,13 @@ def status_intervals(events: DataFrame) -> DataFrame:
         lambda row, previous: row["status"] != previous["status"],
         seq="run",
     )
-    gap = F.when(F.col("prev").isNotNull(), seconds_between(F.col("event_ts"), F.col("prev.event_ts")))
-    ends = runs.groupBy("session_key").agg(
-        F.max("event_ts").alias("_last_ts"), F.percentile(F.when(gap > 0, gap), 0.5).alias("_gap")
+    pieces = cut_lineage(
+        runs.groupBy("session_key", "run").agg(
+            F.min("status").alias("status"), F.min("event_ts").alias("start_time"), F.count("*").alias("sample_count")
+        )
     )
-    pieces = runs.groupBy("session_key", "run").agg(
-        F.min("status").alias("status"), F.min("event_ts").alias("start_time"), F.count("*").alias("sample_count")
+    ends = completion_facts(events).select(
+        "session_key", F.col("session_end").alias("_last_ts"), F.col("median_gap").alias("_gap")
     )
     linked = with_next(pieces, "session_key", ("start_time", "run"), {"start_time": F.col("start_time")})
     linked = attach_facts(linked, ends, "session_key", "start_time")
@@ -217,6 +219,7 @@ def merge_spans(annotations: DataFrame) -> DataFrame:
         .groupBy("session_key", "start_time", "end_time")
         .agg(F.max(critical).alias("_critical"), F.count("*").alias("_n"), F.max("median_gap").alias("_gap"))
     )
+    spans = cut_lineage(spans)
     order = ("start_time", "end_time")
     reached = with_running(
         spans, "session_key", order, {"_reached": ("max", F.col("end_time"))}, include_current=False

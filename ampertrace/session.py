@@ -1,9 +1,9 @@
-"""Session settings the operators rely on."""
+"""Session settings and intermediate tables."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,17 +16,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; local runs without it get a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="ampertrace-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the cluster's shared folder, so that lost executors do not lose the result.
+    """Write the rows to the shared folder and read them back.
 
-    ``spark.checkpoint.dir`` comes from the cluster. Only where it is unset (tests, local runs)
-    a temporary folder is used.
+    The result is computed once, survives lost executors, and later steps read only the columns they
+    need. ``checkpoint()`` would compute the rows twice and keep them as opaque rows.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or os.environ.get("SPARK_CHECKPOINT_DIR")
-        if shared is None:
-            shared = tempfile.mkdtemp(prefix="ampertrace-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/ampertrace-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

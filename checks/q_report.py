@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ampertrace.operators import context_sessions, sessions, spans
+from ampertrace.sources.telemetry import ingest_delay
 from checks import inputs
 from checks.q_sessions import rounded, rounded_sql  # noqa: F401
 from checks.registry import query
@@ -50,7 +51,8 @@ RECURSIVE = f"with recursive {SESSION_SQL}"
 
 
 def events(spark, sf):
-    return context_sessions.sessionize_context(inputs.processed(spark, sf))
+    rows = inputs.processed(spark, sf).withColumn("ingest_delay_seconds", ingest_delay())
+    return context_sessions.sessionize_context(rows)
 
 
 @query("e2_context_sessions", f"{RECURSIVE} select raw_id, session_key, is_start, prev_ts, prev_status from ev")
@@ -221,6 +223,7 @@ base as (select session_key, phone, project_number, device_name, charger_name, p
   max(case when dual_charging_label = 'dual' then 'true' end) as dual_charging from mt group by all),
 ses as (select base.*, coalesce(d1.software_version,'') as software_version, coalesce(d2.source_csv_file,'') as source_csv_file, coalesce(d3.fod_object,'') as fod_object,
   coalesce(d4.sample_label,'') as sample_label, coalesce(d5.manual_result,'') as manual_result, coalesce(d6.defect_id,'') as defect_id,
+  (epoch_us(end_ts) - epoch_us(start_ts)) / 1000000.0 as duration_seconds, (epoch_us(me) - epoch_us(ms)) / 1000000.0 as metric_duration_seconds,
   greatest((epoch_us(end_ts) - epoch_us(start_ts)) / 60000000.0, 0) as duration_minutes,
   case when metric_sample_count > 0 then greatest((epoch_us(me) - epoch_us(ms)) / 60000000.0, 0) end as metric_duration_minutes,
   completed_charge_ts is not null and metric_sample_count <> sample_count as metrics_trimmed_at_full_charge
@@ -237,8 +240,8 @@ FINAL_EXACT = (
     "sample_label", "manual_result", "defect_id", "dual_charging", "metrics_trimmed_at_full_charge",
 )
 FINAL_FLOATS = (
-    "avg_eff", "avg_rx", "avg_tx", "avg_temperature", "max_gap_seconds", "median_ingest_delay", "duration_minutes",
-    "metric_duration_minutes",
+    "avg_eff", "avg_rx", "avg_tx", "avg_temperature", "max_gap_seconds", "median_ingest_delay", "duration_seconds",
+    "metric_duration_seconds",
 )
 
 
@@ -250,11 +253,13 @@ def report_sessions_of(rows):
 
 @query(
     "j12_report_sessions",
-    f"{RECURSIVE}, {FINAL_SQL} select {rounded_sql(FINAL_EXACT, FINAL_FLOATS, 7)}, array_to_string(status_codes, ',') as status_codes from ses",
+    f"{RECURSIVE}, {FINAL_SQL} select {rounded_sql(FINAL_EXACT, FINAL_FLOATS, 6)}, array_to_string(status_codes, ',') as status_codes from ses",
 )
 def _(spark, sf):
-    df = report_sessions_of(events(spark, sf))
-    return rounded(df, (*FINAL_EXACT, "status_codes"), FINAL_FLOATS, 7).withColumn("status_codes", F.array_join("status_codes", ","))
+    df = report_sessions_of(events(spark, sf)).withColumns(
+        {n.replace("minutes", "seconds"): F.col(n) * 60 for n in ("duration_minutes", "metric_duration_minutes")}
+    )
+    return rounded(df, (*FINAL_EXACT, "status_codes"), FINAL_FLOATS, 6).withColumn("status_codes", F.array_join("status_codes", ","))
 
 
 @query(
