@@ -36,6 +36,11 @@ def time_slot(ts: Column | str, seconds: int = SLOT_SECONDS) -> Column:
     return F.floor(micros(ts) / F.lit(seconds * MICROS))
 
 
+def _slot_column(ts: str, slot: Column | None) -> Column:
+    """Hour of the timestamp, or the given column: any non-decreasing function of the order."""
+    return time_slot(ts) if slot is None else slot
+
+
 def _windows(key: str, order: Sequence[str]):
     inside = Window.partitionBy(key, "_slot").orderBy(*order)
     across = Window.partitionBy(key).orderBy("_slot")
@@ -50,16 +55,16 @@ def segment(
     starts: Callable[[Column, Column], Column],
     *,
     seq: str = "seq",
-    slot_seconds: int = SLOT_SECONDS,
+    slot: Column | None = None,
 ) -> DataFrame:
     """Number the runs of each key: a row opens a run when it is the first or ``starts(row, previous)``.
 
     Adds ``seq`` (1-based), ``is_start`` and ``prev`` (the previous row's context struct, NULL for the
-    first row of a key). ``order[0]`` must be the timestamp.
+    first row of a key). ``order[0]`` is the timestamp unless ``slot`` gives the slots.
     """
     inside, across = _windows(key, order)
     local = (
-        df.withColumn("_slot", time_slot(order[0], slot_seconds))
+        df.withColumn("_slot", _slot_column(order[0], slot))
         .withColumn("_ctx", F.struct(*[c.alias(n) for n, c in context.items()]))
         .withColumn("_prev", F.lag("_ctx").over(inside))
         .withColumn(
@@ -108,13 +113,13 @@ def with_running(
     values: dict[str, tuple[str, Column]],
     *,
     include_current: bool = True,
-    slot_seconds: int = SLOT_SECONDS,
+    slot: Column | None = None,
 ) -> DataFrame:
     """Running ``sum`` / ``max`` / ``min`` of expressions over an unbounded key."""
     inside, across = _windows(key, order)
     frame = inside.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     apply = {"sum": F.sum, "max": F.max, "min": F.min}
-    local = df.withColumn("_slot", time_slot(order[0], slot_seconds))
+    local = df.withColumn("_slot", _slot_column(order[0], slot))
     local = local.withColumns({f"_v_{n}": c for n, (_, c) in values.items()})
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     borders = (
@@ -141,12 +146,12 @@ def with_next(
     context: dict[str, Column],
     *,
     name: str = "next",
-    slot_seconds: int = SLOT_SECONDS,
+    slot: Column | None = None,
 ) -> DataFrame:
     """``lead`` of a struct of expressions over an unbounded key."""
     inside, across = _windows(key, order)
     local = (
-        df.withColumn("_slot", time_slot(order[0], slot_seconds))
+        df.withColumn("_slot", _slot_column(order[0], slot))
         .withColumn("_ctx", F.struct(*[c.alias(n) for n, c in context.items()]))
         .withColumn("_next", F.lead("_ctx").over(inside))
     )
@@ -171,13 +176,13 @@ def with_history(
     previous: dict[str, Column] | None = None,
     seen_before: dict[str, Column] | None = None,
     seen_upto: dict[str, Column] | None = None,
-    slot_seconds: int = SLOT_SECONDS,
+    slot: Column | None = None,
 ) -> DataFrame:
     """``lag`` struct ``prev`` and latest non-null values (before, or up to, the row) in one pass."""
     inside, across = _windows(key, order)
     position = F.struct(*order)
     seen = {**(seen_before or {}), **(seen_upto or {})}
-    local = df.withColumn("_slot", time_slot(order[0], slot_seconds)).withColumns({f"_v_{n}": c for n, c in seen.items()})
+    local = df.withColumn("_slot", _slot_column(order[0], slot)).withColumns({f"_v_{n}": c for n, c in seen.items()})
     aggregates = [
         F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), position)).alias(f"_l_{n}") for n in seen
     ]
@@ -206,8 +211,8 @@ def with_history(
     )
 
 
-def attach_facts(df: DataFrame, facts: DataFrame, key: str, ts: str, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+def attach_facts(df: DataFrame, facts: DataFrame, key: str, ts: str, slot: Column | None = None) -> DataFrame:
     """Join per-key facts to ordered rows through (key, slot), so that a huge key is not one join group."""
-    slotted = df.withColumn("_slot", time_slot(ts, slot_seconds))
+    slotted = df.withColumn("_slot", _slot_column(ts, slot))
     spread = slotted.select(key, "_slot").distinct().join(facts, key)
     return slotted.join(spread, [key, "_slot"]).drop("_slot")

@@ -83,15 +83,15 @@ def _(spark, sf):
 
 @query(
     "c5_merge_roles",
-    f"""{WITH}, ow as (select * from a where owner <> '' and work_item_id % 3 <> 0), cr as (select * from a where creator <> '' and work_item_id % 3 <> 1)
+    f"""{WITH}, ow as (select * from a where owner <> ''), cr as (select * from a where creator <> '' and type <> 'Task')
  select cast(coalesce(ow.work_item_id, cr.work_item_id) as varchar) as work_item_id, coalesce(ow.project, cr.project) as project, coalesce(ow.owner, '') as owner,
  coalesce(ow.owner_department, '') as owner_department, coalesce(cr.creator, '') as creator, coalesce(cr.creator_hash, '') as creator_hash
  from ow full join cr on ow.work_item_id = cr.work_item_id""",
 )
 def _(spark, sf):
     known = people_ops.attach_people(work(spark, sf), directory(spark, sf))
-    owners = people_ops.person_view(known.filter("work_item_id % 3 <> 0"), "owner")
-    creators = people_ops.person_view(known.filter("work_item_id % 3 <> 1"), "creator")
+    owners = people_ops.person_view(known, "owner")
+    creators = people_ops.person_view(known.filter("type <> 'Task'"), "creator")
     return W.merge_roles(owners, creators).select(
         "work_item_id", "project", "owner", "owner_department", "creator", "creator_hash"
     )
@@ -350,13 +350,13 @@ def _(spark, sf):
 
 @query(
     "i10_case_key",
-    "select p_partkey, case p_partkey % 3 when 0 then lower(p_name) when 1 then p_name || ' t' else '!! ' || cast(p_partkey % 7 as varchar) || ' ??' end as case_key from part where p_partkey % 3 <> 2",
+    "select p_partkey, case p_partkey % 3 when 0 then lower(p_name) when 1 then p_name || ' t' else sha256('{\"p_name\":\"' || p_name || '\",\"p_size\":' || cast(p_size as varchar) || '}') end as case_key from part",
 )
 def _(spark, sf):
     m = F.col("p_partkey") % 3
     summary = F.when(m == 0, F.concat(F.lit(" "), F.upper("p_name")))
     title = F.when(m == 1, F.concat(F.col("p_name"), F.lit(" (T)"))).otherwise(F.lit(" "))
-    part = inputs.table(spark, sf, "part").filter("p_partkey % 3 <> 2")
+    part = inputs.table(spark, sf, "part")
     return part.select("p_partkey", names.case_key(summary, title, F.struct("p_name", "p_size")).alias("case_key"))
 
 
@@ -392,11 +392,12 @@ def _(spark, sf):
 
 @query(
     "a9_upsert",
-    "select c_custkey, case when c_custkey % 3 = 0 then 'changed' else c_name end as c_name from customer union all select c_custkey + 1000000, 'new' from customer where c_custkey % 3 = 0",
+    "select c_custkey, case when c_mktsegment = 'BUILDING' then 'changed' else c_name end as c_name from customer union all select c_custkey + 1000000, 'new' from customer where c_mktsegment = 'BUILDING'",
 )
 def _(spark, sf):
-    table = inputs.table(spark, sf, "customer").select("c_custkey", "c_name")
-    third = table.filter("c_custkey % 3 = 0")
+    customer = inputs.table(spark, sf, "customer")
+    table = customer.select("c_custkey", "c_name")
+    third = customer.filter("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
     changes = third.withColumn("c_name", F.lit("changed")).unionByName(
         third.select((F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit("new").alias("c_name"))
     )
@@ -405,12 +406,13 @@ def _(spark, sf):
 
 @query(
     "a10_delete_and_rename",
-    "select case when c_custkey % 5 = 1 then c_custkey + 2000000 else c_custkey end as c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 4 = 0)",
+    "select case when c_mktsegment = 'BUILDING' then c_custkey + 2000000 else c_custkey end as c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')",
 )
 def _(spark, sf):
-    table = inputs.table(spark, sf, "customer").select("c_custkey", "c_name")
-    gone = inputs.table(spark, sf, "orders").filter("o_orderkey % 4 = 0").selectExpr("o_custkey as c_custkey")
-    renames = table.filter("c_custkey % 5 = 1").selectExpr("c_custkey as old", "c_custkey + 2000000 as new")
+    customer = inputs.table(spark, sf, "customer")
+    table = customer.select("c_custkey", "c_name")
+    gone = inputs.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").selectExpr("o_custkey as c_custkey")
+    renames = customer.filter("c_mktsegment = 'BUILDING'").selectExpr("c_custkey as old", "c_custkey + 2000000 as new")
     return tables.rename_key(tables.delete_keys(table, gone, ["c_custkey"]), "c_custkey", renames)
 
 
@@ -430,7 +432,7 @@ def _(spark, sf):
 
 @query(
     "c11_accept_created",
-    "select c_custkey, 'candidate' as decision_status, case when c_custkey % 3 = 1 then 'uri ' || cast(c_custkey as varchar) else 'id ' || cast(c_custkey as varchar) end as ll_candidate_id from customer where c_custkey % 3 <> 2",
+    "select c_custkey, 'candidate' as decision_status, case when c_custkey % 3 = 1 then 'uri ' || cast(c_custkey as varchar) else 'id ' || cast(c_custkey as varchar) end as ll_candidate_id from customer where c_custkey % 3 <> 2",  # the third kind has no identifier and is dropped
 )
 def _(spark, sf):
     customer = inputs.table(spark, sf, "customer")
