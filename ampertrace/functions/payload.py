@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -98,8 +98,7 @@ def try_float(c: Column | str) -> Column:
 
 
 def _try_float(c: Column) -> Column:
-    number = F.regexp_extract(F.replace(strip(c), F.lit(","), F.lit(".")), r"(-?\d+(?:\.\d+)?)", 1)
-    return F.nullif(number, F.lit("")).try_cast("double")
+    return F.regexp_extract(F.translate(c, ",", "."), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
 
 
 def norm_status(c: Column | str, mode: str = "sql") -> Column:
@@ -123,33 +122,32 @@ def status_description(code: Column) -> Column:
     return F.coalesce(known[code], F.lit("Nieznany status"))
 
 
-def payload_map(c: Column | str) -> Column:
-    """Top level of a JSON object as text values; nested values stay JSON text. NULL if not an object."""
-    return F.from_json(as_column(c), "map<string,string>")
+def payload_entries(c: Column | str) -> Column:
+    """Top level of a JSON object as (lower-case key, text value) pairs; nested values stay JSON text."""
+    return F.transform(
+        F.map_entries(F.from_json(as_column(c), "map<string,string>")),
+        lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")),
+    )
 
 
-def _best_entry(payload: Column, keys: Sequence[str], parse) -> Column:
+def _best_entry(entries: Column, keys: Sequence[str], parse) -> Column:
+    """Parsed value of the first listed key that has one. Keys are compared before values are parsed."""
     order = F.array(*[F.lit(k) for k in keys])
     found = F.transform(
-        F.map_entries(payload),
-        lambda e, i: F.struct(
-            F.array_position(order, F.lower(F.trim(e["key"]))).alias("place"), i.alias("at"), parse(e["value"]).alias("value")
-        ),
+        F.filter(entries, lambda e: e["key"].isin(*keys)),
+        lambda e, i: F.struct(F.array_position(order, e["key"]).alias("place"), i.alias("at"), parse(e["value"]).alias("value")),
     )
-    return F.array_min(F.filter(found, lambda e: (e["place"] > 0) & e["value"].isNotNull()))["value"]
+    return F.array_min(F.filter(found, lambda e: e["value"].isNotNull()))["value"]
 
 
-def flat_metric(payload: Column, keys: Sequence[str]) -> Column:
-    return _best_entry(payload, keys, _try_float)
+def flat_metric(entries: Column, keys: Sequence[str]) -> Column:
+    return _best_entry(entries, keys, _try_float)
 
 
-def flat_text(payload: Column, keys: Sequence[str], json_null_is_text: bool = False) -> Column:
-    value = _best_entry(payload, keys, lambda v: F.nullif(v, F.lit("")))
+def flat_text(entries: Column, keys: Sequence[str], json_null_is_text: bool = False) -> Column:
+    value = _best_entry(entries, keys, lambda v: F.when(v != "", v))
     if json_null_is_text:
-        order = F.array(*[F.lit(k) for k in keys])
-        null_hit = F.exists(
-            F.map_entries(payload), lambda e: F.array_contains(order, F.lower(e["key"])) & e["value"].isNull()
-        )
+        null_hit = F.exists(entries, lambda e: e["key"].isin(*keys) & e["value"].isNull())
         return F.coalesce(value, F.when(null_hit, F.lit("null")))
     return value
 
@@ -171,28 +169,25 @@ def _as_number(value) -> float | None:
     return float(match.group()) if match else None
 
 
-def _descend(node, key: str, parse):
+def _index(node, values: dict[str, list], wanted: set[str]) -> None:
+    """Values of the wanted keys in reading order: a node's own keys come before its children."""
     if isinstance(node, dict):
         for name, value in node.items():
-            if name.strip().lower() == key:
-                parsed = parse(value)
-                if parsed is not None:
-                    return parsed
-        children: Iterable = node.values()
-    elif isinstance(node, list):
-        children = node
-    else:
-        return None
-    for child in children:
-        parsed = _descend(child, key, parse)
-        if parsed is not None:
-            return parsed
-    return None
+            key = name.strip().lower()
+            if key in wanted:
+                values.setdefault(key, []).append(value)
+        node = node.values()
+    elif not isinstance(node, list):
+        return
+    for child in node:
+        if isinstance(child, (dict, list)):
+            _index(child, values, wanted)
 
 
 def nested_fields(c: Column, metrics: dict[str, Sequence[str]], texts: dict[str, Sequence[str]]) -> Column:
     """Struct of all requested fields found anywhere in the tree; one JSON parse per row."""
     wanted = [(n, tuple(k), _as_number) for n, k in metrics.items()] + [(n, tuple(k), _as_text) for n, k in texts.items()]
+    every_key = {key for _, keys, _ in wanted for key in keys}
     schema = ", ".join([f"`{n}` double" for n in metrics] + [f"`{n}` string" for n in texts])
 
     @F.pandas_udf(schema)
@@ -205,8 +200,10 @@ def nested_fields(c: Column, metrics: dict[str, Sequence[str]], texts: dict[str,
                     tree = json.loads(raw)
                 except ValueError:
                     tree = None
+            values: dict[str, list] = {}
+            _index(tree, values, every_key)
             for name, keys, parse in wanted:
-                hits = (_descend(tree, key, parse) for key in keys)
+                hits = (parse(value) for key in keys for value in values.get(key, ()))
                 columns[name].append(next((h for h in hits if h is not None), None))
         return pd.DataFrame(
             {n: pd.Series(v, dtype="float64" if parse is _as_number else "object") for (n, _, parse), v in zip(wanted, columns.values())}

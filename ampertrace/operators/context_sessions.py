@@ -17,7 +17,7 @@ from ampertrace.functions.payload import boolish, norm_status
 from ampertrace.functions.text import clean_text, scenario_hint, strip, text_or_blank
 from ampertrace.operators.ordered import seconds_between, segment, with_history
 from ampertrace.operators.sessions import DEVICE_KEYS, ORDER, SESSION_BREAK_SECONDS
-from ampertrace.session import cut_lineage
+from ampertrace.session import cut_lineage, spread
 
 METRICS = ("eff", "rx", "tx", "rpp", "current_a", "voltage_v")
 OTHER_COLUMNS = {
@@ -82,7 +82,7 @@ def sessionize_context(events: DataFrame, gap_seconds: int = SESSION_BREAK_SECON
     markers = context_markers()
     place = F.struct(*ORDER)
     rows = (
-        _with_optional(events)
+        _with_optional(spread(events))
         .filter(F.col("event_ts").isNotNull())
         .withColumns({c: strip(text_or_blank(c)) for c in DEVICE_KEYS})
         .withColumn("_device", F.concat_ws("\u0001", *DEVICE_KEYS))

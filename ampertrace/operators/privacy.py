@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ampertrace.functions import privacy as P
 from ampertrace.functions.text import strip, text_or_blank
+from ampertrace.session import spread
 
 MAX_CLIENTS = 20_000
 
@@ -52,7 +53,7 @@ def client_names(records: list[dict]) -> list[str]:
 
 def client_hits(docs: DataFrame, record: dict) -> DataFrame:
     """How often a client's patterns match in all texts together."""
-    return docs.agg(F.coalesce(F.sum(P.client_spans(F.col("text"), record)), F.lit(0)).alias("matches"))
+    return spread(docs).agg(F.coalesce(F.sum(P.client_spans(F.col("text"), record)), F.lit(0)).alias("matches"))
 
 
 def select_pages(df: DataFrame, spec: str, total: int | None = None) -> DataFrame:
@@ -78,4 +79,4 @@ def anonymize(docs: DataFrame, clients: DataFrame) -> DataFrame:
     """Adds ``anonymized`` to documents (doc_id, text). E-mails and names are found natively, one Arrow pass edits."""
     records = load_clients(clients)
     persons = P.person_like("text", client_names(records))
-    return docs.withColumn("anonymized", P.replace_pii(F.col("text"), P.emails("text"), persons, records))
+    return spread(docs).withColumn("anonymized", P.replace_pii(F.col("text"), P.emails("text"), persons, records))

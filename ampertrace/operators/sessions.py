@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ampertrace.functions.text import blank_to_null
-from ampertrace.operators.ordered import group_key, micros, seconds_between, segment
+from ampertrace.operators.ordered import group_key, seconds_between, segment
+from ampertrace.session import spread
 
 DEVICE_KEYS = ("phone", "project_number", "device_name", "charger_name", "position")
 SESSION_BREAK_SECONDS = 20 * 60
@@ -43,7 +44,7 @@ def sessionize_sql(events: DataFrame, gap_seconds: int = SESSION_BREAK_SECONDS)
         return changed
 
     cut = segment(
-        events.filter(F.col("event_ts").isNotNull()).withColumn("_device", group_key(*DEVICE_KEYS)),
+        spread(events.filter(F.col("event_ts").isNotNull())).withColumn("_device", group_key(*DEVICE_KEYS)),
         "_device",
         ORDER,
         {**context, **carried},

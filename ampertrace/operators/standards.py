@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ampertrace.functions import standards as S
 from ampertrace.operators.matching import substring_pairs
+from ampertrace.session import spread
 
 
 def _first_ref(c: Column, extra: Sequence[str]) -> Column:
@@ -119,7 +120,7 @@ def lookup_index(refs: DataFrame, index: DataFrame, web_prefix: str) -> DataFram
 
 
 def document_refs(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    return docs.select("doc_id", F.explode(S.std_refs("text", extra)).alias("ref")).withColumn("label", S.ref_prefix("ref"))
+    return spread(docs).select("doc_id", F.explode(S.std_refs("text", extra)).alias("ref")).withColumn("label", S.ref_prefix("ref"))
 
 
 def refs_by_file(refs: DataFrame, links: DataFrame) -> DataFrame:

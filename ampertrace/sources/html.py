@@ -8,6 +8,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ampertrace.session import spread
+
 # Expected header order and names that identify a column.
 EXPECTED = ("project", "type", "owner", "creator", "work item id", "work item")
 SCORE_WORDS = ("project", "work item id", "work item", "owner", "creator", "type", "owned by", "created by")
@@ -142,4 +144,4 @@ def html_rows(pages: DataFrame, base: str, id_column: str = "page_id", html_colu
 
     kind = pages.schema[id_column].dataType.simpleString()
     fields = ", ".join(f"{f} string" for f in FIELDS)
-    return pages.select(id_column, html_column).mapInPandas(run, f"page_id {kind}, row_no long, {fields}")
+    return spread(pages.select(id_column, html_column)).mapInPandas(run, f"page_id {kind}, row_no long, {fields}")

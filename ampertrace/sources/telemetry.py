@@ -11,6 +11,7 @@ from ampertrace.functions import payload as P
 from ampertrace.functions.text import blank_to_null
 from ampertrace.operators.filters import candidate_flag
 from ampertrace.operators.ordered import seconds_between
+from ampertrace.session import spread
 
 # Columns and types of the processed event table.
 PROCESSED_SCHEMA = {
@@ -83,23 +84,23 @@ def _payload_fields(df: DataFrame, json_null_is_text: bool = False) -> DataFrame
     metrics = {**P.METRIC_KEYS, **P.EFFICIENCY_KEYS}
     texts = {**P.TEXT_KEYS, **P.STATUS_KEYS}
     staged = df.withColumn("_flat", P.is_flat(F.col("row_json")))
-    staged = staged.withColumn("_map", F.when(F.col("_flat"), P.payload_map("row_json")))
+    staged = staged.withColumn("_entries", F.when(F.col("_flat"), P.payload_entries("row_json")))
     staged = staged.withColumn("_deep", P.nested_fields(F.when(~F.col("_flat"), F.col("row_json")), metrics, texts))
     return staged.withColumn(
         "_found",
         F.struct(
-            *[F.coalesce(F.col("_deep")[n], P.flat_metric(F.col("_map"), k)).alias(n) for n, k in metrics.items()],
+            *[F.coalesce(F.col("_deep")[n], P.flat_metric(F.col("_entries"), k)).alias(n) for n, k in metrics.items()],
             *[
-                F.coalesce(F.col("_deep")[n], P.flat_text(F.col("_map"), k, json_null_is_text)).alias(n)
+                F.coalesce(F.col("_deep")[n], P.flat_text(F.col("_entries"), k, json_null_is_text)).alias(n)
                 for n, k in texts.items()
             ],
         ),
-    ).drop("_flat", "_map", "_deep")
+    ).drop("_flat", "_entries", "_deep")
 
 
 def build_processed(raw: DataFrame, variant: str = "processed", json_null_is_text: bool = False) -> DataFrame:
     """Typed events with payload fields, ingest delay and candidate flag."""
-    found = _payload_fields(typed_raw(raw), json_null_is_text)
+    found = _payload_fields(typed_raw(spread(raw)), json_null_is_text)
     take = lambda n: F.col("_found")[n]
     typed = found.withColumns(
         {
@@ -127,7 +128,7 @@ def write_sessions(sessions: DataFrame, path: str) -> None:
 
 def enrich(events: DataFrame) -> DataFrame:
     """Fill missing metrics, texts, time and delay from the payload, only where they are NULL."""
-    found = _payload_fields(events)
+    found = _payload_fields(spread(events))
     take = lambda n: F.col("_found")[n]
     present = set(events.columns)
     fill: dict[str, Column] = {}

@@ -84,7 +84,7 @@ BUILT_COLUMNS = (
 )
 
 
-@query("a5_build_processed", BUILT_SQL)
+@query("a5_c4_h9_build_processed", BUILT_SQL)
 def _(spark, sf):
     return telemetry.build_processed(raw(spark, sf)).select(*BUILT_COLUMNS)
 
@@ -215,7 +215,7 @@ def _(spark, sf):
 METRIC_SQL = raw_sql(f"select raw_id, cast(jr as double) as rx, cast(jtemp as double) as temperature, cast(replace(je, ',', '.') as double) as eff, scenario_hint, sample_label, defect_id from (select raw_id, {FIELDS} from raw)")
 
 
-@query("h3_h6_nested_payload_fields", METRIC_SQL)
+@query("h3_h5_h6_nested_payload_fields", METRIC_SQL)
 def _(spark, sf):
     found = payload.nested_fields(
         F.col("row_json"),
@@ -230,7 +230,7 @@ def _(spark, sf):
     raw_sql(f"select raw_id, cast(regexp_extract(jt, '([0-9]+)', 1) as double) as tx, cast(jtemp as double) as temperature, manual_result from (select raw_id, {FIELDS} from raw)"),
 )
 def _(spark, sf):
-    m = payload.payload_map("row_json")
+    m = payload.payload_entries("row_json")
     return raw(spark, sf).select(
         "raw_id",
         payload.flat_metric(m, payload.METRIC_KEYS["tx"]).alias("tx"),

@@ -166,7 +166,7 @@ def scored(spark: SparkSession, sf_dir: str, *sections: str) -> DataFrame:
 EVENT_COLUMNS = ("raw_id", "session_seq", "session_prev_eff", "session_prev_rx", "session_prev_tx", "gap_seconds")
 
 
-@query("e1_sessionize_sql", f"with {EVENTS_SQL} select {', '.join(EVENT_COLUMNS)} from ev")
+@query("e1_e4_sessionize_sql", f"with {EVENTS_SQL} select {', '.join(EVENT_COLUMNS)} from ev")
 def _(spark, sf):
     return sessions.sessionize_sql(inputs.processed(spark, sf)).select(*EVENT_COLUMNS)
 
@@ -181,7 +181,7 @@ SESSION_FLOATS = ("avg_eff", "avg_rx", "avg_tx", "median_gap_seconds")  # a medi
 
 
 @query(
-    "d1_d4_session_rollup",
+    "c1_d1_d4_h11_session_rollup",
     f"with {SESSIONS_SQL} select {rounded_sql(SESSION_EXACT, SESSION_FLOATS, 7)}, "
     "array_to_string(status_codes, ',') as status_codes from ss",
 )
