@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 _ACCURACY = 10_000
 _MARGIN = 0.005
+_SMALL = 1_000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], values: dict[str, str], q: float = 0.5) -> DataFrame:
@@ -30,9 +31,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], values: dict[str, str],
         .filter(F.col("_value").isNotNull())
     )
     group = [*keys, "_name"]
+    # the margin is many ranks wide once a group has _SMALL rows, and fifty times the error of the sketch
+    sketch = F.percentile_approx("_value", [max(0.0, q - _MARGIN), min(1.0, q + _MARGIN)], _ACCURACY)
     bracket = long.groupBy(*group).agg(
         F.count("*").alias("_n"),
-        F.percentile_approx("_value", [max(0.0, q - _MARGIN), min(1.0, q + _MARGIN)], _ACCURACY).alias("_range"),
+        F.when(F.count("*") < _SMALL, F.array(F.min("_value"), F.max("_value"))).otherwise(sketch).alias("_range"),
     )
     counted = (
         long.join(bracket, group)
@@ -54,7 +57,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], values: dict[str, str],
         F.min(F.when(F.col("_cum") > F.floor(rank), F.col("_value"))).alias("_low"),
         F.min(F.when(F.col("_cum") > F.ceil(rank), F.col("_value"))).alias("_high"),
     )
-    result = F.col("_low") + (F.col("_high") - F.col("_low")) * (rank - F.floor(rank))
+    result = F.when(
+        F.col("_low").isNull() | F.col("_high").isNull(), F.raise_error(F.lit("quantile outside its bracket"))
+    ).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * (rank - F.floor(rank)))
     return (
         picked.withColumn("_result", result)
         .groupBy(*keys)

@@ -44,6 +44,8 @@ def spread(df: DataFrame) -> DataFrame:
     A table of fewer than one split per core would leave cores idle. The size is the optimizer's
     estimate; larger input keeps its partitions and is not shuffled.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
