@@ -45,8 +45,29 @@ def _with_optional(events: DataFrame) -> DataFrame:
     )
 
 
-def _session_starts(rows: DataFrame) -> DataFrame:
-    candidates = rows.filter(F.col("_gap") | F.col("_reach").isNotNull()).select("_device", *ORDER, "_gap", "_reach")
+def _candidates(rows: DataFrame, gap_seconds: int) -> DataFrame:
+    """Rows that can open a session, with ``_gap`` and ``_reach``. Only keys, order and markers are shuffled."""
+    markers = context_markers()
+    place = F.struct(*ORDER)
+    narrow = rows.select("_device", *ORDER, *[c.alias(f"_m_{n}") for n, c in markers.items()])
+    history = with_history(
+        narrow,
+        "_device",
+        ORDER,
+        previous={"event_ts": F.col("event_ts")},
+        seen_before={
+            f"_seen_{n}": F.when(F.col(f"_m_{n}").isNotNull(), F.struct(F.col(f"_m_{n}").alias("value"), place.alias("place")))
+            for n in markers
+        },
+    )
+    reach = F.greatest(
+        *[F.when(F.col(f"_seen_{n}.value") != F.col(f"_m_{n}"), F.col(f"_seen_{n}.place")) for n in markers]
+    )
+    gap = F.col("prev").isNull() | (seconds_between(F.col("event_ts"), F.col("prev.event_ts")) > gap_seconds)
+    return history.select("_device", *ORDER, gap.alias("_gap"), reach.alias("_reach")).filter("_gap or _reach is not null")
+
+
+def _session_starts(candidates: DataFrame) -> DataFrame:
     blocks = segment(
         candidates,
         "_device",
@@ -75,11 +96,10 @@ def _session_starts(rows: DataFrame) -> DataFrame:
 def sessionize_context(events: DataFrame, gap_seconds: int = SESSION_BREAK_SECONDS) -> DataFrame:
     """Adds ``session_key``, ``session_start``, ``is_start``, ``status``, ``prev`` and ``prev_status``.
 
-    ``prev`` holds time and metrics of the previous row, ``prev_status`` the latest real status before
-    the row; both are NULL where they lie outside the session. The keyed history and the result are
-    written once, because several later steps read them.
+    ``prev`` holds time, status and metrics of the previous row, ``prev_status`` the latest real status
+    before the row; both are NULL where they lie outside the session. The few candidate rows and the
+    result are written once, because several later steps read them.
     """
-    markers = context_markers()
     place = F.struct(*ORDER)
     rows = (
         _with_optional(spread(events))
@@ -87,29 +107,14 @@ def sessionize_context(events: DataFrame, gap_seconds: int = SESSION_BREAK_SECON
         .withColumns({c: strip(text_or_blank(c)) for c in DEVICE_KEYS})
         .withColumn("_device", F.concat_ws("\u0001", *DEVICE_KEYS))
         .withColumn("status", norm_status("hmi_status", "report"))
-        .withColumns({f"_m_{n}": c for n, c in markers.items()})
     )
-    history = with_history(
-        rows,
-        "_device",
-        ORDER,
-        previous={c: F.col(c) for c in ("event_ts", "status", *METRICS)},
-        seen_before={
-            f"_seen_{n}": F.when(F.col(f"_m_{n}").isNotNull(), F.struct(F.col(f"_m_{n}").alias("value"), place.alias("place")))
-            for n in markers
-        },
-    )
-    reach = F.greatest(
-        *[F.when(F.col(f"_seen_{n}.value") != F.col(f"_m_{n}"), F.col(f"_seen_{n}.place")) for n in markers]
-    )
-    gap = F.col("prev").isNull() | (seconds_between(F.col("event_ts"), F.col("prev.event_ts")) > gap_seconds)
-    history = history.withColumn("_gap", gap).withColumn("_reach", reach)
-    history = cut_lineage(history.drop(*[f"{p}{n}" for n in markers for p in ("_m_", "_seen_")]))
-    marked = history.join(_session_starts(history), ["_device", *ORDER], "left")
+    starts = _session_starts(cut_lineage(_candidates(rows, gap_seconds)))
+    marked = rows.join(starts, ["_device", *ORDER], "left")
     out = with_history(
         marked,
         "_device",
         ORDER,
+        previous={c: F.col(c) for c in ("event_ts", "status", *METRICS)},
         seen_upto={"_start": F.when(F.col("_starts"), place)},
         seen_before={
             "_real": F.when(F.col("status") != "N/A", F.struct(F.col("status").alias("status"), place.alias("place")))
@@ -124,5 +129,5 @@ def sessionize_context(events: DataFrame, gap_seconds: int = SESSION_BREAK_SECON
             "prev": F.when(~starts, F.col("prev")),
             "prev_status": F.when(F.col("_real.place") >= F.col("_start"), F.col("_real.status")),
         }
-    ).drop("_device", "_gap", "_reach", "_starts", "_start", "_real")
+    ).drop("_device", "_starts", "_start", "_real")
     return cut_lineage(sessions)

@@ -42,7 +42,8 @@ def _slot_column(ts: str, slot: Column | None) -> Column:
 
 
 def _windows(key: str, order: Sequence[str]):
-    inside = Window.partitionBy(key, "_slot").orderBy(*order)
+    # the slot comes first: sorting by a number is much cheaper than by the text key
+    inside = Window.partitionBy("_slot", key).orderBy(*order)
     across = Window.partitionBy(key).orderBy("_slot")
     return inside, across
 
@@ -77,7 +78,7 @@ def segment(
     )
     position = F.struct(*order)
     borders = (
-        local.groupBy(key, "_slot")
+        local.groupBy("_slot", key)
         .agg(
             F.min_by("_ctx", position).alias("_first"),
             F.max_by("_ctx", position).alias("_last"),
@@ -98,7 +99,7 @@ def segment(
         .select(key, "_slot", "_before", "_head", "_base")
     )
     return (
-        local.join(borders, [key, "_slot"])
+        local.join(borders, ["_slot", key])
         .withColumn(seq, (F.col("_base") + F.col("_local")).cast("long"))
         .withColumn("is_start", F.when(F.col("_prev").isNull(), F.col("_head")).otherwise(F.col("_inner")) == 1)
         .withColumn("prev", F.coalesce("_prev", "_before"))
@@ -123,7 +124,7 @@ def with_running(
     local = local.withColumns({f"_v_{n}": c for n, (_, c) in values.items()})
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     borders = (
-        local.groupBy(key, "_slot")
+        local.groupBy("_slot", key)
         .agg(*[apply[kind](f"_v_{n}").alias(f"_t_{n}") for n, (kind, _) in values.items()])
         .select(key, "_slot", *[apply[kind](f"_t_{n}").over(before).alias(f"_b_{n}") for n, (kind, _) in values.items()])
     )
@@ -135,7 +136,7 @@ def with_running(
             return F.coalesce(here + earlier, here, earlier)
         return (F.greatest if kind == "max" else F.least)(here, earlier)
 
-    out = local.join(borders, [key, "_slot"]).withColumns({n: merge(n, kind) for n, (kind, _) in values.items()})
+    out = local.join(borders, ["_slot", key]).withColumns({n: merge(n, kind) for n, (kind, _) in values.items()})
     return out.drop("_slot", *[f"{p}{n}" for n in values for p in ("_v_", "_t_", "_b_", "_s_")])
 
 
@@ -156,13 +157,13 @@ def with_next(
         .withColumn("_next", F.lead("_ctx").over(inside))
     )
     borders = (
-        local.groupBy(key, "_slot")
+        local.groupBy("_slot", key)
         .agg(F.min_by("_ctx", F.struct(*order)).alias("_first"))
         .withColumn("_after", F.lead("_first").over(across))
         .select(key, "_slot", "_after")
     )
     return (
-        local.join(borders, [key, "_slot"])
+        local.join(borders, ["_slot", key])
         .withColumn(name, F.coalesce("_next", "_after"))
         .drop("_slot", "_ctx", "_next", "_after")
     )
@@ -192,7 +193,7 @@ def with_history(
         local = local.withColumn("_ctx", F.struct(*[c.alias(n) for n, c in previous.items()]))
         aggregates.append(F.max_by("_ctx", position).alias("_last"))
         carried.append(F.lag("_last").over(across).alias("_before"))
-    borders = local.groupBy(key, "_slot").agg(*aggregates).select(key, "_slot", *carried)
+    borders = local.groupBy("_slot", key).agg(*aggregates).select(key, "_slot", *carried)
     filled = {
         f"_s_{n}": F.last(f"_v_{n}", ignorenulls=True).over(
             inside.rowsBetween(Window.unboundedPreceding, 0 if n in (seen_upto or {}) else -1)
@@ -201,7 +202,7 @@ def with_history(
     }
     if previous:
         filled["_prev"] = F.lag("_ctx").over(inside)
-    out = local.withColumns(filled).join(borders, [key, "_slot"])
+    out = local.withColumns(filled).join(borders, ["_slot", key])
     final = {n: F.coalesce(f"_s_{n}", f"_b_{n}") for n in seen}
     if previous:
         final["prev"] = F.coalesce("_prev", "_before")
@@ -215,4 +216,4 @@ def attach_facts(df: DataFrame, facts: DataFrame, key: str, ts: str, slot: Colum
     """Join per-key facts to ordered rows through (key, slot), so that a huge key is not one join group."""
     slotted = df.withColumn("_slot", _slot_column(ts, slot))
     spread = slotted.select(key, "_slot").distinct().join(facts, key)
-    return slotted.join(spread, [key, "_slot"]).drop("_slot")
+    return slotted.join(spread, ["_slot", key]).drop("_slot")

@@ -48,7 +48,8 @@ def text_evidence(text: Column) -> dict[str, Column]:
     }
     flags["t_wlc"] = text.rlike(r"\bwlc\b")
     flags["t_ok"] = text.rlike("(^|[\n ])ok(\n|$)")
-    flags["t_defect"] = text.rlike(DEFECT_WORD) | text.rlike(DEFECT_JSON)
+    # the plain search keeps the patterns away from most texts
+    flags["t_defect"] = text.contains("defect") & (text.rlike(DEFECT_WORD) | text.rlike(DEFECT_JSON))
     return flags
 
 
@@ -85,18 +86,25 @@ def defect_reference_rows(events: DataFrame) -> DataFrame:
 def dominant_texts(events: DataFrame, fields: dict[str, Column], key: str = "session_key") -> DataFrame:
     """Most frequent non-blank value per session and field; ties by last occurrence, then by value.
 
-    Counted per (session, field, value) first, so that map-side aggregation carries the load.
+    Rows are counted per combination of values first: a session has few, so that map-side aggregation
+    takes nearly all rows before they are spread over the fields.
     """
-    place = F.struct(*ORDER)
+    combined = events.select(key, *[c.alias(f"_f_{n}") for n, c in fields.items()], F.struct(*ORDER).alias("_place"))
+    combined = combined.groupBy(key, *[f"_f_{n}" for n in fields]).agg(
+        F.count("*").alias("_n"), F.max("_place").alias("_place")
+    )
     pairs = F.array_compact(
         F.array(
-            *[F.when(c.isNotNull(), F.struct(F.lit(n).alias("field"), c.alias("value"))) for n, c in fields.items()]
+            *[
+                F.when(F.col(f"_f_{n}").isNotNull(), F.struct(F.lit(n).alias("field"), F.col(f"_f_{n}").alias("value")))
+                for n in fields
+            ]
         )
     )
     counted = (
-        events.select(key, place.alias("_place"), F.explode(pairs).alias("_p"))
+        combined.select(key, "_n", "_place", F.explode(pairs).alias("_p"))
         .groupBy(key, F.col("_p.field").alias("field"), F.col("_p.value").alias("value"))
-        .agg(F.count("*").alias("n"), F.max("_place").alias("last"))
+        .agg(F.sum("_n").alias("n"), F.max("_place").alias("last"))
     )
     return counted.groupBy(key).agg(
         *[
@@ -133,7 +141,7 @@ def finalize(rows: DataFrame) -> DataFrame:
     voltage_place = F.when(metric & F.col("voltage_v").isNotNull(), place)
     battery_place = F.when(F.col("battery_level").isNotNull(), place)
     rows = rows.withColumn("_texts", texts).withColumns(
-        {**text_evidence(F.col("_texts")), "_reference": F.get(defect_refs(F.col("_texts")), F.lit(0))}
+        {**text_evidence(F.col("_texts")), "_reference": F.when(F.contains("_texts", F.lit("defect")), F.get(defect_refs(F.col("_texts")), F.lit(0)))}
     )
     flags = [c for c in rows.columns if c.startswith("t_")]
     base = rows.groupBy("session_key", *DEVICE_KEYS).agg(
