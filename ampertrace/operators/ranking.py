@@ -112,34 +112,32 @@ def ranking_order() -> list[Column]:
     ]
 
 
+def shown_groups(scored: DataFrame) -> DataFrame:
+    """Eligible groups of every section, or all groups where none is eligible."""
+    facts = scored.groupBy("section").agg(F.max("eligible").alias("_any"))
+    return scored.join(facts, "section").filter(F.col("eligible") | ~F.col("_any")).drop("_any")
+
+
 def rank_section(scored: DataFrame, limit: int = TOP_LIMIT) -> DataFrame:
     """Top rows of every section: eligible groups, or all of them where none is eligible.
 
-    Input is one row per group (phones, projects, releases), far smaller than the sessions.
+    Spark prunes each section to its first rows before the shuffle, because only the first ranks are kept.
     """
-    section = Window.partitionBy("section")
-    shown = scored.withColumn("_any", F.max("eligible").over(section)).filter(F.col("eligible") | ~F.col("_any"))
-    return (
-        shown.withColumn("rank", F.row_number().over(section.orderBy(*ranking_order())))
-        .filter(F.col("rank") <= limit)
-        .drop("_any")
-    )
+    place = Window.partitionBy("section").orderBy(*ranking_order())
+    return shown_groups(scored).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit)
 
 
 def best_per_project(scored: DataFrame, limit: int = TOP_LIMIT) -> DataFrame:
     """First release of each project in ranking order, then the first ``limit`` of these."""
     pairs = scored.filter(F.col("section") == "project_software")
-    shown = pairs.withColumn("_any", F.max("eligible").over(Window.partitionBy("section"))).filter(
-        F.col("eligible") | ~F.col("_any")
-    )
     first = (
-        shown.filter(F.col("project") != "")
+        shown_groups(pairs).filter(F.col("project") != "")
         .withColumn("_place", F.row_number().over(Window.partitionBy("project").orderBy(*ranking_order())))
         .filter(F.col("_place") == 1)
     )
     place = Window.partitionBy("section").orderBy(*ranking_order())
     return (
-        first.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit).drop("_any", "_place")
+        first.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit).drop("_place")
     )
 
 

@@ -432,16 +432,12 @@ def _(spark, sf):
 
 @query(
     "f8_problem_order",
-    f"{PROBLEM_SQL} select cast(row_number() over (order by case classification when 'defect' then 0 when 'not_ok' then 1 else 2 end, sort_time, session_key) as int) as place, session_key from it",
+    f"{PROBLEM_SQL} select session_key, classification, sort_time from it order by case classification when 'defect' then 0 when 'not_ok' then 1 else 2 end, sort_time, session_key",
 )
 def _(spark, sf):
-    from pyspark.sql import Window
+    from ampertrace.operators.problems import order_problems
 
-    from ampertrace.operators.problems import order_problems, problem_order
-
-    # the place number is only for the comparison; the operator itself is a distributed sort
-    rows = order_problems(items(spark, sf))
-    return rows.select(F.row_number().over(Window.orderBy(*problem_order())).alias("place"), "session_key")
+    return order_problems(items(spark, sf)).select("session_key", "classification", "sort_time")
 
 
 @query(

@@ -155,6 +155,14 @@ def test_sessions_partition_the_events_and_ignore_input_order(spark):
     assert sorted(one.collect(), key=str) == sorted(two.collect(), key=str)
 
 
+def test_problem_order(spark):
+    from ampertrace.operators.problems import order_problems
+
+    rows = [("a", "not_ok", 1), ("b", "defect", 9), ("c", "potential_defect", 0), ("d", "defect", 2), ("e", "defect", 2)]
+    df = spark.createDataFrame(rows, "session_key string, classification string, sort_time int")
+    assert [r["session_key"] for r in order_problems(df).collect()] == ["d", "e", "b", "a", "c"]
+
+
 def test_rule_verdicts(spark):
     cases = [
         ([dict(hmi_status="3")], "ok"),
