@@ -9,10 +9,12 @@ from ampertrace.functions.payload import boolish
 from ampertrace.functions.text import blank_to_null, clean_text, strip
 from ampertrace.operators.context_sessions import METRICS
 from ampertrace.operators.ordered import seconds_between
+from ampertrace.operators.quantiles import exact_quantiles
 from ampertrace.operators.sessions import DEVICE_KEYS, ORDER, drop_flag
 from ampertrace.operators.spans import interruption_severity, transition_severity
 from ampertrace.session import cut_lineage
 
+BUFFERED_ROWS = 1_000_000
 TEXT_FIELDS = (
     "software_version", "source_csv_file", "fod_object", "card_position", "sample_label", "manual_result", "defect_id",
     "defect_comment",
@@ -161,8 +163,7 @@ def finalize(rows: DataFrame) -> DataFrame:
         F.max_by("battery_level", battery_place).alias("battery_end"),
         F.min_by("voltage_v", voltage_place).alias("voltage_start"),
         F.max_by("voltage_v", voltage_place).alias("voltage_end"),
-        # delays are kept at millisecond precision: the buffer holds distinct values
-        F.percentile(F.round(delay, 3), 0.5).alias("median_ingest_delay"),
+        F.percentile(F.when(F.col("session_rows") <= BUFFERED_ROWS, delay), 0.5).alias("_small_delay"),
         F.max(F.when(gap > 0, gap)).alias("max_gap_seconds"),
         F.count_if(gap > F.col("interruption_limit")).alias("interruption_count"),
         *[F.sum(d).alias(f"_d{i}") for i, d in enumerate(drops)],
@@ -174,6 +175,13 @@ def finalize(rows: DataFrame) -> DataFrame:
         F.min_by("_reference", F.when(F.col("_reference").isNotNull(), place)).alias("first_reference"),
         *[F.max(F.coalesce(F.col(f), F.lit(False))).alias(f) for f in flags],
     )
+    # delays of huge sessions would not fit one aggregation buffer
+    huge = exact_quantiles(
+        rows.filter(F.col("session_rows") > BUFFERED_ROWS), ["session_key"], {"_huge_delay": "ingest_delay_seconds"}
+    )
+    base = base.join(huge, "session_key", "left").withColumn(
+        "median_ingest_delay", F.coalesce("_small_delay", "_huge_delay")
+    ).drop("_small_delay", "_huge_delay")
     dominant = dominant_texts(
         rows,
         {

@@ -35,6 +35,7 @@ def completion_facts(events: DataFrame) -> DataFrame:
     final = F.col("status") == FULL
     facts = events.groupBy("session_key").agg(
         F.max("event_ts").alias("session_end"),
+        F.count("*").alias("session_rows"),
         F.percentile(F.when(gap > 0, gap), 0.5).alias("median_gap"),
         F.min(F.when(final & (F.col("prev_status") != FULL), F.col("event_ts"))).alias("completed_ts"),
         F.min(F.when(final, F.col("event_ts"))).alias("_first_final"),
