@@ -29,9 +29,11 @@ HIDDEN = 8
 SEGMENT = 128
 #: documents of each language, and windows of each document, that the network learns from
 SAMPLE_PER_LANGUAGE = 400
-WINDOWS = 4
-STEPS = 500
-BATCH = 128
+WINDOWS = 8
+#: bytes of a window; short ones teach the network to decide early, which short texts need
+WINDOW = 24
+STEPS = 800
+BATCH = 256
 #: segments that go through the network at once
 WIDE = 2048
 
@@ -227,22 +229,22 @@ def training_windows(learn: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE)
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
-        return np.zeros((0, SEGMENT), dtype=np.uint8), np.zeros(0, dtype=np.int64), []
+        return np.zeros((0, WINDOW), dtype=np.uint8), np.zeros(0, dtype=np.int64), []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
     drawn = learn.filter(F.pmod(F.xxhash64("doc_id", "_t"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
     # windows at even distances over the whole text
     size = F.length("_t")
-    cuts = [F.substring("_t", (size * k / WINDOWS).cast("int") + 1, F.lit(SEGMENT)) for k in range(WINDOWS)]
+    cuts = [F.substring("_t", (size * k / WINDOWS).cast("int") + 1, F.lit(WINDOW)) for k in range(WINDOWS)]
     rows = drawn.select("lang", F.array(*cuts).alias("w")).collect()
     windows, labels = [], []
     for row in rows:
         for w in row["w"]:
-            b = w.encode("utf-8")[:SEGMENT]
-            if len(b) >= 8:
-                windows.append(np.resize(np.frombuffer(b, dtype=np.uint8), SEGMENT))
+            b = w.encode("utf-8")[:WINDOW]
+            if len(b) >= WINDOW // 2:
+                windows.append(np.resize(np.frombuffer(b, dtype=np.uint8), WINDOW))
                 labels.append(languages.index(row["lang"]))
     order = np.lexsort((np.array([w.tobytes() for w in windows]), labels)) if windows else []
-    return np.array(windows, dtype=np.uint8).reshape(-1, SEGMENT)[order], np.array(labels, dtype=np.int64)[order], languages
+    return np.array(windows, dtype=np.uint8).reshape(-1, WINDOW)[order], np.array(labels, dtype=np.int64)[order], languages
 
 
 def fit(docs: DataFrame, id_: str = "doc_id", text: str = "text", lang: str = "lang", held_out: Column | None = None) -> Network | None:
