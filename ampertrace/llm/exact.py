@@ -26,7 +26,12 @@ from pyspark.sql.types import StructType
 from ampertrace.llm.arrays import column, whole
 from ampertrace.session import cut_lineage, shared_folder
 
-STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # else each state partition reserves megabytes for its manifest
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: bytes of files in one micro-batch
 BATCH_BYTES = str(64 << 30)
 #: where the bytes of a row lie
@@ -75,7 +80,7 @@ def run_stream(spark: SparkSession, path: str, schema: StructType, id_: str, tex
 
     # a bracket pattern lets the source take a single file as well as a folder
     arrivals = spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(f"{path[:-1]}[{path[-1]}]")
-    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": STATE, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}):
+    with settings(spark, STATE):
         query = (
             keyed(located(arrivals, id_, text, digest)).writeStream.outputMode("update").foreachBatch(save)
             .option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
