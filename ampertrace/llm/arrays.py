@@ -25,6 +25,17 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where the table already has such columns."""
+    taken = {c.lower() for c in df.columns}
+    free = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        free.append(name)
+    return free
+
+
 def column(df: DataFrame, name: str) -> Column:
     """A column by its exact name, dots included."""
     return df[f"`{name}`"]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ampertrace.llm.arrays import column, whole
+from ampertrace.llm.arrays import column, spare, whole
 from ampertrace.session import cut_lineage, shared_folder
 
 STATE = {
@@ -144,5 +144,7 @@ def keep_one(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
     # rows that go are few in most corpora; the others keep their place
     gone = found.filter(~(F.col("_keep") == F.struct("_id", *LOCATOR))).select(*LOCATOR)
     landed = spark.read.parquet(path)
-    named = landed.withColumns({"_file": F.xxhash64("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    return named.join(gone.hint("shuffle_hash"), list(LOCATOR), "left_anti").select(*[column(landed, c) for c in docs.columns])
+    file, row = spare(docs, *LOCATOR)
+    named = landed.withColumns({file: F.xxhash64("_metadata.file_path"), row: F.col("_metadata.row_index")})
+    gone = gone.select(F.col("_file").alias(file), F.col("_row").alias(row)).hint("shuffle_hash")
+    return named.join(gone, [file, row], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

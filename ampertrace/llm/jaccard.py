@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampertrace.llm.arrays import column
+from ampertrace.llm.arrays import column, spare
 from ampertrace.llm.codes import MOST_CODES, arrow_type, blocks
 from ampertrace.llm.components import components
 from ampertrace.session import cut_lineage
@@ -363,5 +363,6 @@ def near_groups(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Dat
 def keep_one(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents but for those that have a smaller identifier in their component; all columns as they were."""
     groups = cut_lineage(near_groups(docs, id_, text))
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), column(docs, id_) == F.col("_gone"), "left_anti")
+    (name,) = spare(docs, "_gone")
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col(f"`{id_}`") == F.col(name), "left_anti")

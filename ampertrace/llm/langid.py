@@ -211,7 +211,8 @@ def pooled(runner: Runner, texts: list[str]) -> np.ndarray:
     with np.errstate(over="ignore"):
         for i in range(0, len(owner), WIDE):
             part = slice(i, i + WIDE)
-            x = np.where(places < left[part][None, :], flat[start[part][None, :] + places], PAD).astype(np.intp)
+            x = flat[start[part][None, :] + places].astype(np.intp)
+            x[places >= left[part][None, :]] = PAD
             np.add.at(sums, owner[part], runner.position_sums(x))
     return sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-9)
 

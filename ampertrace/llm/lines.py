@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampertrace.llm.arrays import column, let, whole
+from ampertrace.llm.arrays import column, let, spare, whole
 from ampertrace.session import cut_lineage
 
 WINDOW = 3
@@ -65,13 +65,15 @@ def covered_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with repeated passages removed from their texts; all rows and columns stay. Adds ``_covered``, null where nothing went."""
+    """The documents with repeated passages removed from their texts; all rows and columns stay. Adds the array ``_covered``, null where nothing went."""
     t = column(docs, text)
-    marked = docs.withColumns({"_id": column(docs, id_), "_hash": F.xxhash64(whole(t)), "_t": whole(t)})
-    gone = cut_lineage(covered_lines(marked.select("_id", "_hash", "_t"))).withColumnRenamed("_id", "_gid").withColumnRenamed("_hash", "_ghash")
-    both = marked.join(gone, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_hash") == F.col("_ghash")), "left")
-    new = F.when(F.col("covered").isNotNull(), without(F.col("_t"), F.col("covered"))).otherwise(F.col(f"`{text}`"))
-    return both.withColumn(text, new).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("covered").alias("_covered"))
+    slim = docs.select(column(docs, id_).alias("_id"), F.xxhash64(whole(t)).alias("_hash"), whole(t).alias("_t"))
+    own, gone_id, gone_hash, covered = spare(docs, "_hash", "_gone_id", "_gone_hash", "_covered")
+    gone = cut_lineage(covered_lines(slim)).toDF(gone_id, gone_hash, covered)
+    marked = docs.withColumn(own, F.xxhash64(whole(t)))
+    both = marked.join(gone, F.col(f"`{id_}`").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_hash)), "left")
+    new = F.when(F.col(covered).isNotNull(), without(F.col(f"`{text}`"), F.col(covered))).otherwise(F.col(f"`{text}`"))
+    return both.withColumn(text, new).select(*[F.col(f"`{c}`") for c in docs.columns], covered)
 
 
 def report(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:

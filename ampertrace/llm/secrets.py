@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampertrace.llm.arrays import column, let, whole
+from ampertrace.llm.arrays import column, let, spare, whole
 from ampertrace.session import cut_lineage, shared_folder
 
 
@@ -184,8 +184,8 @@ def mask_secrets(docs: DataFrame, id_: str = "doc_id", text: str = "text", ledge
     """The documents with their secrets replaced; all rows and columns stay, a text without secrets is unchanged."""
     ledger = ledger or Ledger(docs.sparkSession)
     ledger.scan(docs, id_, text, rules)
-    found = spans_of(ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    t = column(docs, text)
-    marked = docs.withColumn("_blob", address(whole(t))).join(found, "_blob", "left")
-    new = F.when(F.col("_spans").isNotNull(), masked(F.col(f"`{text}`"), F.col("_spans"))).otherwise(F.col(f"`{text}`"))
+    blob, spans = spare(docs, "_blob", "_spans")
+    found = spans_of(ledger, rules).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    marked = docs.withColumn(blob, address(whole(column(docs, text)))).join(found, blob, "left")
+    new = F.when(F.col(spans).isNotNull(), masked(F.col(f"`{text}`"), F.col(spans))).otherwise(F.col(f"`{text}`"))
     return marked.withColumn(text, new).select(*[F.col(f"`{c}`") for c in docs.columns])
