@@ -100,7 +100,8 @@ def test_packing(spark):
     rows = packing.pack_documents(table(spark, texts, "offset length _key"), PATH, partition_pieces=60).collect()
     used = check_packing(rows, texts)
     lengths = np.array([r["length"] for r in rows])
-    assert packing.lower_bound(lengths, 4096) <= used <= packing.best_fit_decreasing(lengths, 4096)[1] + 1
+    # three partitions of about 60 pieces cost some bins against packing all at once
+    assert packing.lower_bound(lengths, 4096) <= used <= 1.05 * packing.best_fit_decreasing(lengths, 4096)[1] + 1
     assert packing.pack_documents(table(spark, ["a"]).filter("false"), PATH).collect() == []
 
 
