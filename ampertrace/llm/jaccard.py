@@ -12,12 +12,16 @@ partition of the domain as well, where the same holds; if it is unlucky in all,
 
 Equal sets are one class. Sets that share a signature are candidates, and these are tested on their whole sets:
 
-1. Each class is tested against the least class with which it shares a signature. The found links make components. This
-   settles groups of near copies of any size with one test per member.
+1. The least class of a signature is its centre. Each class is tested against the centre with which it shares most
+   signatures. The found links make components. This settles groups of near copies of any size with one test per member.
 2. For signatures whose classes still lie in several components, classes of different components are compared in
    blocks by a folded set of 1024 parity bits. Each differing element turns one bit, so more differing bits than the
    bound prove that a pair is not similar; only the others leave the task, and are tested on their whole sets.
 
+Before a pair's sets are sent for a test, its shared signatures are counted: sets that differ in d elements agree on n - d
+parts, and of these t at most are empty in the luckier of the two, so fewer than n - d - t shared signatures prove that
+the pair is not similar. Pairs of which neither set is lucky (see above) are tested without this.
+
 Elements are 64-bit hashes of shingles. Classes are numbered by 64 bits of a set's hash; a second 64 bits and the
 size tell whether a number stands for two sets, and then everything is numbered by another seed.
 
@@ -32,6 +36,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -165,6 +170,22 @@ def class_numbers(sets: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.nda
     return sums(0), sums(1)
 
 
+def lucky(s: np.ndarray) -> bool:
+    """Whether the set has no more empty parts than are spared, in all its bands."""
+    elements = mix(s ^ salt(0))
+    for band in bands_of(len(s)):
+        parts, spare = parts_of(band)
+        if parts - len(np.unique(elements % U64(parts))) > spare:
+            return False
+    return True
+
+
+def needed(small: int, large: int) -> int:
+    """Signatures that similar sets of these sizes share at least, if one of them is lucky."""
+    parts, spare = parts_of(band_of(small))
+    return max(1, parts - (small + large) // 9 - spare)
+
+
 def sketch(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s % U64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
@@ -230,7 +251,7 @@ def shared(signed: DataFrame) -> DataFrame:
 
 
 def candidate_sets(slim: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """``cls node size elements sketch`` of the wanted classes (``cls node``), read from the document that names each."""
+    """``cls node size lucky elements sketch`` of the wanted classes (``cls node``), read from the document that names each."""
     kind, id_arrow = slim.schema["doc_id"].dataType.simpleString(), arrow_type(slim, "doc_id")
     side = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted.hint("shuffle_hash")
     texts = slim.join(side, F.col("doc_id") == F.col("node")).select("cls", "node", "_t")
@@ -241,12 +262,25 @@ def candidate_sets(slim: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
             sets = shingle_sets(found, hashes)
             own = class_numbers(sets, seed)[0].tolist()
             # an identifier may be there twice with different texts
-            good = [(r[0], r[1], len(s), s.tobytes(), sketch(s)) for r, s, c in zip(rows, sets, own) if r[0] == c]
+            good = [(r[0], r[1], len(s), lucky(s), s.tobytes(), sketch(s)) for r, s, c in zip(rows, sets, own) if r[0] == c]
             if good:
-                kinds = (pa.int64(), id_arrow, pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*good), kinds)], names=["cls", "node", "size", "elements", "sketch"])
+                kinds = (pa.int64(), id_arrow, pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*good), kinds)], names=["cls", "node", "size", "lucky", "elements", "sketch"])
+
+    return texts.mapInArrow(run, f"cls bigint, node {kind}, size bigint, lucky boolean, elements binary, sketch binary")
+
+
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs ``x y n`` of classes that share ``n`` signatures those that may be similar."""
+    narrow = sets.select("cls", "size", "lucky").distinct()
+    both = pairs.join(narrow.toDF("x", "nx", "lx"), "x").join(narrow.toDF("y", "ny", "ly"), "y")
+
+    @F.pandas_udf("long")
+    def least(small: pd.Series, large: pd.Series) -> pd.Series:
+        return pd.Series([needed(a, b) for a, b in zip(small.tolist(), large.tolist())])
 
-    return texts.mapInArrow(run, f"cls bigint, node {kind}, size bigint, elements binary, sketch binary")
+    enough = F.col("n") >= F.when(F.col("lx") | F.col("ly"), least(F.least("nx", "ny"), F.greatest("nx", "ny"))).otherwise(1)
+    return both.filter("5 * least(nx, ny) >= 4 * greatest(nx, ny)").filter(enough).select("x", "y", "n")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -286,7 +320,7 @@ def close_pairs(size: np.ndarray, group: np.ndarray, bits: np.ndarray) -> Iterat
 
 
 def unsettled_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs ``x y`` of classes that share a signature and lie in different components (``sig cls grp size sketch``)."""
+    """Pairs ``x y`` of classes in different components with the number ``n`` of signatures they share (``sig cls grp size sketch``)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -316,7 +350,7 @@ def unsettled_pairs(rows: DataFrame) -> DataFrame:
             yield from pairs_of(pa.Table.from_batches(held))
 
     sorted_rows = rows.select("sig", "cls", "grp", "size", "sketch").repartition("sig").sortWithinPartitions("sig")
-    return sorted_rows.mapInArrow(run, "x bigint, y bigint").distinct()
+    return sorted_rows.mapInArrow(run, "x bigint, y bigint").groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
 def links(slim: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
@@ -325,19 +359,20 @@ def links(slim: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     members = groups.select("cls").unionByName(groups.select(F.col("centre").alias("cls"))).distinct()
     wanted = cut_lineage(classes.filter("node is not null").join(members, "cls").select("cls", "node"))
     sets = cut_lineage(candidate_sets(slim, wanted, seed))
-    first = groups.groupBy(F.col("cls").alias("y")).agg(F.min("centre").alias("x")).select("x", "y")
-    found = cut_lineage(similar(first, sets))
+    pairs = cut_lineage(groups.groupBy(F.col("centre").alias("x"), F.col("cls").alias("y")).agg(F.count("*").alias("n")))
+    best = likely(pairs, sets).groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x"))
+    tested = cut_lineage(best.select("x", "y"))
+    found = cut_lineage(similar(tested, sets))
     root = components(found)
-    named = sets.select("cls", "node").join(root, "node", "left").select("cls", F.xxhash64(F.coalesce("root", "node")).alias("grp"))
-    named = cut_lineage(named.distinct())
-    with_groups = groups.join(named, "cls").join(named.select(F.col("cls").alias("centre"), F.col("grp").alias("centre_grp")), "centre")
-    open_sigs = with_groups.filter("grp <> centre_grp").select("sig").distinct()
-    unsettled = with_groups.join(open_sigs, "sig", "left_semi")
-    rows = unsettled.select("sig", "cls", "grp").unionByName(unsettled.select("sig", F.col("centre").alias("cls"), F.col("centre_grp").alias("grp")).distinct())
-    rows = rows.join(sets.select("cls", "size", "sketch"), "cls")
-    tested = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = similar(unsettled_pairs(rows).join(tested, ["x", "y"], "left_anti"), sets)
-    return found.unionByName(rest)
+    named = sets.select("cls", "node").distinct().join(root, "node", "left").select("cls", F.xxhash64(F.coalesce("root", "node")).alias("grp"))
+    named = cut_lineage(named)
+    apart = pairs.join(named.toDF("x", "gx"), "x").join(named.toDF("y", "gy"), "y").filter("gx <> gy").select(F.col("x").alias("centre"), F.col("y").alias("cls"))
+    open_sigs = cut_lineage(groups.join(apart, ["centre", "cls"], "left_semi").select("sig").distinct())
+    unsettled = cut_lineage(groups.join(open_sigs, "sig", "left_semi"))
+    members = unsettled.select("sig", "cls").unionByName(unsettled.select("sig", F.col("centre").alias("cls")).distinct())
+    rows = members.join(sets.select("cls", "size", "sketch").join(named, "cls"), "cls")
+    rest = likely(unsettled_pairs(rows).join(tested, ["x", "y"], "left_anti"), sets)
+    return found.unionByName(similar(cut_lineage(rest), sets))
 
 
 def near_groups(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
