@@ -122,11 +122,22 @@ def status_description(code: Column) -> Column:
     return F.coalesce(known[code], F.lit("Nieznany status"))
 
 
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def payload_map(c: Column | str) -> Column:
+    """Top level of a JSON object; nested values stay JSON text. NULL for anything that is not strict JSON."""
+    return F.from_json(as_column(c), "map<string,string>", STRICT)
+
+
 def payload_entries(c: Column | str) -> Column:
-    """Top level of a JSON object as (lower-case key, text value) pairs; nested values stay JSON text."""
+    """Top level of a JSON object as (lower-case key, text value) pairs."""
+    return entries_of(payload_map(c))
+
+
+def entries_of(top: Column) -> Column:
     return F.transform(
-        F.map_entries(F.from_json(as_column(c), "map<string,string>")),
-        lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")),
+        F.map_entries(top), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value"))
     )
 
 
@@ -164,24 +175,47 @@ def _as_text(value) -> str | None:
 
 
 def _as_number(value) -> float | None:
+    """A JSON number as it is; in any other value the first plain decimal number of its text."""
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        try:
+            return float(value)
+        except OverflowError:
+            return None
     text = _as_text(value)
     match = _NUMBER.search(text.strip().replace(",", ".")) if text else None
     return float(match.group()) if match else None
 
 
-def _index(node, values: dict[str, list], wanted: set[str]) -> None:
+def _reject(word: str):
+    raise ValueError(f"{word} is not JSON")
+
+
+def _parse(raw: str | None):
+    """The value of strict JSON; None for anything unreadable, too deep nesting included."""
+    if raw is None:
+        return None
+    try:
+        return json.loads(raw, parse_constant=_reject)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _index(root, wanted: set[str]) -> dict[str, list]:
     """Values of the wanted keys in reading order: a node's own keys come before its children."""
-    if isinstance(node, dict):
-        for name, value in node.items():
-            key = name.strip().lower()
-            if key in wanted:
-                values.setdefault(key, []).append(value)
-        node = node.values()
-    elif not isinstance(node, list):
-        return
-    for child in node:
-        if isinstance(child, (dict, list)):
-            _index(child, values, wanted)
+    values: dict[str, list] = {}
+    waiting = [root]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            for name, value in node.items():
+                key = name.strip().lower()
+                if key in wanted:
+                    values.setdefault(key, []).append(value)
+            children = list(node.values())
+        else:
+            children = node if isinstance(node, list) else []
+        waiting += [child for child in reversed(children) if isinstance(child, (dict, list))]
+    return values
 
 
 def nested_fields(c: Column, metrics: dict[str, Sequence[str]], texts: dict[str, Sequence[str]]) -> Column:
@@ -194,14 +228,7 @@ def nested_fields(c: Column, metrics: dict[str, Sequence[str]], texts: dict[str,
     def extract(payloads: pd.Series) -> pd.DataFrame:
         columns: dict[str, list] = {n: [] for n, _, _ in wanted}
         for raw in payloads:
-            tree = None
-            if raw is not None:
-                try:
-                    tree = json.loads(raw)
-                except ValueError:
-                    tree = None
-            values: dict[str, list] = {}
-            _index(tree, values, every_key)
+            values = _index(_parse(raw), every_key)
             for name, keys, parse in wanted:
                 hits = (parse(value) for key in keys for value in values.get(key, ()))
                 columns[name].append(next((h for h in hits if h is not None), None))
@@ -212,9 +239,15 @@ def nested_fields(c: Column, metrics: dict[str, Sequence[str]], texts: dict[str,
     return extract(c)
 
 
-def is_flat(c: Column) -> Column:
-    """True for one JSON object without brackets or braces inside; anything else needs the tree walk."""
-    return F.coalesce(c.rlike(r"^\s*\{[^\[\]{}]*\}\s*$"), F.lit(False))
+def is_flat(c: Column, top: Column) -> Column:
+    """True where the top level (``payload_map``) says all; anything else needs the tree walk.
+
+    That is one JSON object without brackets or braces inside, without numbers that have an exponent (as text they
+    look like a text with a number in it) and without a key that is there twice.
+    """
+    keys = F.map_keys(top)
+    plain = c.rlike(r"^\s*\{[^\[\]{}]*\}\s*$") & ~c.rlike(r":\s*-?[0-9.]+[eE]")
+    return F.coalesce(plain & (F.size(keys) == F.size(F.array_distinct(keys))), F.lit(False))
 
 
 def efficiency(direct: Column, left: Column, right: Column) -> Column:

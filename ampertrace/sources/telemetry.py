@@ -83,8 +83,9 @@ def _payload_fields(df: DataFrame, json_null_is_text: bool = False) -> DataFrame
     """Adds ``_found``, a struct of all metric and text fields of ``row_json``."""
     metrics = {**P.METRIC_KEYS, **P.EFFICIENCY_KEYS}
     texts = {**P.TEXT_KEYS, **P.STATUS_KEYS}
-    staged = df.withColumn("_flat", P.is_flat(F.col("row_json")))
-    staged = staged.withColumn("_entries", F.when(F.col("_flat"), P.payload_entries("row_json")))
+    staged = df.withColumn("_top", P.payload_map("row_json"))
+    staged = staged.withColumn("_flat", P.is_flat(F.col("row_json"), F.col("_top")))
+    staged = staged.withColumn("_entries", F.when(F.col("_flat"), P.entries_of(F.col("_top"))))
     staged = staged.withColumn("_deep", P.nested_fields(F.when(~F.col("_flat"), F.col("row_json")), metrics, texts))
     return staged.withColumn(
         "_found",
@@ -95,7 +96,7 @@ def _payload_fields(df: DataFrame, json_null_is_text: bool = False) -> DataFrame
                 for n, k in texts.items()
             ],
         ),
-    ).drop("_flat", "_entries", "_deep")
+    ).drop("_top", "_flat", "_entries", "_deep")
 
 
 def build_processed(raw: DataFrame, variant: str = "processed", json_null_is_text: bool = False) -> DataFrame:

@@ -45,6 +45,36 @@ def test_flat_and_nested_payloads_agree(spark):
     assert got[:3] == [(0, 5.5, None, None, "A"), (1, None, 2.0, None, None), (2, None, None, 3.9, None)]
 
 
+GOLDEN_PAYLOADS = [
+    ('{"rx":1e-05,"temp":-2.5E+1}', (1e-05, -25.0, None)),
+    ('{"rx":"1.5e3","sample":"1e5"}', (1.5, None, "1e5")),
+    ('{"rx":"5","rx":"6"}', (6.0, None, None)),
+    ('{"RX":"5","rx":"6","sample":"a"}', (5.0, None, "a")),
+    ("{'rx':'5'}", (None, None, None)),
+    ('{"rx":NaN,"sample":"x"}', (None, None, None)),
+    ('{"rx":true,"temp":null,"sample":""}', (None, None, None)),
+    ('{"rx":"n/a","temperature":"7,5 C"}', (None, 7.5, None)),
+    ('{"rx":1} {"rx":2}', (None, None, None)),
+    ("", (None, None, None)),
+]
+
+
+def test_payload_golden_rows(spark):
+    """A payload gives the same values flat, inside an object and inside an array."""
+    rows = [(i, form.format(text) if text else text, i % len(GOLDEN_PAYLOADS)) for i, (text, form) in enumerate(
+        (text, form) for form in ("{}", '{{"in":{}}}', '{{"list":[[{}]]}}') for text, _ in GOLDEN_PAYLOADS)]
+    raw = spark.createDataFrame(rows, "raw_id long, row_json string, k int")
+    found = telemetry._payload_fields(raw).select("raw_id", "k", "_found.rx", "_found.temperature", "_found.sample_label").collect()
+    for r in found:
+        assert tuple(r)[2:] == GOLDEN_PAYLOADS[r["k"]][1], rows[r["raw_id"]]
+
+
+def test_deep_payload_does_not_end_the_job(spark):
+    texts = ['{"a":' * 100_000 + "1" + "}" * 100_000, '{"a":' * 300 + '{"rx":3}' + "}" * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "row_json string")
+    assert [r[0] for r in telemetry._payload_fields(df).select("_found.rx").collect()] == [None, 3.0]
+
+
 def test_candidate_flags(spark):
     rows = [
         ("3", "Foreign Object", None), ("3", None, None), ("15", "RFID", None), ("15", None, None), ("2", None, None), ("15", "RFID", "coin"),
