@@ -44,10 +44,13 @@ def substring_pairs(texts: DataFrame, text: str, terms: DataFrame, term: str) ->
     distinct = terms.filter(F.length(term) > 0).withColumn("_term_id", F.to_json(F.struct(*terms.columns)))
     own = F.when(F.length(term) >= GRAM, _grams(F.col(term), GRAM)).otherwise(F.array(F.col(term)))
     keyed = _rarest(distinct, own).drop("_term_id")
-    probe = F.concat(*[_grams(F.col(text), n) for n in range(1, GRAM + 1)])
+    grams = F.concat(*[_grams(F.col(text), n) for n in range(1, GRAM + 1)])
+    # the texts themselves are not copied for each group of characters; a shared hash is settled by the exact test
+    probes = texts.select(F.xxhash64(text).alias("_text_id"), F.explode(F.array_distinct(grams)).alias("_key")).distinct()
+    candidates = probes.join(keyed, "_key").drop("_key")
     return (
-        texts.withColumn("_key", F.explode(F.array_distinct(probe)))
-        .join(keyed, "_key")
+        texts.withColumn("_text_id", F.xxhash64(text))
+        .join(candidates, "_text_id")
         .filter(F.contains(F.col(text), F.col(term)))
-        .drop("_key")
+        .drop("_text_id")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ahocorasick
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,6 @@ from ampertrace.functions.text import strip, text_or_blank
 from ampertrace.operators.matching import subset_pairs, substring_pairs
 
 RECORD = ("name", "department", "person_hash", "normalized_name")
-BROADCAST_NAMES = 50_000
 
 
 def directory(people: DataFrame) -> DataFrame:
@@ -133,72 +130,31 @@ def person_view(items: DataFrame, role: str) -> DataFrame:
     )
 
 
-def _masker(names: list[tuple[str, str]]):
-    """Batch function replacing names one after the other, longest first, ignoring case."""
-    ordered = sorted(names, key=lambda n: (-len(n[0]), n[0]))
+def mask_names(df: DataFrame, column: str, people: DataFrame, mode: str = "hash") -> DataFrame:
+    """Replace known names by the person hash, or strip them (mode ``strip``). Case is ignored, longer names go first.
 
-    def replace(texts: pd.Series) -> pd.Series:
-        import re
-
-        index = ahocorasick.Automaton()
-        for at, (name, mark) in enumerate(ordered):
-            index.add_word(name.lower(), at)
-        patterns = {}
-        if ordered:
-            index.make_automaton()
-
-        def one(text: str | None) -> str:
-            if not text:
-                return ""
-            for at in sorted({at for _, at in index.iter(text.lower())} if ordered else ()):
-                if at not in patterns:
-                    patterns[at] = re.compile(re.escape(ordered[at][0]), re.IGNORECASE)
-                mark = ordered[at][1]
-                text = patterns[at].sub(lambda _: mark, text)
-            return text
-
-        return texts.map(one)
-
-    return replace
-
-
-def mask_names(df: DataFrame, column: str, people: DataFrame, mode: str = "hash", id_column: str = "work_item_id") -> DataFrame:
-    """Replace known names by the person hash, or strip them (mode ``strip``).
-
-    Up to ``BROADCAST_NAMES`` names travel to the executors as one automaton. A larger directory is
-    joined to the texts instead, and each text is then edited with just its own names.
+    The distinct texts are joined to the names they contain, whatever the size of the directory, and each text is
+    edited with just its own names. NULL becomes an empty text.
     """
     mark = F.col("person_hash") if mode == "hash" else F.lit(" ")
-    pairs = people.filter(F.col("name") != "").groupBy(F.lower("name").alias("_lower")).agg(
+    terms = people.filter(F.col("name") != "").groupBy(F.lower("name").alias("_term")).agg(
         F.min(F.struct(F.col("name").alias("name"), mark.alias("mark"))).alias("_n")
-    ).select("_n.*")
-    known = [(r["name"], r["mark"]) for r in pairs.limit(BROADCAST_NAMES + 1).collect()]
-    if len(known) <= BROADCAST_NAMES:
-        masked = df.withColumn(column, F.pandas_udf(_masker(known), "string")(F.col(column)))
-    else:
-        masked = _mask_by_join(df, column, pairs, id_column)
-    if mode == "strip":
-        return masked.withColumn(column, collapse(column))
-    return masked
-
-
-def _mask_by_join(df: DataFrame, column: str, pairs: DataFrame, id_column: str) -> DataFrame:
-    terms = pairs.withColumn("_term", F.lower("name"))
-    texts = df.select(id_column, F.lower(column).alias("_text")).distinct()
-    hits = substring_pairs(texts, "_text", terms, "_term")
+    ).select("_term", "_n.*")
+    given = df.withColumn("_given", F.coalesce(F.col(column).cast("string"), F.lit("")))
+    texts = given.select("_given").distinct().withColumn("_text", F.lower("_given"))
     order = F.struct((-F.length("name")).alias("l"), "name", "mark")
-    per_text = hits.groupBy(id_column).agg(F.array_sort(F.collect_set(order)).alias("_names"))
-    joined = df.join(per_text, id_column, "left")
+    per_text = substring_pairs(texts, "_text", terms, "_term").groupBy("_given").agg(F.array_sort(F.collect_set(order)).alias("_names"))
     edited = F.aggregate(
-        "_names",
-        F.coalesce(F.col(column), F.lit("")),
-        lambda text, n: F.regexp_replace(text, F.concat(F.lit("(?i)"), _quoted(n["name"])), n["mark"]),
+        "_names", F.col("_given"), lambda text, n: F.regexp_replace(text, F.concat(F.lit("(?iu)"), _quoted(n["name"])), n["mark"])
     )
-    return joined.withColumn(column, F.coalesce(edited, F.col(column), F.lit(""))).drop("_names")
+    masked = given.join(per_text, "_given", "left").withColumn(column, F.coalesce(edited, F.col("_given"))).drop("_names", "_given")
+    if mode == "strip":
+        return masked.withColumn(column, collapse(column))
+    return masked
 
 
 def _quoted(name: Column) -> Column:
-    return F.regexp_replace(name, r"([^A-Za-z0-9 ])", r"\\$1")
+    return F.regexp_replace(name, r"([^\p{L}\p{N} ])", r"\\$1")
 
 
 def match_label(wanted: DataFrame, entries: DataFrame) -> DataFrame:

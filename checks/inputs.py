@@ -42,17 +42,17 @@ from e
 WORK_ITEMS = """
 select o.o_orderkey as work_item_id, concat('PRJ', cast(o.o_custkey % 12 as string)) as project,
  case when o.o_orderkey % 10 < 5 then 'Defect' when o.o_orderkey % 10 < 9 then 'Finding (review)' else 'Task' end as type,
- c.c_name as owner, concat('Customer#', lpad(cast((o.o_custkey * 7) % 100 as string), 9, '0')) as creator,
+ c.c_name as owner, concat('Customer#', lpad(cast((o.o_custkey * 7) % 1700 as string), 9, '0')) as creator,
  concat(p.p_name, ' fails at ', lower(o.o_orderpriority), ' ABC-', cast(o.o_orderkey as string)) as work_item,
  concat('https://items/', cast(o.o_orderkey % 1000 as string)) as work_item_url,
  o.o_orderdate as created
-from {orders} o join {customer} c on c.c_custkey = o.o_custkey join {part} p on p.p_partkey = o.o_orderkey % 50
+from {orders} o join {customer} c on c.c_custkey = o.o_custkey join {part} p on p.p_partkey = 1 + o.o_orderkey % (select max(p_partkey) from {part})
 """
 
 PEOPLE = """
 select c_custkey as id, c_name as name, lower(replace(c_name, '#', ' ')) as normalized_name,
  concat('DEP', cast(c_nationkey % 5 as string)) as department, concat('login', cast(c_custkey as string)) as jazz_login
-from {customer} where c_custkey < 100
+from {customer}
 """
 
 REPORT_STEPS = """

@@ -150,9 +150,9 @@ def _(spark, sf):
     return filters.apply_scope(inputs.processed(spark, sf), scope).select("raw_id", "phone", "event_ts")
 
 
-@query("b5_scope_dual_and_defect", f"with p as ({P}) select raw_id, defect_id from p where dual_charging_flag and defect_id ilike '%def-1%'")
+@query("b5_scope_dual_and_defect", f"with p as ({P}) select raw_id, defect_id from p where dual_charging_flag and defect_id ilike '%def-%'")
 def _(spark, sf):
-    scope = filters.Scope(dual_charging="tak", defect_id="def-1")
+    scope = filters.Scope(dual_charging="tak", defect_id="def-")
     return filters.apply_scope(inputs.processed(spark, sf), scope).select("raw_id", "defect_id")
 
 

@@ -158,7 +158,7 @@ def _(spark, sf):
     f"""{WITH}, r as (select w.*, o.name is not null as ok, c.name is not null as ck from w left join pe o on o.name = w.owner left join pe c on c.name = w.creator)
  select count(*) as parsed, count(*) filter (where ok) as owner_matched, count(*) filter (where ck) as creator_matched, count(*) filter (where ok or ck) as either_matched,
  count(*) filter (where ok and ck) as both_matched, count(*) filter (where not ok and not ck) as dropped,
- (select string_agg(owner, ',' order by owner) from (select distinct owner from r where not ok order by owner limit 5)) as unknown_owner_samples,
+ coalesce((select string_agg(owner, ',' order by owner) from (select distinct owner from r where not ok order by owner limit 5)), '') as unknown_owner_samples,
  coalesce((select string_agg(creator, ',' order by creator) from (select distinct creator from r where not ck order by creator limit 5)), '') as unknown_creator_samples from r""",
 )
 def _(spark, sf):
