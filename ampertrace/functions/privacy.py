@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,7 +24,10 @@ COMMA_NAME = r"(?U)(?<!\w)([A-Z][a-z]+(?:-[A-Z][a-z]+)*)\s*,\s*([A-Z][a-z]+(?:-[
 CAMEL_NAME = rf"(?U)\b[{UPPER}][{LOWER}]+(?:[{UPPER}][{LOWER}]+)+\b"
 NOISE_PREFIX = r"(?mdU)^\s*(?:[\-•‣▪●·]+|\d{1,3}[.)]|[|/])\s+(?=\w)"
 ISO_DATE = r"\b(19|20)\d\d[\-/.‐‑‒–—−](0[1-9]|1[0-2])[\-/.‐‑‒–—−](0[1-9]|[12]\d|3[01])\b"
-ID_TOKEN = r"^[A-Za-z]{2,10}[\s_\-]?\d{3,}$"
+IDENTIFIER = r"[A-Za-z]{2,10}[_\-‐-—−]?\d{3,}"
+TOKEN_CHARS = r"A-Za-z0-9_\-‐-—−"
+MAIL_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.+-"
+MAIL_HOST = r"[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+"
 MARKS = {"email": "mail@mail.com", "phone": "phone number", "client": "Client", "person": "Name"}
 
 
@@ -43,8 +47,8 @@ def client_marker(c: Column) -> Column:
     return F.lower(strip(F.regexp_replace(c, r"[\s-]+", " ")))
 
 
-def person_like(c: Column | str, client_names: Sequence[str] = ()) -> Column:
-    """Names written "Surname, Given" or glued in CamelCase, sorted, without client names."""
+def person_like(c: Column | str) -> Column:
+    """Names written "Surname, Given" or glued in CamelCase, sorted."""
     text = as_column(c)
     pairs = F.transform(
         F.regexp_extract_all(preclean(text), F.lit(COMMA_NAME), F.lit(0)),
@@ -55,48 +59,44 @@ def person_like(c: Column | str, client_names: Sequence[str] = ()) -> Column:
         F.regexp_extract_all(text, F.lit(CAMEL_NAME), F.lit(0)),
         lambda w: F.array_join(F.regexp_extract_all(w, F.lit(f"[{UPPER}][{LOWER}]+"), F.lit(0)), " "),
     )
-    found = F.array_sort(F.array_distinct(F.concat(pairs, glued)))
-    if not client_names:
-        return found
-    known = F.array(*[F.lit(n) for n in client_names])
-    return F.filter(found, lambda p: ~F.array_contains(known, F.lower(F.regexp_replace(p, r"[\s-]+", " "))))
+    return F.array_sort(F.array_distinct(F.concat(pairs, glued)))
 
 
-def _unify(text: str) -> str:
-    """Without soft hyphens, one kind of hyphen, words hyphenated over a line end rejoined."""
-    text = text.replace(SOFT_HYPHEN, "").translate({ord(h): "-" for h in HYPHENS})
-    return re.sub(r"(\w)-\s*\n+\s*(\w)", r"\1-\2", text)
+def without_soft_hyphens(c: Column | str) -> Column:
+    return F.translate(as_column(c), SOFT_HYPHEN, "")
 
 
-_PHONE = re.compile(PHONE)
-_DATE = re.compile(ISO_DATE)
-_ID = re.compile(ID_TOKEN)
-_TOKEN_CHAR = re.compile(r"[A-Za-z0-9_\-‐-—−]")
-
+def folded_words(c: Column | str) -> Column:
+    """Distinct words in one case, the keys under which names are looked up."""
+    folded = F.lower(F.upper(without_soft_hyphens(c)))
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
-def _token_around(text: str, start: int, end: int) -> str:
-    while start > 0 and _TOKEN_CHAR.match(text[start - 1]):
-        start -= 1
-    while end < len(text) and _TOKEN_CHAR.match(text[end]):
-        end += 1
-    return text[start:end]
 
+# ---- one text at a time: helpers of the Arrow passes ---------------------------------------------
 
-def find_phones(text: str) -> list[str]:
-    """Phone-like digit groups that are no dates and no part of an identifier."""
-    found = []
+_PHONE = re.compile(PHONE)
+_IDENTIFIER = re.compile(rf"(?<![{TOKEN_CHARS}]){IDENTIFIER}(?![{TOKEN_CHARS}])")
+_DATE_LIKE = re.compile(rf"{ISO_DATE}|^[^\s-]{{4}}[\s-][^\s-]{{2}}[\s-][^\s-]{{2}}$")
+_MAIL_HOST = re.compile(MAIL_HOST)
+_BROKEN = re.compile(rf"(?<=\w[{re.escape(HYPHENS)}])\s+(?=\w)")
+_ALIKE = {ord(h): "-" for h in HYPHENS}
+_WORD = re.compile(r"\w+|[^\w\s-]")
+_JOINT = re.compile(r"\s*-\s*|\s+")
+#: kinds of finds; where finds overlap, the earliest kind names the whole
+KINDS = ("email", "phone", "client", "person")
+
+
+def phone_spans(text: str) -> list[tuple[int, int]]:
+    """Places of phone-like digit groups that are no dates and do not lie in an identifier."""
+    identifiers = [m.span() for m in _IDENTIFIER.finditer(text)]
+    found, k = [], 0
     for match in _PHONE.finditer(text):
-        number = match.group()
-        plain = _unify(number)
-        groups = [len(part) for part in re.split(r"[\s\-/.]", plain)]
-        token = _unify(_token_around(text, match.start(), match.end())).strip()
-        if (
-            sum(ch.isdigit() for ch in number) >= 7
-            and not _DATE.search(number) and not _DATE.search(plain)
-            and groups != [4, 2, 2]
-            and not _ID.match(token)
-        ):
-            found.append(number)
+        start, end = match.span()
+        while k < len(identifiers) and identifiers[k][1] <= start:
+            k += 1
+        inside = k < len(identifiers) and identifiers[k][0] <= start and end <= identifiers[k][1]
+        if not inside and sum(map(str.isdigit, match.group())) >= 7 and not _DATE_LIKE.search(match.group()):
+            found.append((start, end))
     return found
 
 
@@ -104,150 +104,172 @@ def phones(c: Column | str) -> Column:
     """Phone numbers in order. Texts without a long enough digit run do not go to Python."""
     text = as_column(c)
     find = F.pandas_udf(
-        lambda texts: texts.map(lambda t: [] if t is None else find_phones(t)), "array<string>"
+        lambda texts: texts.map(lambda t: [] if t is None else [t[s:e] for s, e in phone_spans(t)]), "array<string>"
     )
     return find(F.when(text.rlike("(?U)" + PHONE), text))
 
 
-@dataclass
-class Client:
-    """One approved client: patterns in the order they are applied, and a literal each match contains."""
-
-    canonical: str
-    patterns: list[re.Pattern] = field(default_factory=list)
-    literals: list[str | None] = field(default_factory=list)
-
-
-def client_pattern(name: str, flags: int) -> tuple[re.Pattern, str]:
-    """Pattern of a name whose parts may be joined by any hyphen or by spaces, and its longest part."""
-    parts = [p for p in re.split(r"[\s-]+", name) if p] or [name]
-    joint = rf"(?:\s*[{re.escape(HYPHENS)}]\s*|\s+)"
-    after = rf"[\w{re.escape(HYPHENS)}]" if len(parts) == 1 else r"\w"
-    body = joint.join(re.escape(p) for p in parts)
-    return re.compile(rf"(?<!\w){body}(?!{after})", flags), max(parts, key=len).lower()
-
-
-def compile_client(record: dict) -> Client:
-    flags = re.IGNORECASE if record.get("case_insensitive", True) else 0
-    client = Client(record["canonical"].strip())
-    seen = set()
-    for name in [record["canonical"], *(record.get("aliases") or [])]:
-        marker = re.sub(r"[\s-]+", " ", (name or "").strip()).strip().lower()
-        if marker and marker not in seen:
-            seen.add(marker)
-            pattern, literal = client_pattern(name.strip(), flags)
-            client.patterns.append(pattern)
-            client.literals.append(literal)
-    for custom in record.get("patterns") or []:
-        try:
-            client.patterns.append(re.compile(custom.strip(), flags))
-            client.literals.append(None)
-        except re.error:
-            continue
-    return client
-
-
-def compile_clients(records: list[dict]) -> list[Client]:
-    approved = [r for r in records if (r.get("status") or "approved") == "approved" and (r.get("canonical") or "").strip()]
-    return sorted((compile_client(r) for r in approved), key=lambda c: (-len(c.canonical), c.canonical))
-
-
-class ClientFinder:
-    """Finds clients in a text; only those whose literal occurs are tried."""
-
-    def __init__(self, clients: list[Client]):
-        import ahocorasick
-
-        self.clients = clients
-        self.always = {i for i, c in enumerate(clients) if None in c.literals}
-        owners: dict[str, set[int]] = {}
-        for i, client in enumerate(clients):
-            for literal in client.literals:
-                if literal:
-                    owners.setdefault(literal, set()).add(i)
-        self.index = ahocorasick.Automaton()
-        for literal, at in owners.items():
-            self.index.add_word(literal, at)
-        if owners:
-            self.index.make_automaton()
-        self.has_words = bool(owners)
-
-    def find(self, text: str) -> list[Client]:
-        plain = _unify(text)
-        candidates = set(self.always)
-        if self.has_words:
-            for _, owners in self.index.iter(plain.lower()):
-                candidates |= owners
-        return [self.clients[i] for i in sorted(candidates) if any(p.search(plain) for p in self.clients[i].patterns)]
-
-
-def mask(text: str, mails: Sequence[str], persons: Sequence[str], finder: ClientFinder, endings: Sequence[re.Pattern]) -> str:
-    """Replace e-mails, phones, clients and persons, longest first, then half-replaced client names."""
-    numbers, clients = find_phones(text), finder.find(text)
-    longest = lambda found: sorted(set(found), key=lambda x: (-len(x), x))
-    for mail in longest(mails):
-        text = text.replace(mail, MARKS["email"])
-    for number in longest(numbers):
-        text = re.sub(re.escape(number).replace(r"\ ", r"[\s\-]?"), MARKS["phone"], text)
-    for client in clients:
-        for pattern in client.patterns:
-            text = pattern.sub(MARKS["client"], text)
-    for person in longest(persons):
-        body = re.escape(person).replace(r"\ ", r"\s*").replace(",", r"\s*,\s*")
-        text = re.sub(rf"(?<!\w){body}(?!\w)", MARKS["person"], text)
-    for ending in endings:
-        text = ending.sub(MARKS["client"], text)
-    return text
-
-
-def half_name_patterns(records: list[dict]) -> list[re.Pattern]:
-    """Patterns for what is left of a hyphenated client name whose first part was replaced."""
-    last_parts = []
-    for record in records:
-        parts = [p for p in re.split(r"[\s-]+", record.get("canonical") or "") if p]
-        if len(parts) >= 2:
-            last_parts.append(parts[-1])
+def mail_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Places of e-mail addresses, in one pass from one @ to the next."""
+    floor, at = 0, text.find("@")
+    while at >= 0:
+        before = text[floor:at]
+        start = floor + len(before.rstrip(MAIL_CHARS))
+        host = _MAIL_HOST.match(text, at + 1)
+        if start < at and host:
+            yield start, host.end()
+        floor = host.end() if start < at and host else at + 1
+        at = text.find("@", floor)
+
+
+def plain_text(text: str) -> tuple[str, Sequence[int]]:
+    """The text without soft hyphens and without line breaks after a hyphen, and where each character stood."""
+    places: Sequence[int] = range(len(text))
+    if SOFT_HYPHEN in text:
+        places = [i for i, ch in enumerate(text) if ch != SOFT_HYPHEN]
+        text = text.replace(SOFT_HYPHEN, "")
+    gaps = [m.span() for m in _BROKEN.finditer(text) if "\n" in m.group()]
+    if gaps:
+        edges = [0, *chain.from_iterable(gaps), len(text)]
+        kept = [slice(s, e) for s, e in zip(edges[::2], edges[1::2])]
+        places = [p for k in kept for p in places[k]]
+        text = "".join(text[k] for k in kept)
+    return text, places
+
+
+class Words:
+    """The words and signs of a text, by which names are found.
+
+    The words of a name may be joined by any hyphen or by spaces. A name does not begin or end inside a word, and a
+    name of one part is not followed by a hyphen.
+    """
+
+    def __init__(self, plain: str):
+        self.text = plain.translate(_ALIKE)
+        self.spans = [m.span() for m in _WORD.finditer(self.text)]
+        self.given = [self.text[s:e] for s, e in self.spans]
+        self.folded = [w.casefold() for w in self.given]
+        self.first: dict[str, list[int]] = defaultdict(list)
+        for i, word in enumerate(self.folded):
+            self.first[word].append(i)
+
+    def gap(self, i: int) -> str:
+        """How word i is tied to the one before: "" (touching), "-" (joined), "?" (else)."""
+        between = self.text[self.spans[i - 1][1] : self.spans[i][0]]
+        return "" if not between else "-" if _JOINT.fullmatch(between) else "?"
+
+    def find(self, name: Words, fold: bool) -> Iterator[tuple[int, int]]:
+        count = len(name.spans)
+        ties = ["-" if name.gap(j) else "" for j in range(1, count)]
+        forbidden = r"[\w-]" if "-" not in ties else r"\w"
+        own, wanted = (self.folded, name.folded) if fold else (self.given, name.given)
+        for i in self.first.get(name.folded[0], ()) if count else ():
+            if own[i : i + count] != wanted or any(self.gap(i + j) != tie for j, tie in enumerate(ties, 1)):
+                continue
+            start, end = self.spans[i][0], self.spans[i + count - 1][1]
+            if not re.match(r"\w", self.text[start - 1 : start]) and not re.match(forbidden, self.text[end : end + 1]):
+                yield start, end
+
+
+def pattern_of(text: str, fold: bool, literal: bool) -> re.Pattern:
+    """A free pattern of the dictionary, or a name made of signs only. A pattern that is none is an error."""
+    try:
+        return re.compile(rf"(?<!\w){re.escape(text)}(?!\w)" if literal else text, re.IGNORECASE if fold else 0)
+    except re.error as e:
+        raise ValueError(f"client pattern {text!r}: {e}") from e
+
+
+def pattern_hits(text: Column, patterns: list[tuple[str, re.Pattern]]) -> Column:
+    """Places in the plain text at which free patterns match, with the client of each."""
+
+    def hits(t: str | None) -> list[dict]:
+        if t is None:
+            return []
+        plain = plain_text(t)[0].translate(_ALIKE)
+        return [
+            {"start": m.start(), "end": m.end(), "canonical": canonical}
+            for canonical, pattern in patterns for m in pattern.finditer(plain) if m.end() > m.start()
+        ]
+
+    return F.pandas_udf(lambda texts: texts.map(hits), "array<struct<start:int,end:int,canonical:string>>")(text)
+
+
+def name_hits(words: Words, names: Sequence[dict]) -> list[tuple[int, int, str]]:
     return [
-        re.compile(rf"\bClient\s*[{re.escape(HYPHENS)}]\s*{re.escape(p)}\b", re.IGNORECASE) for p in dict.fromkeys(last_parts)
+        (s, e, n["canonical"]) for n in names if not n["ending"]
+        for s, e in words.find(Words(plain_text(n["name"])[0]), n["fold"])
     ]
 
 
-def replace_pii(text: Column, mails: Column, persons: Column, records: list[dict]) -> Column:
-    finder_input = compile_clients(records)
-    endings = half_name_patterns(records)
+def named_clients(text: Column, names: Column) -> Column:
+    """Clients one of whose names stands in the text; ``names`` holds the candidates."""
 
-    def run(texts: pd.Series, mail_lists: pd.Series, person_lists: pd.Series) -> pd.Series:
-        finder = ClientFinder(finder_input)
-        none_to_empty = lambda x: [] if x is None else list(x)
-        return pd.Series(
-            [
-                None if t is None else mask(t, none_to_empty(m), none_to_empty(p), finder, endings)
-                for t, m, p in zip(texts, mail_lists, person_lists)
-            ],
-            dtype="object",
-        )
+    def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        found = [
+            [] if t is None or n is None else sorted({c for _, _, c in name_hits(Words(plain_text(t)[0]), n)}) for t, n in zip(texts, lists)
+        ]
+        return pd.Series(found, dtype="object")
 
-    return F.pandas_udf(run, "string")(text, mails, persons)
+    return F.pandas_udf(run, "array<string>")(text, names)
 
 
-def clients_in(text: Column, records: list[dict]) -> Column:
-    clients = compile_clients(records)
+def _person_spans(plain: str, persons: Sequence[str]) -> Iterator[tuple[int, int]]:
+    forms = [r"\s*".join(map(re.escape, re.findall(r"[^\s,]+|,", p))) for p in sorted(persons, key=len, reverse=True)]
+    if forms:
+        yield from (m.span() for m in re.finditer(rf"(?<!\w)(?:{'|'.join(forms)})(?!\w)", plain))
 
-    def run(texts: pd.Series) -> pd.Series:
-        finder = ClientFinder(clients)
-        return texts.map(lambda t: [] if t is None else sorted(c.canonical for c in finder.find(t)))
 
-    return F.pandas_udf(run, "array<string>")(text)
-
-
-def client_spans(text: Column, record: dict) -> Column:
-    """Number of distinct match spans of one client's patterns."""
-    client = compile_client(record)
+def mask(text: str, persons: Sequence[str], names: Sequence[dict], hits: Sequence[dict]) -> str:
+    """The text with a mark for each find, in one pass from left to right. Overlapping finds become one mark."""
+    plain, places = plain_text(text)
+    words = Words(plain) if len(names) else None
+    known = {" ".join(re.split(r"[\s-]+", n["name"])).lower() for n in names if not n["ending"]}
+    persons = [p for p in persons if re.sub(r"[\s-]+", " ", p).lower() not in known]
+    finds = [
+        mail_spans(plain),
+        phone_spans(plain),
+        [*((h["start"], h["end"]) for h in hits), *((s, e) for s, e, _ in (name_hits(words, names) if words else ()))],
+        _person_spans(plain, persons),
+    ]
+    merged: list[list[int]] = []
+    for start, end, kind in sorted((s, e, k) for k, spans in enumerate(finds) for s, e in spans):
+        if merged and start < merged[-1][1]:
+            merged[-1][1:] = max(end, merged[-1][1]), min(kind, merged[-1][2])
+        else:
+            merged.append([start, end, kind])
+    out, done = [], 0
+    for start, end, kind in merged:
+        out += text[done : places[start]], MARKS[KINDS[kind]]
+        done = places[end - 1] + 1
+    masked = "".join(out) + text[done:]
+    endings = sorted({n["name"] for n in names if n["ending"]}, key=len, reverse=True)
+    if endings:
+        rest = rf"\b{MARKS['client']}\s*[{re.escape(HYPHENS)}]\s*(?:{'|'.join(map(re.escape, endings))})\b"
+        masked = re.sub(rest, MARKS["client"], masked, flags=re.IGNORECASE)
+    return masked
+
+
+def replace_pii(text: Column, persons: Column, names: Column, hits: Column) -> Column:
+    """Masked text; texts with nothing to find do not go to Python."""
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    seven_digits = text.rlike(r"(?U)(?:\d[^\p{L}\d]*+){7}")
+    needed = text.contains("@") | seven_digits | some(persons) | some(names) | some(hits)
+
+    def run(texts: pd.Series, *lists: pd.Series) -> pd.Series:
+        filled = ([[] if x is None else x for x in c] for c in lists)
+        return pd.Series([None if t is None else mask(t, *row) for t, *row in zip(texts, *filled)], dtype="object")
+
+    return F.coalesce(F.pandas_udf(run, "string")(F.when(needed, text), persons, names, hits), text)
+
+
+def span_count(text: Column, names: Sequence[dict], patterns: list[tuple[str, re.Pattern]]) -> Column:
+    """Number of distinct places of one client's names and patterns."""
 
     def count(t: str | None) -> int:
         if not t:
             return 0
-        plain = _unify(t)
-        return len({m.span() for p in client.patterns for m in p.finditer(plain)})
+        words = Words(plain_text(t)[0])
+        free = {m.span() for _, p in patterns for m in p.finditer(words.text)}
+        return len(free | {(s, e) for s, e, _ in name_hits(words, names)})
 
     return F.pandas_udf(lambda texts: texts.map(count), "long")(text)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import batched
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +13,8 @@ from ampertrace.functions import privacy as P
 from ampertrace.functions.text import strip, text_or_blank
 from ampertrace.session import spread
 
-MAX_CLIENTS = 20_000
+#: free patterns tried in one pass over a text
+PATTERN_BLOCK = 500
 
 
 def _first_seen(values: Column, fold: bool) -> Column:
@@ -37,23 +42,68 @@ def norm_clients(df: DataFrame) -> DataFrame:
     )
 
 
-def load_clients(clients: DataFrame) -> list[dict]:
-    """The dictionary for the executors. It is a hand-kept list; its size is checked before it is shipped."""
-    rows = clients.select("canonical", "aliases", "patterns", "case_insensitive", "status").limit(MAX_CLIENTS + 1).collect()
-    if len(rows) > MAX_CLIENTS:
-        raise ValueError(f"more than {MAX_CLIENTS} clients: split the dictionary and run the job once per part")
-    return [r.asDict() for r in rows]
+def _approved() -> Column:
+    return (F.coalesce(F.nullif("status", F.lit("")), F.lit("approved")) == "approved") & (strip(text_or_blank("canonical")) != "")
+
+
+def _record(name: Column, ending: bool) -> Column:
+    return F.struct(
+        F.col("canonical"), name.alias("name"), F.coalesce("case_insensitive", F.lit(True)).alias("fold"), F.lit(ending).alias("ending")
+    ).alias("_n")
+
+
+def client_terms(clients: DataFrame) -> DataFrame:
+    """``_word _n``: each name of an approved client, and the last part of each client's name, under its longest word."""
+    all_names = F.array_distinct(F.transform(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>"))), strip))
+    names = clients.filter(_approved()).withColumn("_name", F.explode(all_names)).select(_record(F.col("_name"), False))
+    parts = F.filter(F.split("canonical", r"[\s-]+"), lambda p: p != "")
+    endings = clients.withColumn("_parts", parts).filter(F.size("_parts") > 1).select(_record(F.try_element_at("_parts", F.lit(-1)), True))
+    longest = F.array_max(F.transform(P.folded_words("_n.name"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    return names.unionByName(endings).filter("_n.name is not null and _n.name <> ''").select(longest["w"].alias("_word"), "_n").distinct()
+
+
+def client_patterns(clients: DataFrame) -> Iterator[list[tuple[str, re.Pattern]]]:
+    """Free patterns, and names made of signs only, in blocks. They have no word to join on, so all texts are read for each block."""
+    free = clients.filter(_approved()).select(
+        "canonical", F.explode("patterns").alias("p"), F.coalesce("case_insensitive", F.lit(True)).alias("fold"), F.lit(False).alias("literal")
+    )
+    signs = client_terms(clients).filter("_word is null and not _n.ending").select("_n.canonical", F.col("_n.name").alias("p"), "_n.fold", F.lit(True).alias("literal"))
+    rows = free.unionByName(signs).withColumn("p", strip("p")).filter("p <> ''").distinct().toLocalIterator()
+    for block in batched(rows, PATTERN_BLOCK):
+        yield [(r["canonical"], P.pattern_of(r["p"], r["fold"], r["literal"])) for r in block]
+
+
+def with_candidates(docs: DataFrame, clients: DataFrame) -> DataFrame:
+    """Adds ``_names``, the names whose longest word stands in the text, and ``_hits`` of the free patterns.
+
+    Texts and names meet in a join on words, whatever the size of the dictionary. Texts are told apart by a hash; a
+    shared hash only brings candidates that are then not found.
+    """
+    persons = P.folded_words(F.array_join(P.person_like(P.without_soft_hyphens("text")), " "))
+    words = F.array_union(P.folded_words("text"), persons)
+    probes = docs.select(F.xxhash64("text").alias("_hash"), F.explode(words).alias("_word"))
+    per_text = probes.join(client_terms(clients), "_word").groupBy("_hash").agg(F.collect_set("_n").alias("_names"))
+    out = docs.withColumn("_hash", F.xxhash64("text")).join(per_text, "_hash", "left").drop("_hash")
+    hits = F.array().cast("array<struct<start:int,end:int,canonical:string>>")
+    for block in client_patterns(clients):
+        hits = F.concat(hits, P.pattern_hits(F.col("text"), block))
+    return out.withColumn("_hits", hits)
 
 
-def client_names(records: list[dict]) -> list[str]:
-    approved = [r for r in records if (r.get("status") or "approved") == "approved"]
-    names = [n for r in approved for n in [r["canonical"], *(r["aliases"] or [])] if n]
-    return sorted({" ".join(n.replace("-", " ").split()).lower() for n in names})
+def find_clients(docs: DataFrame, clients: DataFrame) -> DataFrame:
+    """Adds ``clients``, the sorted names of the clients found in each text."""
+    by_name = F.coalesce(P.named_clients(F.col("text"), F.col("_names")), F.array().cast("array<string>"))
+    found = F.array_sort(F.array_union(by_name, F.transform("_hits", lambda h: h["canonical"])))
+    return with_candidates(spread(docs), clients).withColumn("clients", found).drop("_names", "_hits")
 
 
 def client_hits(docs: DataFrame, record: dict) -> DataFrame:
-    """How often a client's patterns match in all texts together."""
-    return spread(docs).agg(F.coalesce(F.sum(P.client_spans(F.col("text"), record)), F.lit(0)).alias("matches"))
+    """How often the names and patterns of one client match in all texts together."""
+    fold = record.get("case_insensitive", True)
+    given = [record["canonical"], *(record.get("aliases") or [])]
+    names = [{"canonical": record["canonical"], "name": n, "fold": fold, "ending": False} for n in given if n and n.strip()]
+    free = [(record["canonical"], P.pattern_of(p.strip(), fold, False)) for p in record.get("patterns") or [] if p.strip()]
+    return spread(docs).agg(F.coalesce(F.sum(P.span_count(F.col("text"), names, free)), F.lit(0)).alias("matches"))
 
 
 def select_pages(df: DataFrame, spec: str, total: int | None = None) -> DataFrame:
@@ -76,7 +126,11 @@ def select_pages(df: DataFrame, spec: str, total: int | None = None) -> DataFram
 
 
 def anonymize(docs: DataFrame, clients: DataFrame) -> DataFrame:
-    """Adds ``anonymized`` to documents (doc_id, text). E-mails and names are found natively, one Arrow pass edits."""
-    records = load_clients(clients)
-    persons = P.person_like("text", client_names(records))
-    return spread(docs).withColumn("anonymized", P.replace_pii(F.col("text"), P.emails("text"), persons, records))
+    """Adds ``anonymized`` to documents with a ``text``: e-mails, phones, clients and persons replaced by marks.
+
+    Finds are made in the text without soft hyphens and without line breaks after hyphens, and take the mark's place with
+    whatever lay inside them. A null text stays null.
+    """
+    persons = P.person_like(P.without_soft_hyphens("text"))
+    masked = P.replace_pii(F.col("text"), persons, F.col("_names"), F.col("_hits"))
+    return with_candidates(spread(docs), clients).withColumn("anonymized", masked).drop("_names", "_hits")

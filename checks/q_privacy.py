@@ -65,9 +65,9 @@ def _(spark, sf):
         F.when(k == 0, F.concat(F.substring("c_mktsegment", 1, 4), F.lit("­"), F.expr("substring(c_mktsegment, 5)")))
         .when(k == 1, F.concat(F.lower("c_mktsegment"), F.lit(" – werk"))).otherwise(F.concat(F.lit("x"), F.col("c_mktsegment")))
     )
-    text = F.concat(F.lit("for "), name, F.lit("."))
-    records = ops.load_clients(ops.norm_clients(clients(spark, sf)))
-    return inputs.table(spark, sf, "customer").select("c_custkey", F.array_join(P.clients_in(text, records), "|").alias("clients"))
+    texts = inputs.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("for "), name, F.lit(".")).alias("text"))
+    found = ops.find_clients(texts, ops.norm_clients(clients(spark, sf)))
+    return found.select("c_custkey", F.array_join("clients", "|").alias("clients"))
 
 
 @query("i22_person_like", "select c_custkey, case when c_custkey % 2 = 0 then 'Kowal Anna|Polach, Karin' else 'Edis Wagner|Meier-Huber, Jan' end as persons from customer")
@@ -86,17 +86,17 @@ def _(spark, sf):
 
 @query(
     "i23_replace_pii",
-    "select c_custkey, 'Name wrote mail@mail.com, tel phone number, for Client' as masked from customer",
+    "select c_custkey, 'no ' || c_custkey || ': Name wrote mail@mail.com, tel phone number, for ' || case when c_custkey % 3 = 0 then 'x' || lower(c_mktsegment) else 'Client' end as masked from customer",
 )
 def _(spark, sf):
     k = F.col("c_custkey").cast("string")
+    end = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("x"), F.lower("c_mktsegment"))).otherwise(F.concat(F.lower("c_mktsegment"), F.lit("-werk")))
     text = F.concat(
-        F.lit("Polach, Karin wrote a.b"), k, F.lit("@ex-ample.org, tel +48 600 700 "), (F.col("c_custkey") % 900 + 100).cast("string"),
-        F.lit(", for "), F.lower("c_mktsegment"), F.lit("-werk"),
+        F.lit("no "), k, F.lit(": Polach, Karin wrote a.b"), k, F.lit("@ex-ample.org, tel +48 600 700 "),
+        (F.col("c_custkey") % 900 + 100).cast("string"), F.lit(", for "), end,
     )
-    records = ops.load_clients(ops.norm_clients(clients(spark, sf)))
-    masked = P.replace_pii(text, P.emails(text), P.person_like(text, ops.client_names(records)), records)
-    return inputs.table(spark, sf, "customer").select("c_custkey", masked.alias("masked"))
+    texts = inputs.table(spark, sf, "customer").select("c_custkey", text.alias("text"))
+    return ops.anonymize(texts, ops.norm_clients(clients(spark, sf))).select("c_custkey", F.col("anonymized").alias("masked"))
 
 
 @query("j21_anonymize")

@@ -140,6 +140,26 @@ def test_masking_is_idempotent_and_handles_clients(spark):
     assert once[1]["anonymized"] is None
     again = privacy_ops.anonymize(spark.createDataFrame([(1, once[0]["anonymized"])], "doc_id long, text string"), clean)
     assert again.first()["anonymized"] == once[0]["anonymized"]
+    # null and repeated identifiers, soft hyphens, words broken over a line, other cases of accented letters, overlaps, parts of words
+    odd = clients.sparkSession.createDataFrame(
+        [("", "Łódź Werke", ["AUTOMOBILE", "ŽLUŤ"], [], None, None), ("", "Exact", [], [], False, None), ("", "++", [], ["Q[0-9]-Z"], None, None)], clients.schema
+    )
+    cases = [
+        ("AUTO\u00adMOBILE, łódź-\n  WERKE; žluť", "Client, Client; Client"), ("exact Exact xExact Exact-", "exact Client xExact Exact-"),
+        ("a ++ b, q1-\nz", "a Client b, Client"), ("Pol\u00adach, Karin and KowalAnna, Kowal  Anna", "Name and Name, Name"),
+        ("write automobile@x.org", "write mail@mail.com"), ("STM-4764956 on 2024-01-31, 4764956 600 700", "STM-4764956 on 2024-01-31, phone number"),
+        ("a@@b @c.d x@y.z@b.c", "a@@b @c.d mail@mail.com@b.c"), ("", ""), ("nothing", "nothing"),
+    ]
+    rows = [(None, t, t) for t, _ in cases] * 2
+    got = privacy_ops.anonymize(spark.createDataFrame(rows, "doc_id long, text string, clients string"), privacy_ops.norm_clients(odd))
+    assert {r["clients"]: r["anonymized"] for r in got.collect()} == dict(cases) and got.count() == len(rows)
+    assert got.columns == ["doc_id", "text", "clients", "anonymized"]
+    found = privacy_ops.find_clients(spark.createDataFrame([(t,) for t, _ in cases[:3]], "text string"), privacy_ops.norm_clients(odd))
+    assert {r["text"]: r["clients"] for r in found.collect()} == {cases[0][0]: ["Łódź Werke"], cases[1][0]: ["Exact"], cases[2][0]: ["++"]}
+    with pytest.raises(ValueError):
+        privacy_ops.anonymize(docs, privacy_ops.norm_clients(spark.createDataFrame([("", "A", [], ["("], None, None)], clients.schema)))
+    assert privacy_ops.anonymize(docs, clean.limit(0)).filter("doc_id = 2 and anonymized is null").count() == 1
+    assert privacy_ops.client_hits(docs, {"canonical": "Merc-Benz", "patterns": ["m\\d+x"]}).first()["matches"] == 2
     pages = spark.createDataFrame([(i,) for i in range(1, 7)], "page_no int")
     assert [r[0] for r in privacy_ops.select_pages(pages, "1-2,5").orderBy("page_no").collect()] == [1, 2, 5]
     with pytest.raises(ValueError):
