@@ -71,7 +71,8 @@ def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Dat
     own, gone_id, gone_hash, covered = spare(docs, "_hash", "_gone_id", "_gone_hash", "_covered")
     gone = cut_lineage(covered_lines(slim)).toDF(gone_id, gone_hash, covered)
     marked = docs.withColumn(own, F.xxhash64(whole(t)))
-    both = marked.join(gone, F.col(f"`{id_}`").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_hash)), "left")
+    # one plan at every size: texts are dealt by key once, whether or not the covered lines would fit a broadcast
+    both = marked.join(gone.hint("merge"), F.col(f"`{id_}`").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_hash)), "left")
     new = F.when(F.col(covered).isNotNull(), without(F.col(f"`{text}`"), F.col(covered))).otherwise(F.col(f"`{text}`"))
     return both.withColumn(text, new).select(*[F.col(f"`{c}`") for c in docs.columns], covered)
 
