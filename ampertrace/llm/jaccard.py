@@ -17,6 +17,12 @@ Equal sets are one class. Sets that share a signature are candidates, and these
 2. For signatures whose classes still lie in several components, classes of different components are compared in
    blocks by a folded set of 1024 parity bits. Each differing element turns one bit, so more differing bits than the
    bound prove that a pair is not similar; only the others leave the task, and are tested on their whole sets.
+3. A signature of more than ``LARGE`` such classes, say of a passage that very many texts quote, is not compared in one
+   task. Its classes meet by their rare elements instead. In any one order of all elements, the first l elements that two
+   similar sets of sizes a and b have in common lie among the first a - 0.8 a + l and b - 0.8 b + l of their own, as they
+   have 0.8 a and 0.8 b in common at least. The order is by frequency, so a passage comes last and is no meeting place
+   unless it is most of a text. l grows with the size, and pairs that meet fewer than l times are not similar. Where
+   very many classes meet at one element all the same, they are dealt into blocks, and each two blocks are a task's share.
 
 Before a pair's sets are sent for a test, its shared signatures are counted: sets that differ in d elements agree on n - d
 parts, and of these t at most are empty in the luckier of the two, so fewer than n - d - t shared signatures prove that
@@ -55,6 +61,12 @@ SKETCH_BITS = 1024
 SENT_IDS = 1_000_000
 #: rows compared with each other at once within one signature
 COMPARED = 256
+#: classes of one signature that one task compares; those of larger ones meet by their rare elements
+LARGE = 2048
+#: classes of one element in a block, about
+BLOCK = 1024
+#: hash buckets in which the frequency of elements is counted; it decides their order only
+BUCKET_BITS = 20
 
 U64 = np.uint64
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -319,35 +331,144 @@ def close_pairs(size: np.ndarray, group: np.ndarray, bits: np.ndarray) -> Iterat
                 yield x + i, y + j
 
 
+def close_pairs_between(first: np.ndarray, second: np.ndarray, size: np.ndarray, group: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for pairs of one place of ``first`` and one of ``second``."""
+    for i in range(0, len(first), COMPARED):
+        a = first[i : i + COMPARED]
+        for j in range(0, len(second), COMPARED):
+            b = second[j : j + COMPARED]
+            n, m = size[a][:, None], size[b][None]
+            x, y = np.nonzero((5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (group[a][:, None] != group[b][None]))
+            x, y = a[x], b[y]
+            good = 9 * np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= size[x] + size[y]
+            if good.any():
+                yield x[good], y[good]
+
+
+def agreed(size):
+    """Of the rare elements of two similar sets so many are common at least, by the smaller size."""
+    return 1 + size // 20
+
+
+def rare(s: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The elements at which a set meets similar ones: the first in the order of frequency (``often``, by bucket) and hash."""
+    order = np.lexsort((s, often[(s >> U64(64 - BUCKET_BITS)).astype(np.int64)]))
+    return s[order[: len(s) - (4 * len(s) + 4) // 5 + agreed(len(s))]]
+
+
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How often elements of each hash bucket occur in the sets."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        for batch in batches:
+            for e in batch.column("elements"):
+                np.add.at(total, (np.frombuffer(e.as_buffer(), dtype=np.uint64) >> U64(64 - BUCKET_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    found = sets.select("elements").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    often[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return often
+
+
+def rare_elements(sets: DataFrame, often: np.ndarray) -> DataFrame:
+    """``element cls`` for the elements at which each class meets similar ones."""
+    sent = sets.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = [rare(np.frombuffer(e.as_buffer(), dtype=np.uint64), sent.value) for e in batch.column("elements")]
+                cls = np.repeat(batch.column("cls").to_numpy(), [len(o) for o in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(cls)], names=["element", "cls"])
+
+    return sets.select("cls", "elements").mapInArrow(run, "element bigint, cls bigint")
+
+
+def rare_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs ``x y`` of classes in different components that may be similar, by their rare elements (``cls grp size elements sketch``).
+
+    A task is never given all rows of an element with many classes: it gets two blocks of them, or one with itself.
+    """
+    met = cut_lineage(rare_elements(sets, bucket_counts(sets)).join(sets.select("cls", "grp"), "cls"))
+    often = met.groupBy("element").agg(F.count("*").alias("n"), F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high")
+    blocks_of = cut_lineage(often.select("element", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    placed = met.select("element", "cls").join(blocks_of, "element").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "element", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls"
+    )
+    rows = dealt.join(sets.select("cls", "grp", "size", "sketch"), "cls")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            element, i, j, own, cls, grp, size = (table.column(c).to_numpy() for c in ("element", "i", "j", "own", "cls", "grp", "size"))
+            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(cls), -1)
+            for s, e in runs(element, i, j):
+                if e - s == 1:
+                    continue
+                if i[s] == j[s]:
+                    found = ((x + s, y + s) for x, y in close_pairs(size[s:e], grp[s:e], bits[s:e]))
+                else:
+                    at = np.arange(s, e)
+                    found = close_pairs_between(at[own[s:e] == i[s]], at[own[s:e] == j[s]], size, grp, bits)
+                for x, y in found:
+                    p, q = cls[x], cls[y]
+                    least = agreed(np.minimum(size[x], size[y]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(least)], names=["x", "y", "least"])
+
+        yield from by_runs(batches, ("element", "i", "j"), pairs_of)
+
+    sorted_rows = rows.repartition("element", "i", "j").sortWithinPartitions("element", "i", "j")
+    pairs = sorted_rows.mapInArrow(run, "x bigint, y bigint, least bigint").groupBy("x", "y").agg(F.count("*").alias("n"), F.max("least").alias("least"))
+    return pairs.filter("n >= least").select("x", "y")
+
+
+def runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal keys."""
+    new = np.zeros(max(0, len(keys[0]) - 1), dtype=bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    edges = np.flatnonzero(np.r_[True, new, True]).tolist()
+    return list(zip(edges[:-1], edges[1:]))
+
+
+def by_runs(batches, keys: tuple[str, ...], use) -> Iterator[pa.RecordBatch]:
+    """``use`` of tables of sorted rows that hold whole runs of equal keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        # the last run may go on in the next batch
+        cut = runs(*[table.column(k).to_numpy() for k in keys])[-1][0]
+        if cut:
+            yield from use(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+    if held:
+        yield from use(pa.Table.from_batches(held))
+
+
 def unsettled_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs ``x y`` of classes in different components with the number ``n`` of signatures they share (``sig cls grp size sketch``)."""
+    """Pairs ``x y`` of classes in different components with the number ``n`` of signatures they share (``sig cls grp size sketch``).
+
+    A signature's rows meet in one task, so it must not have more than ``LARGE``.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
             sig = table.column("sig").to_numpy()
             cls, grp, size = (table.column(c).to_numpy() for c in ("cls", "grp", "size"))
             bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(sig), -1)
-            edges = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True])
-            for s, e in zip(edges[:-1], edges[1:]):
+            for s, e in runs(sig):
                 if e - s > 1:
                     for x, y in close_pairs(size[s:e], grp[s:e], bits[s:e]):
                         p, q = cls[s:e][x], cls[s:e][y]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["x", "y"])
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            sig = table.column("sig").to_numpy()
-            # the last run may go on in the next batch
-            cut = int(np.searchsorted(sig, sig[-1]))
-            if cut:
-                yield from pairs_of(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-        if held:
-            yield from pairs_of(pa.Table.from_batches(held))
+        yield from by_runs(batches, ("sig",), pairs_of)
 
     sorted_rows = rows.select("sig", "cls", "grp", "size", "sketch").repartition("sig").sortWithinPartitions("sig")
     return sorted_rows.mapInArrow(run, "x bigint, y bigint").groupBy("x", "y").agg(F.count("*").alias("n"))
@@ -370,8 +491,14 @@ def links(slim: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     open_sigs = cut_lineage(groups.join(apart, ["centre", "cls"], "left_semi").select("sig").distinct())
     unsettled = cut_lineage(groups.join(open_sigs, "sig", "left_semi"))
     members = unsettled.select("sig", "cls").unionByName(unsettled.select("sig", F.col("centre").alias("cls")).distinct())
-    rows = members.join(sets.select("cls", "size", "sketch").join(named, "cls"), "cls")
-    rest = likely(unsettled_pairs(rows).join(tested, ["x", "y"], "left_anti"), sets)
+    large = cut_lineage(members.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("sig"))
+    grouped = sets.join(named, "cls")
+    rows = members.join(large, "sig", "left_anti").join(grouped.select("cls", "grp", "size", "sketch"), "cls")
+    rest = likely(unsettled_pairs(rows).join(tested, ["x", "y"], "left_anti"), sets).select("x", "y")
+    if not large.isEmpty():
+        # two classes of a large signature are found by their rare elements, whatever other signatures they share
+        many = grouped.join(members.join(large, "sig", "left_semi").select("cls").distinct(), "cls", "left_semi")
+        rest = rest.unionByName(rare_pairs(cut_lineage(many)).join(tested, ["x", "y"], "left_anti")).distinct()
     return found.unionByName(similar(cut_lineage(rest), sets))
 
 

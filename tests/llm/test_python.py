@@ -170,6 +170,51 @@ def test_near_duplicates_leave_one(spark):
     assert len(jaccard.near_groups(nameless).collect()) == 6
 
 
+def near_texts(rng):
+    """Texts of which half is one passage, with near copies and chains of them, and texts over few words."""
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join(passage + [f"w{rng.randrange(5000)}" for _ in range(30)]) for _ in range(150)]
+    for t in texts[:40]:
+        w = t.split()
+        texts += [" ".join(w[:-2]), " ".join([*w, "x", "y"]), " ".join([*w[:45], "z", *w[45:]])]
+    texts += [" ".join(passage + [f"u{rng.randrange(5000)}" for _ in range(rng.randint(3, 12))]) for _ in range(60)]
+    for _ in range(40):
+        base = [f"v{rng.randrange(40)}" for _ in range(rng.randint(5, 40))]
+        texts += [" ".join(base), " ".join(base[1:]), " ".join(base + ["q"]), " ".join(["r", *base])]
+    return texts
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_common_passages_are_not_compared_in_one_task(spark, monkeypatch, block):
+    met, inner = [], jaccard.unsettled_pairs
+
+    def spy(rows):
+        met.append(rows.groupBy("sig").count().agg(F.max("count")).first()[0] or 0)
+        return inner(rows)
+
+    monkeypatch.setattr(jaccard, "unsettled_pairs", spy)
+    monkeypatch.setattr(jaccard, "LARGE", 10, raising=False)
+    monkeypatch.setattr(jaccard, "BLOCK", block, raising=False)
+    texts = near_texts(random.Random(15))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(table(spark, texts)).collect()}
+    assert max(met) <= 10
+    assert got == brute.near_components(list(enumerate(texts)))
+
+
+def test_rare_elements_are_complete():
+    """Every pair of sets at the threshold meets often enough, whatever the sizes and the order."""
+    rng = np.random.default_rng(16)
+    for size in [*range(1, 60), 100, 333, 1000]:
+        for _ in range(10):
+            often = rng.integers(0, 3, 1 << jaccard.BUCKET_BITS)
+            common = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
+            spare = int(size / 0.8) - size
+            a = int(rng.integers(0, spare + 1))
+            p, q = (np.unique(np.r_[common, rng.integers(0, 2**63, n, dtype=np.uint64)]) for n in (a, spare - a))
+            n = len(np.intersect1d(jaccard.rare(p, often), jaccard.rare(q, often)))
+            assert n >= jaccard.agreed(min(len(p), len(q))), size
+
+
 def test_components(spark):
     rng = random.Random(10)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7), (500, 501)]
