@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ampertrace.functions.names import keywords, norm_summary
 from ampertrace.functions.text import strip, text_or_blank
+from ampertrace.session import cut_lineage
 
 CASE_FIELDS = ("test_case_id", "case_title", "department", "assigning_category")
 
@@ -26,33 +27,63 @@ def topic_words(c: Column | str) -> Column:
     return F.array_distinct(keywords(norm_summary(c)))
 
 
+def _word_classes(texts: DataFrame, id_: str, name: str) -> DataFrame:
+    """Each row's identifier with its class: the sorted topic words in one text."""
+    return texts.select(id_, F.array_join(F.array_sort(topic_words("text")), " ").alias(name))
+
+
+def _class_pairs(asked: DataFrame, offered: DataFrame, min_shared: int) -> DataFrame:
+    """``problem_words case_words shared`` for the classes that share at least ``min_shared`` words.
+
+    Prefix filter: a class of cases that shares n words must share one of all but its n-1 most frequent words, so the
+    most frequent words never become join keys. Candidate pairs are made unique and then counted exactly.
+    """
+    words = lambda name: F.filter(F.split(name, " "), lambda w: w != "")
+    asked = asked.select("problem_words").distinct()
+    offered = offered.select("case_words").distinct()
+    each = offered.select("case_words", F.explode(words("case_words")).alias("_word"))
+    frequency = each.groupBy("_word").agg(F.count("*").alias("_f"))
+    ranked = each.join(frequency, "_word").groupBy("case_words").agg(F.array_sort(F.collect_list(F.struct("_f", "_word"))).alias("_r"))
+    prefix = F.slice(F.transform("_r", lambda x: x["_word"]), 1, F.greatest(F.size("_r") - (min_shared - 1), F.lit(0)))
+    keys = ranked.select("case_words", F.explode(prefix).alias("_word"))
+    probes = asked.select("problem_words", F.explode(words("problem_words")).alias("_word"))
+    pairs = probes.join(keys, "_word").select("problem_words", "case_words").distinct()
+    shared = F.size(F.array_intersect(words("problem_words"), words("case_words")))
+    return pairs.withColumn("shared", shared).filter(F.col("shared") >= min_shared)
+
+
 def coverage_candidates(problems: DataFrame, cases: DataFrame, min_shared: int = 2) -> DataFrame:
     """Cases that share at least ``min_shared`` topic words with a problem (class B), else class C.
 
-    ``problems``: problem_id, text; ``cases``: case_id, text. Prefix filter: a case that shares n words
-    must share one of all but its n-1 most frequent words, so the most frequent words never become join
-    keys. Candidate pairs are made unique and then counted exactly.
+    ``problems``: problem_id, text; ``cases``: case_id, text. Texts of equal words are compared once. Every pair is
+    listed, so the result may grow with problems times cases; ``coverage_classes`` states the same without that.
     """
-    asked = problems.select("problem_id", topic_words("text").alias("_words"))
-    offered = cases.select("case_id", topic_words("text").alias("_case_words"))
-    frequency = (
-        offered.select(F.explode("_case_words").alias("_word")).groupBy("_word").agg(F.count("*").alias("_f"))
+    asked = _word_classes(problems, "problem_id", "problem_words")
+    offered = _word_classes(cases, "case_id", "case_words")
+    pairs = cut_lineage(_class_pairs(asked, offered, min_shared))
+    related = asked.join(pairs, "problem_words").join(offered, "case_words").select(
+        "problem_id", "case_id", "shared", F.lit("B").alias("coverage")
     )
-    ranked = (
-        offered.select("case_id", F.explode("_case_words").alias("_word")).join(frequency, "_word")
-        .groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("_f", "_word"))).alias("_r"))
-    )
-    prefix = F.slice(F.transform("_r", lambda x: x["_word"]), 1, F.greatest(F.size("_r") - (min_shared - 1), F.lit(0)))
-    keys = ranked.select("case_id", F.explode(prefix).alias("_word"))
-    probes = asked.select("problem_id", F.explode("_words").alias("_word"))
-    pairs = probes.join(keys, "_word").select("problem_id", "case_id").distinct()
-    shared = F.size(F.array_intersect("_words", "_case_words"))
-    related = (
-        pairs.join(asked, "problem_id").join(offered, "case_id").withColumn("shared", shared)
-        .filter(F.col("shared") >= min_shared).select("problem_id", "case_id", "shared", F.lit("B").alias("coverage"))
-    )
-    alone = asked.join(related.select("problem_id").distinct(), "problem_id", "left_anti").select(
+    alone = asked.join(pairs.select("problem_words").distinct(), "problem_words", "left_anti").select(
         "problem_id", F.lit(None).cast(cases.schema["case_id"].dataType).alias("case_id"), F.lit(0).alias("shared"),
         F.lit("C").alias("coverage"),
     )
     return related.unionByName(alone)
+
+
+def coverage_classes(problems: DataFrame, cases: DataFrame, min_shared: int = 2) -> DataFrame:
+    """The coverage of ``coverage_candidates`` by classes of equal topic words, with the members of the classes.
+
+    Rows with ``problem_id`` or ``case_id`` say to which class (``problem_words``, ``case_words``) a text belongs. Rows
+    without state the coverage of a class of problems: B with each class of cases and the number of shared words, else C.
+    """
+    asked = _word_classes(problems, "problem_id", "problem_words")
+    offered = _word_classes(cases, "case_id", "case_words")
+    pairs = cut_lineage(_class_pairs(asked, offered, min_shared))
+    related = pairs.withColumn("coverage", F.lit("B"))
+    alone = asked.select("problem_words").distinct().join(pairs.select("problem_words").distinct(), "problem_words", "left_anti")
+    parts = (asked, offered, related, alone.withColumns({"shared": F.lit(0), "coverage": F.lit("C")}))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select("problem_id", "case_id", "problem_words", "case_words", "shared", "coverage")

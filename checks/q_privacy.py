@@ -280,6 +280,17 @@ def _(spark, sf):
     return review.coverage_candidates(problems, cases)
 
 
+@query("j23_coverage_classes")
+def _(spark, sf):
+    """All parts as cases; tests compare it with brute force."""
+    part = inputs.table(spark, sf, "part")
+    problems = part.selectExpr("p_partkey as problem_id", "concat(p_name, ' ', p_type) as text")
+    cases = inputs.table(spark, sf, "benchmark").selectExpr("item_id as case_id", "text").unionByName(
+        part.selectExpr("1000 + p_partkey as case_id", "concat(p_name, ' ', p_type, ' ', p_brand) as text")
+    )
+    return review.coverage_classes(problems, cases)
+
+
 @query(
     "a13_html_rows",
     f"select work_item_id as page_id, project, type, owner, creator, cast(work_item_id as varchar) as work_item_id, work_item, 'https://rs.example/items/' || cast(work_item_id as varchar) as work_item_url from ({ITEMS})",
