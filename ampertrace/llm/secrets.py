@@ -45,9 +45,20 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]+", 16),
 )
+#: a line break, also as it is escaped in a string
+_BREAK = r"(?:[\x20\t]*+(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t]*+)"
+_ENDS = r"[A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+#: From the BEGIN line to the END line with nothing but lines of fields and base64 between; without an END line to the last
+#: base64 line. Loops over lines are possessive, which Java runs without recursion, so a key may have any number of lines.
+PRIVATE_KEY = (
+    rf"-----BEGIN {_ENDS}(?:{_BREAK}++[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+"
+    rf"(?:[A-Za-z0-9+/=\s\\]*+-----END {_ENDS}"
+    rf"|(?:[\x20\t]*+[A-Za-z0-9+/=]{{40,}}+)?+(?:{_BREAK}++[A-Za-z0-9+/=]{{16,}}+(?![^\s\\\"',;<-]|[\x20\t]++[^\s\\]))*+"
+    rf"(?:(?<=[A-Za-z0-9+/=]{{16}})(?:{_BREAK}(?:[A-Za-z0-9+/]{{4}}){{0,3}}[A-Za-z0-9+/]{{2}}(?:==|[A-Za-z0-9+/][A-Za-z0-9+/=])(?=[\x20\t]*+(?:[\r\n\\\"']|\z)))?+(?:{_BREAK}=[A-Za-z0-9+/]{{4}})?+)?+)"
+)
 #: formats that issuers of credentials publish
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 27),
+    Rule("private_key", PRIVATE_KEY, 27, version=2),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20),
