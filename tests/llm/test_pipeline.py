@@ -58,7 +58,7 @@ def test_stages(spark, tmp_path):
 
 
 def test_names_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
     assert len(secrets.RULES) == len({r.kind for r in secrets.RULES})
 
