@@ -1,39 +1,37 @@
 """Jaccard self-join of documents on word shingles, by PartEnum signatures.
 
 Two sets of sizes r <= s with a Jaccard similarity of 0.8 or more differ in (r + s) / 9 elements at most, and s <= 1.25 r.
-Sizes are cut into bands. For pairs whose smaller set lies in a band, k bounds the difference; the feature domain is
-partitioned by a hash into n = k + 1 + t parts. k differing elements touch k parts at most, so two such sets agree on
-t + 1 parts or more. A set signs each of its parts (band, part, hash of its elements there): similar sets share a signature.
-A set takes part in its own band and in those lower bands where its partners may lie.
-
-Empty parts say nothing and would be shared by very many sets, so they are not signed. That loses nothing where one of
-two sets has t empty parts or fewer: some common part is not empty. A set with more of them signs a second and a third
-partition of the domain as well, where the same holds; if it is unlucky in all, it signs its empty parts too.
-
-Equal sets are one class. Sets that share a signature are candidates, and these are tested on their whole sets:
-
-1. The least class of a signature is its centre. Each class is tested against the centre with which it shares most
-   signatures. The found links make components. This settles groups of near copies of any size with one test per member.
-2. For signatures whose classes still lie in several components, classes of different components are compared in
-   blocks by a folded set of 1024 parity bits. Each differing element turns one bit, so more differing bits than the
-   bound prove that a pair is not similar; only the others leave the task, and are tested on their whole sets.
-3. A signature of more than ``LARGE`` such classes, say of a passage that very many texts quote, is not compared in one
-   task. Its classes meet by their rare elements instead. In any one order of all elements, the first l elements that two
-   similar sets of sizes a and b have in common lie among the first a - 0.8 a + l and b - 0.8 b + l of their own, as they
-   have 0.8 a and 0.8 b in common at least. The order is by frequency, so a passage comes last and is no meeting place
-   unless it is most of a text. l grows with the size, and pairs that meet fewer than l times are not similar. Where
-   very many classes meet at one element all the same, they are dealt into blocks, and each two blocks are a task's share.
-
-Before a pair's sets are sent for a test, its shared signatures are counted: sets that differ in d elements agree on n - d
-parts, and of these t at most are empty in the luckier of the two, so fewer than n - d - t shared signatures prove that
-the pair is not similar. Pairs of which neither set is lucky (see above) are tested without this.
+Sizes are cut into bands. For pairs whose smaller set lies in a band, k bounds the difference. The feature domain is partitioned
+twice by hashes: into n = k // 2 + 1 + t parts, and each part into ``SUB`` parts of its own. k differing elements spoil two
+and more elements in k // 2 parts at most, so t + 1 parts or more differ in one element at most, and that one lies in one of the ``SUB``.
+A set signs all subsets of ``SUB`` - 1 of each part's sub-parts: similar sets share a signature, and a signature speaks for some
+five elements, so few others do. A set takes part in its own band and in those lower bands where its partners may lie.
+
+A subset without elements says nothing and would be shared by very many sets, so it is not signed. A part with such a subset is
+thin. That loses nothing where one of two sets has t thin parts or fewer: some agreeing part is not thin. A set with
+more of them signs a second and a third partition of the domain as well, where the same holds; if it is unlucky in all, it
+signs its empty subsets too.
+
+Equal sets are one class. Classes that share a signature are candidates. Components, not pairs, are asked for, so:
+
+1. The least class of a signature is its centre. Each class is tested against the centre with which it shares most signatures.
+2. Rounds: a signature whose classes lie in one component is settled. The others propose a spanning forest of their components,
+   one pair for each two that it would join; a pair is tested once, whatever number of signatures propose it. The rounds end
+   when one of them joins nothing.
+3. Last, all pairs across components are compared within the signatures that are still open, in blocks: classes outside a
+   signature's largest component with each other and with those inside. Nothing is left out, so the result is exact.
+
+Pairs are compared by parity sketches before their sets are sent: each differing element turns one bit, so more differing bits
+than the bound prove that a pair is not similar. Within signatures a sketch has 1024 bits; a pair that passes is compared by sketches
+as wide as its sets are large, and what is left on the whole sets.
 
 Elements are 64-bit hashes of shingles. Classes are numbered by 64 bits of a set's hash; a second 64 bits and the
 size tell whether a number stands for two sets, and then everything is numbered by another seed.
 
 Defined results: null and empty texts have an empty set and no links. A document of one to four words has its words as its
-one shingle. Repeated rows are copies of each other. Rows without identifier are named by none, and their links are found
-only through copies that have one. A table without rows gives none.
+one shingle. Repeated rows are copies of each other. Rows that share an identifier are rows of their own, linked by their texts
+only. Rows without identifier take part like others, but name no component; one of such rows only has a null name. A table without
+rows gives none.
 """
 
 from __future__ import annotations
@@ -42,7 +40,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -55,18 +52,14 @@ from ampertrace.session import cut_lineage
 
 SHINGLE = 5
 BAND = 1.4
+#: sub-parts of a part; all but one of them are signed
+SUB = 4
 SEEDS = 3
 SKETCH_BITS = 1024
-#: identifiers of candidate documents that are sent to all executors (8 bytes each); beyond it they are joined by a shuffle
-SENT_IDS = 1_000_000
 #: rows compared with each other at once within one signature
 COMPARED = 256
-#: classes of one signature that one task compares; those of larger ones meet by their rare elements
-LARGE = 2048
-#: classes of one element in a block, about
-BLOCK = 1024
-#: hash buckets in which the frequency of elements is counted; it decides their order only
-BUCKET_BITS = 20
+#: classes of one signature in a block, about
+BLOCK = 4096
 
 U64 = np.uint64
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -89,23 +82,34 @@ class WordHashes(dict):
         return h
 
 
-def shingle_sets(texts: list[str], hashes: WordHashes, n: int = SHINGLE) -> list[np.ndarray]:
-    """The set of each text as sorted distinct hashes."""
+def shingle_sets(texts: list[str], hashes: WordHashes, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of the texts as sorted distinct hashes, one set after the other, and their sizes."""
     if len(hashes) > MOST_CODES:
         hashes.clear()
-    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    sets = []
-    for w in words:
-        h = np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w))
-        width = min(n, len(h))
-        if not width:
-            sets.append(h)
-            continue
-        total = np.full(len(h) - width + 1, width, dtype=np.uint64)
-        for k in range(width):
-            total += h[k : len(h) - width + 1 + k] * ODD[k]
-        sets.append(np.unique(mix(total)))
-    return sets
+    words: list[bytes] = []
+    ends = np.zeros(len(texts) + 1, dtype=np.int64)
+    for i, t in enumerate(texts):
+        words += t.encode("utf-8", "surrogatepass").lower().split()
+        ends[i + 1] = len(words)
+    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    counts = np.diff(ends)
+    made = np.where(counts > n, counts - n + 1, np.minimum(counts, 1))
+    width = np.minimum(counts, n)
+    # a shingle that would run over the end of its text is left out below
+    total = np.repeat(width.astype(np.uint64), counts)
+    for k in range(n):
+        full = np.flatnonzero(np.repeat(width > k, counts)[: len(h) - k] if k else np.repeat(width > k, counts))
+        total[full] += h[full + k] * ODD[k]
+    kept = np.arange(len(h)) - np.repeat(ends[:-1], counts) < np.repeat(made, counts)
+    elements = mix(total[kept])
+    stops = np.cumsum(made)
+    for start, stop in zip((stops - made).tolist(), stops.tolist()):
+        elements[start:stop].sort()
+    new = np.ones(len(elements), dtype=bool)
+    new[1:] = elements[1:] != elements[:-1]
+    new[(stops - made)[made > 0]] = True
+    owner = np.repeat(np.arange(len(texts)), made)[new]
+    return elements[new], np.bincount(owner, minlength=len(texts))
 
 
 @lru_cache(maxsize=None)
@@ -125,14 +129,18 @@ def band_of(size: int) -> int:
 
 @lru_cache(maxsize=None)
 def parts_of(band: int) -> tuple[int, int]:
-    """Number of parts of the domain in a band, and the spare agreements t."""
+    """Number of parts of the domain in a band (0: similar sets are equal), and the spare agreements t."""
     least, most = band_start(band), band_start(band + 1) - 1
     k, spare = most // 4, 0
+    if k == 0:
+        return 0, 0
     for _ in range(20):
-        n = k + 1 + spare
-        empty = n * np.exp(-least / n)
-        spare = max(0, int(np.ceil(empty + 2.5 * np.sqrt(empty))) - 1) if n > 1 else 0
-    return k + 1 + spare, spare
+        n = k // 2 + 1 + spare
+        each = least / n
+        # no element at all, or all in one sub-part
+        thin = n * (np.exp(-each) + SUB * np.exp(-each * (SUB - 1) / SUB) * (1 - np.exp(-each / SUB)))
+        spare = max(0, int(np.ceil(thin + 2.5 * np.sqrt(thin))) - 1) if n > 1 else 0
+    return k // 2 + 1 + spare, spare
 
 
 @lru_cache(maxsize=4096)
@@ -145,76 +153,92 @@ def bands_of(size: int) -> tuple[int, ...]:
     return tuple(found)
 
 
-def sign(sets: list[np.ndarray], bands: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures, and the place in ``sets`` each belongs to, of sets that are not empty."""
-    shape = np.array([parts_of(int(b)) for b in bands], dtype=np.int64)
+def sign(elements: np.ndarray, sizes: np.ndarray, bands: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures, and the place of the set each belongs to, of sets that are not empty (``elements`` one after the other)."""
+    shape = np.array([parts_of(int(b)) for b in bands], dtype=np.int64).reshape(-1, 2)
     parts, spare = shape[:, 0], shape[:, 1]
-    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    elements = mix(np.concatenate(sets) ^ salt(seed))
+    hashed = mix(elements ^ salt(seed))
     offset = np.cumsum(parts) - parts
-    place = (elements % np.repeat(parts, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(offset, sizes)
+    part = (hashed % np.repeat(np.maximum(parts, 1), sizes).astype(np.uint64)).astype(np.int64)
+    sub = ((hashed >> U64(40)) % U64(SUB)).astype(np.int64)
+    place = (part + np.repeat(offset, sizes)) * SUB + sub
     total = int(parts.sum())
-    sums = np.zeros(total, dtype=np.uint64)
-    np.add.at(sums, place, mix(elements))
-    filled = np.bincount(place, minlength=total) > 0
-    owner = np.repeat(np.arange(len(sets)), parts)
-    part = np.arange(total) - np.repeat(offset, parts)
-    name = mix(np.repeat(bands, parts).astype(np.uint64) * ODD[0] + part.astype(np.uint64) * ODD[1] + U64(seed))
-    empty = np.add.reduceat(~filled, offset).astype(np.int64)
-    unlucky = np.flatnonzero(empty > spare)
+    # sums of 64-bit numbers by place: floats would round them, so the halves are added apart
+    scrambled = mix(hashed)
+    low = np.bincount(place, weights=(scrambled & U64(0xFFFFFFFF)).astype(np.float64), minlength=total * SUB).astype(np.uint64)
+    high = np.bincount(place, weights=(scrambled >> U64(32)).astype(np.float64), minlength=total * SUB).astype(np.uint64)
+    sums = (low + (high << U64(32))).reshape(total, SUB)
+    found = np.bincount(place, minlength=total * SUB).reshape(total, SUB)
+    subsets = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
+    filled = found.sum(axis=1)[:, None] > found
+    owner = np.repeat(np.arange(len(sizes)), parts)
+    number = np.arange(total) - np.repeat(offset, parts)
+    name = np.repeat(bands, parts).astype(np.uint64) * ODD[0] + number.astype(np.uint64) * ODD[1] + U64(seed)
+    names = name[:, None] + np.arange(SUB, dtype=np.uint64)[None, :] * ODD[2]
+    thin = np.bincount(owner, weights=~filled.all(axis=1), minlength=len(sizes))
+    unlucky = np.flatnonzero(thin > spare)
     shown = filled
-    more: list[tuple[np.ndarray, np.ndarray]] = []
+    out = []
     if len(unlucky):
         if seed + 1 < SEEDS:
-            s, o = sign([sets[i] for i in unlucky], bands[unlucky], seed + 1)
-            more.append((s, unlucky[o]))
+            chosen = np.isin(np.repeat(np.arange(len(sizes)), sizes), unlucky)
+            more, of = sign(elements[chosen], sizes[unlucky], bands[unlucky], seed + 1)
+            out.append((more, unlucky[of]))
         else:
-            shown = filled | np.isin(owner, unlucky)
-    out = [(mix(sums + name)[shown], owner[shown]), *more]
-    return np.concatenate([s for s, _ in out]), np.concatenate([o for _, o in out])
+            shown = filled | np.isin(owner, unlucky)[:, None]
+    out.append((mix(subsets + names)[shown], np.repeat(owner, SUB).reshape(total, SUB)[shown]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([o for _, o in out])
 
 
-def class_numbers(sets: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray]:
+def class_numbers(elements: np.ndarray, sizes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit sums over each set."""
+    full = sizes > 0
+    starts = (np.cumsum(sizes) - sizes)[full]
+
     def sums(k: int) -> np.ndarray:
-        return np.array([mix(s ^ salt(1000 + 2 * seed + k)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+        out = np.zeros(len(sizes), dtype=np.uint64)
+        if len(starts):
+            out[full] = np.add.reduceat(mix(elements ^ salt(1000 + 2 * seed + k)), starts)
+        return out.view(np.int64)
 
     return sums(0), sums(1)
 
 
-def lucky(s: np.ndarray) -> bool:
-    """Whether the set has no more empty parts than are spared, in all its bands."""
-    elements = mix(s ^ salt(0))
-    for band in bands_of(len(s)):
-        parts, spare = parts_of(band)
-        if parts - len(np.unique(elements % U64(parts))) > spare:
-            return False
-    return True
+def sketch(s: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """Parities of the numbers of elements by their remainder."""
+    return np.packbits((np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def needed(small: int, large: int) -> int:
-    """Signatures that similar sets of these sizes share at least, if one of them is lucky."""
-    parts, spare = parts_of(band_of(small))
-    return max(1, parts - (small + large) // 9 - spare)
+def wide_bits(size: int) -> int:
+    """Width of the sketch that a pair is compared by: a power of two, no less than the set's size."""
+    return max(SKETCH_BITS, 1 << (size - 1).bit_length())
 
 
-def sketch(s: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((s % U64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def may_be_similar(a: bytes, na: int, b: bytes, nb: int) -> bool:
+    """Whether sketches of the same elements' parities leave it open that two sets are similar; the wider one is folded."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return 5 * min(na, nb) >= 4 * max(na, nb) and 9 * int(np.bitwise_count(x ^ y).sum()) <= na + nb
 
 
 def numbered(slim: DataFrame, seed: int) -> DataFrame:
-    """``doc_id n_shingles cls check`` of each document."""
+    """``doc_id row n_shingles cls check`` of each document (``doc_id row _t``)."""
     kind, id_arrow = slim.schema["doc_id"].dataType.simpleString(), arrow_type(slim, "doc_id")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for rows, texts in blocks(batches, "_t"):
-            sets = shingle_sets(texts, hashes)
-            cls, check = class_numbers(sets, seed)
-            size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=id_arrow), pa.array(size), pa.array(cls), pa.array(check)], names=["doc_id", "n_shingles", "cls", "check"])
+            elements, sizes = shingle_sets(texts, hashes)
+            cls, check = class_numbers(elements, sizes, seed)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], type=id_arrow), pa.array([r[1] for r in rows], type=pa.int64()), pa.array(sizes), pa.array(cls), pa.array(check)],
+                names=["doc_id", "row", "n_shingles", "cls", "check"],
+            )
 
-    return slim.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, cls bigint, check bigint")
+    return slim.mapInArrow(run, f"doc_id {kind}, row bigint, n_shingles bigint, cls bigint, check bigint")
 
 
 def signatures(slim: DataFrame, seed: int) -> DataFrame:
@@ -223,18 +247,22 @@ def signatures(slim: DataFrame, seed: int) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for _, texts in blocks(batches, "_t"):
-            sets = [s for s in shingle_sets(texts, hashes) if len(s)]
-            cls = class_numbers(sets, seed)[0]
+            elements, sizes = shingle_sets(texts, hashes)
+            cls = class_numbers(elements, sizes, seed)[0]
             new = []
             for i, c in enumerate(cls.tolist()):
-                if c not in seen:
+                if sizes[i] and c not in seen:
                     seen.add(c)
                     new.append(i)
-            bands = [bands_of(len(sets[i])) for i in new]
-            for turn in range(max(map(len, bands), default=0)):
-                own = [i for i, b in zip(new, bands) if len(b) > turn]
-                sig, owner = sign([sets[i] for i in own], np.array([b[turn] for b in bands if len(b) > turn]), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cls[np.array(own)][owner])], names=["sig", "cls"])
+            bands = {i: bands_of(int(sizes[i])) for i in new}
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            for turn in range(max(map(len, bands.values()), default=0)):
+                own = np.array([i for i in new if len(bands[i]) > turn and parts_of(bands[i][turn])[0]], dtype=np.int64)
+                if len(own):
+                    chosen = np.zeros(len(sizes), dtype=bool)
+                    chosen[own] = True
+                    sig, of = sign(elements[chosen[owner]], sizes[own], np.array([bands[i][turn] for i in own.tolist()]), 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cls[own][of])], names=["sig", "cls"])
 
     return slim.select("_t").mapInArrow(run, "sig bigint, cls bigint")
 
@@ -263,57 +291,54 @@ def shared(signed: DataFrame) -> DataFrame:
 
 
 def candidate_sets(slim: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """``cls node size lucky elements sketch`` of the wanted classes (``cls node``), read from the document that names each."""
-    kind, id_arrow = slim.schema["doc_id"].dataType.simpleString(), arrow_type(slim, "doc_id")
-    side = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted.hint("shuffle_hash")
-    texts = slim.join(side, F.col("doc_id") == F.col("node")).select("cls", "node", "_t")
+    """``cls size elements narrow wide`` of the wanted classes (``cls row``), read from the row that stands for each."""
+    texts = slim.join(wanted.hint("shuffle_hash"), "row").select("cls", "_t")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         for rows, found in blocks(batches, "_t"):
-            sets = shingle_sets(found, hashes)
-            own = class_numbers(sets, seed)[0].tolist()
-            # an identifier may be there twice with different texts
-            good = [(r[0], r[1], len(s), lucky(s), s.tobytes(), sketch(s)) for r, s, c in zip(rows, sets, own) if r[0] == c]
+            elements, sizes = shingle_sets(found, hashes)
+            own = class_numbers(elements, sizes, seed)[0].tolist()
+            good = []
+            # rows may be repeated, and a row's number may stand for two rows
+            for (c,), s, o in zip(rows, np.split(elements, np.cumsum(sizes)[:-1]), own):
+                if c == o and c not in seen:
+                    seen.add(c)
+                    good.append((c, len(s), s.tobytes(), sketch(s), sketch(s, wide_bits(len(s)))))
             if good:
-                kinds = (pa.int64(), id_arrow, pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*good), kinds)], names=["cls", "node", "size", "lucky", "elements", "sketch"])
-
-    return texts.mapInArrow(run, f"cls bigint, node {kind}, size bigint, lucky boolean, elements binary, sketch binary")
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*good), kinds)], names=["cls", "size", "elements", "narrow", "wide"])
 
+    return texts.mapInArrow(run, "cls bigint, size bigint, elements binary, narrow binary, wide binary")
 
-def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs ``x y n`` of classes that share ``n`` signatures those that may be similar."""
-    narrow = sets.select("cls", "size", "lucky").distinct()
-    both = pairs.join(narrow.toDF("x", "nx", "lx"), "x").join(narrow.toDF("y", "ny", "ly"), "y")
 
-    @F.pandas_udf("long")
-    def least(small: pd.Series, large: pd.Series) -> pd.Series:
-        return pd.Series([needed(a, b) for a, b in zip(small.tolist(), large.tolist())])
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a b``: those of the pairs ``x y`` of classes whose whole sets are similar."""
+    narrow = sets.select("cls", "size", "wide")
+    both = pairs.join(narrow.toDF("x", "na", "wa"), "x").join(narrow.toDF("y", "nb", "wb"), "y").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
 
-    enough = F.col("n") >= F.when(F.col("lx") | F.col("ly"), least(F.least("nx", "ny"), F.greatest("nx", "ny"))).otherwise(1)
-    return both.filter("5 * least(nx, ny) >= 4 * greatest(nx, ny)").filter(enough).select("x", "y", "n")
+    def open_pairs(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wa, na, wb, nb = (batch.column(c).to_pylist() for c in ("wa", "na", "wb", "nb"))
+            good = pa.array([may_be_similar(*p) for p in zip(wa, na, wb, nb)], type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("x", "y")], names=["x", "y"])
 
-
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``a b`` between the nodes of pairs ``x y`` of classes whose whole sets are similar."""
-    kind = sets.schema["node"].dataType.simpleString()
-    one = sets.select(F.col("cls").alias("x"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("elements").alias("ea"))
-    two = sets.select(F.col("cls").alias("y"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("elements").alias("eb"))
-    both = pairs.join(one, "x").join(two, "y").filter("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b", "ea", "eb")
+    left = both.select("x", "y", "wa", "na", "wb", "nb").mapInArrow(open_pairs, "x bigint, y bigint")
+    whole = sets.select("cls", "elements")
+    sent = left.join(whole.toDF("x", "ea"), "x").join(whole.toDF("y", "eb"), "y").select("x", "y", "ea", "eb")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             good = []
             for i in range(batch.num_rows):
                 p = np.frombuffer(batch.column("ea")[i].as_buffer(), dtype=np.uint64)
                 q = np.frombuffer(batch.column("eb")[i].as_buffer(), dtype=np.uint64)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(100 * common >= 80 * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, g in zip(c, good) if g], type=batch.schema.field(n).type) for c, n in ((a, "a"), (b, "b"))], names=["a", "b"])
+            kept = pa.array(good, type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(kept), batch.column("y").filter(kept)], names=["a", "b"])
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return sent.mapInArrow(run, "a bigint, b bigint")
 
 
 def close_pairs(size: np.ndarray, group: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -345,86 +370,6 @@ def close_pairs_between(first: np.ndarray, second: np.ndarray, size: np.ndarray,
                 yield x[good], y[good]
 
 
-def agreed(size):
-    """Of the rare elements of two similar sets so many are common at least, by the smaller size."""
-    return 1 + size // 20
-
-
-def rare(s: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The elements at which a set meets similar ones: the first in the order of frequency (``often``, by bucket) and hash."""
-    order = np.lexsort((s, often[(s >> U64(64 - BUCKET_BITS)).astype(np.int64)]))
-    return s[order[: len(s) - (4 * len(s) + 4) // 5 + agreed(len(s))]]
-
-
-def bucket_counts(sets: DataFrame) -> np.ndarray:
-    """How often elements of each hash bucket occur in the sets."""
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        for batch in batches:
-            for e in batch.column("elements"):
-                np.add.at(total, (np.frombuffer(e.as_buffer(), dtype=np.uint64) >> U64(64 - BUCKET_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
-
-    found = sets.select("elements").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-    often[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return often
-
-
-def rare_elements(sets: DataFrame, often: np.ndarray) -> DataFrame:
-    """``element cls`` for the elements at which each class meets similar ones."""
-    sent = sets.sparkSession.sparkContext.broadcast(often)
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                own = [rare(np.frombuffer(e.as_buffer(), dtype=np.uint64), sent.value) for e in batch.column("elements")]
-                cls = np.repeat(batch.column("cls").to_numpy(), [len(o) for o in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(cls)], names=["element", "cls"])
-
-    return sets.select("cls", "elements").mapInArrow(run, "element bigint, cls bigint")
-
-
-def rare_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs ``x y`` of classes in different components that may be similar, by their rare elements (``cls grp size elements sketch``).
-
-    A task is never given all rows of an element with many classes: it gets two blocks of them, or one with itself.
-    """
-    met = cut_lineage(rare_elements(sets, bucket_counts(sets)).join(sets.select("cls", "grp"), "cls"))
-    often = met.groupBy("element").agg(F.count("*").alias("n"), F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high")
-    blocks_of = cut_lineage(often.select("element", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    placed = met.select("element", "cls").join(blocks_of, "element").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "element", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls"
-    )
-    rows = dealt.join(sets.select("cls", "grp", "size", "sketch"), "cls")
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            element, i, j, own, cls, grp, size = (table.column(c).to_numpy() for c in ("element", "i", "j", "own", "cls", "grp", "size"))
-            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(cls), -1)
-            for s, e in runs(element, i, j):
-                if e - s == 1:
-                    continue
-                if i[s] == j[s]:
-                    found = ((x + s, y + s) for x, y in close_pairs(size[s:e], grp[s:e], bits[s:e]))
-                else:
-                    at = np.arange(s, e)
-                    found = close_pairs_between(at[own[s:e] == i[s]], at[own[s:e] == j[s]], size, grp, bits)
-                for x, y in found:
-                    p, q = cls[x], cls[y]
-                    least = agreed(np.minimum(size[x], size[y]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(least)], names=["x", "y", "least"])
-
-        yield from by_runs(batches, ("element", "i", "j"), pairs_of)
-
-    sorted_rows = rows.repartition("element", "i", "j").sortWithinPartitions("element", "i", "j")
-    pairs = sorted_rows.mapInArrow(run, "x bigint, y bigint, least bigint").groupBy("x", "y").agg(F.count("*").alias("n"), F.max("least").alias("least"))
-    return pairs.filter("n >= least").select("x", "y")
-
-
 def runs(*keys: np.ndarray) -> list[tuple[int, int]]:
     """Start and end of each run of equal keys."""
     new = np.zeros(max(0, len(keys[0]) - 1), dtype=bool)
@@ -451,80 +396,164 @@ def by_runs(batches, keys: tuple[str, ...], use) -> Iterator[pa.RecordBatch]:
         yield from use(pa.Table.from_batches(held))
 
 
-def unsettled_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs ``x y`` of classes in different components with the number ``n`` of signatures they share (``sig cls grp size sketch``).
+def forest(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of pairs of places some that join as many labels as all of them would; ``label`` is changed to the joined ones."""
+    while True:
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        if not len(x):
+            return
+        yield int(x[0]), int(y[0])
+        label[label == label[y[0]]] = label[x[0]]
+
+
+def proposed(rows: DataFrame) -> DataFrame:
+    """Pairs ``x y`` of classes that would join the components of each signature (``sig chunk cls grp size narrow``), each once."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            sig, chunk, cls, grp, size = (table.column(c).to_numpy() for c in ("sig", "chunk", "cls", "grp", "size"))
+            bits = np.frombuffer(b"".join(table.column("narrow").to_pylist()), dtype=np.uint64).reshape(len(sig), -1)
+            found = []
+            for s, e in runs(sig, chunk):
+                label = grp[s:e].copy()
+                if (label == label[0]).all():
+                    continue
+                for x, y in close_pairs(size[s:e], label, bits[s:e]):
+                    found += [(s + i, s + j) for i, j in forest(x, y, label)]
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], names=["x", "y"])
+
+        yield from by_runs(batches, ("sig", "chunk"), pairs_of)
 
-    A signature's rows meet in one task, so it must not have more than ``LARGE``.
+    keys = ("sig", "chunk")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "cls").mapInArrow(run, "x bigint, y bigint").distinct()
+
+
+def all_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs ``x y`` of classes in different components of a signature that sketches leave open (``sig i j first cls grp size narrow``).
+
+    A run of ``sig i j`` holds two blocks, told by ``first``, or one (i = j).
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            sig = table.column("sig").to_numpy()
-            cls, grp, size = (table.column(c).to_numpy() for c in ("cls", "grp", "size"))
-            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(sig), -1)
-            for s, e in runs(sig):
-                if e - s > 1:
-                    for x, y in close_pairs(size[s:e], grp[s:e], bits[s:e]):
-                        p, q = cls[s:e][x], cls[s:e][y]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["x", "y"])
+            sig, i, j, cls, grp, size = (table.column(c).to_numpy() for c in ("sig", "i", "j", "cls", "grp", "size"))
+            first = table.column("first").to_numpy()
+            bits = np.frombuffer(b"".join(table.column("narrow").to_pylist()), dtype=np.uint64).reshape(len(sig), -1)
+            for s, e in runs(sig, i, j):
+                if i[s] == j[s]:
+                    found = ((x + s, y + s) for x, y in close_pairs(size[s:e], grp[s:e], bits[s:e]))
+                else:
+                    at = np.arange(s, e)
+                    found = close_pairs_between(at[first[s:e]], at[~first[s:e]], size, grp, bits)
+                for x, y in found:
+                    p, q = cls[x], cls[y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["x", "y"])
+
+        yield from by_runs(batches, ("sig", "i", "j"), pairs_of)
 
-        yield from by_runs(batches, ("sig",), pairs_of)
+    keys = ("sig", "i", "j")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x bigint, y bigint").distinct()
 
-    sorted_rows = rows.select("sig", "cls", "grp", "size", "sketch").repartition("sig").sortWithinPartitions("sig")
-    return sorted_rows.mapInArrow(run, "x bigint, y bigint").groupBy("x", "y").agg(F.count("*").alias("n"))
+
+def dealt(members: DataFrame) -> DataFrame:
+    """Rows ``sig i j first cls grp`` of open signatures, copied to the block pairs in which they are compared (``sig cls grp``).
+
+    Blocks 0, 1, ... hold the classes outside the signature's largest component, blocks -1, -2, ... those inside.
+    """
+    parts = cut_lineage(members.groupBy("sig", "grp").agg(F.count("*").alias("n")))
+    shape = parts.groupBy("sig").agg(F.max_by("grp", F.struct("n", "grp")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n"))
+    shape = cut_lineage(shape.select(
+        "sig", "main", F.ceil(F.col("inside") / BLOCK).cast("int").alias("ib"), F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int").alias("ob")
+    ).filter("ob > 0"))
+    own = members.join(shape, "sig").withColumn("h", F.xxhash64("cls"))
+    outside = own.filter("grp <> main").withColumn("own", F.pmod("h", "ob").cast("int"))
+    with_each_other = outside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ob") - 1))).select(
+        "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"), "cls", "grp"
+    )
+    with_inside = outside.withColumn("other", F.explode(F.sequence(F.lit(1), F.col("ib")))).select(
+        "sig", (-F.col("other")).alias("i"), F.col("own").alias("j"), F.lit(False).alias("first"), "cls", "grp"
+    )
+    inside = own.filter("grp = main").withColumn("own", F.pmod("h", "ib").cast("int") + 1).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ob") - 1))).select(
+        "sig", (-F.col("own")).alias("i"), F.col("other").alias("j"), F.lit(True).alias("first"), "cls", "grp"
+    )
+    return with_each_other.unionByName(with_inside).unionByName(inside)
+
+
+def open_members(groups: DataFrame, found: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members ``sig cls grp`` of the signatures (``sig cls centre``) whose classes lie in several components, and ``cls grp``."""
+    root = components(found)
+    named = cut_lineage(sets.select("cls").join(root.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("grp")))
+    pairs = groups.select("centre", "cls").distinct()
+    apart = pairs.join(named.toDF("cls", "g"), "cls").join(named.toDF("centre", "h"), "centre").filter("g <> h").select("centre", "cls")
+    sigs = cut_lineage(groups.join(apart, ["centre", "cls"], "left_semi").select("sig").distinct())
+    left = cut_lineage(groups.join(sigs, "sig", "left_semi"))
+    members = left.select("sig", "cls").unionByName(left.select("sig", F.col("centre").alias("cls")).distinct())
+    return cut_lineage(members.join(named, "cls")), named
 
 
 def links(slim: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
-    """Links ``a b`` between the nodes of classes; they connect what all links between similar sets connect."""
+    """Links ``a b`` between similar classes (``cls row``); they connect what all links connect."""
     groups = cut_lineage(shared(signatures(slim, seed)))
     members = groups.select("cls").unionByName(groups.select(F.col("centre").alias("cls"))).distinct()
-    wanted = cut_lineage(classes.filter("node is not null").join(members, "cls").select("cls", "node"))
-    sets = cut_lineage(candidate_sets(slim, wanted, seed))
-    pairs = cut_lineage(groups.groupBy(F.col("centre").alias("x"), F.col("cls").alias("y")).agg(F.count("*").alias("n")))
-    best = likely(pairs, sets).groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x"))
-    tested = cut_lineage(best.select("x", "y"))
+    sets = cut_lineage(candidate_sets(slim, cut_lineage(classes.join(members, "cls").select("cls", "row")), seed))
+    narrow = sets.select("cls", "size", "narrow")
+    pairs = groups.groupBy(F.col("centre").alias("x"), F.col("cls").alias("y")).agg(F.count("*").alias("n"))
+    tested = cut_lineage(pairs.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x")).select("x", "y"))
     found = cut_lineage(similar(tested, sets))
-    root = components(found)
-    named = sets.select("cls", "node").distinct().join(root, "node", "left").select("cls", F.xxhash64(F.coalesce("root", "node")).alias("grp"))
-    named = cut_lineage(named)
-    apart = pairs.join(named.toDF("x", "gx"), "x").join(named.toDF("y", "gy"), "y").filter("gx <> gy").select(F.col("x").alias("centre"), F.col("y").alias("cls"))
-    open_sigs = cut_lineage(groups.join(apart, ["centre", "cls"], "left_semi").select("sig").distinct())
-    unsettled = cut_lineage(groups.join(open_sigs, "sig", "left_semi"))
-    members = unsettled.select("sig", "cls").unionByName(unsettled.select("sig", F.col("centre").alias("cls")).distinct())
-    large = cut_lineage(members.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("sig"))
-    grouped = sets.join(named, "cls")
-    rows = members.join(large, "sig", "left_anti").join(grouped.select("cls", "grp", "size", "sketch"), "cls")
-    rest = likely(unsettled_pairs(rows).join(tested, ["x", "y"], "left_anti"), sets).select("x", "y")
-    if not large.isEmpty():
-        # two classes of a large signature are found by their rare elements, whatever other signatures they share
-        many = grouped.join(members.join(large, "sig", "left_semi").select("cls").distinct(), "cls", "left_semi")
-        rest = rest.unionByName(rare_pairs(cut_lineage(many)).join(tested, ["x", "y"], "left_anti")).distinct()
-    return found.unionByName(similar(cut_lineage(rest), sets))
+    while True:
+        left, named = open_members(groups, found, sets)
+        size = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+        chunked = left.join(size, "sig").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(seed)), "chunks").cast("int")).select("sig", "chunk", "cls", "grp")
+        new = cut_lineage(proposed(chunked.join(narrow, "cls")).join(tested, ["x", "y"], "left_anti"))
+        joined = cut_lineage(similar(new, sets))
+        tested, found = tested.unionByName(new), found.unionByName(joined)
+        if joined.isEmpty():
+            break
+    rest = cut_lineage(all_pairs(dealt(left).join(narrow, "cls")).join(tested, ["x", "y"], "left_anti"))
+    return found.unionByName(similar(rest, sets))
 
 
-def near_groups(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id n_shingles component_id`` of every document."""
-    slim = docs.select(column(docs, id_).alias("doc_id"), column(docs, text).alias("_t"))
+def grouped(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """``doc_id row n_shingles cls root component_id`` of every row; the root is null for empty sets."""
+    slim = docs.select(column(docs, id_).alias("doc_id"), F.xxhash64(column(docs, id_), column(docs, text)).alias("row"), column(docs, text).alias("_t"))
     seed = 0
     while True:
         table = cut_lineage(numbered(slim, seed))
         some = table.filter("n_shingles > 0")
         classes = cut_lineage(some.groupBy("cls").agg(
-            F.min("doc_id").alias("node"), F.struct(F.min("check").alias("c"), F.min("n_shingles").alias("n")).alias("low"),
+            F.min("doc_id").alias("node"), F.min("row").alias("row"), F.struct(F.min("check").alias("c"), F.min("n_shingles").alias("n")).alias("low"),
             F.struct(F.max("check").alias("c"), F.max("n_shingles").alias("n")).alias("high")))
         if classes.filter("low <> high").isEmpty():
             break
         seed += 1
-    root = components(links(slim, classes.select("cls", "node"), seed))
-    final = classes.select("cls", "node").join(root, "node", "left").select("cls", F.coalesce("root", "node").alias("component_id"))
-    return table.join(final, "cls", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    root = components(links(slim, classes.select("cls", "row"), seed)).withColumnRenamed("node", "cls")
+    named = cut_lineage(classes.join(root, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "node"))
+    least = named.groupBy("root").agg(F.min("node").alias("component_id"))
+    of_class = named.select("cls", "root").join(least, "root")
+    return table.join(of_class, "cls", "left").select(
+        "doc_id", "row", "n_shingles", "cls", F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"),
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
+def near_groups(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id n_shingles component_id`` of every document."""
+    return grouped(docs, id_, text).select("doc_id", "n_shingles", "component_id")
+
+
 def keep_one(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents but for those that have a smaller identifier in their component; all columns as they were."""
-    groups = cut_lineage(near_groups(docs, id_, text))
-    (name,) = spare(docs, "_gone")
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(f"`{id_}`") == F.col(name), "left_anti")
+    """One document of each component, all columns as they were: the one with the smallest identifier.
+
+    Rows without identifier come after those with one; of several texts of the smallest identifier the one with the smallest hash stays.
+    Rows that are equal in identifier and text are one document here: all of them stay or none. Documents with an empty set stay.
+    """
+    rows = cut_lineage(grouped(docs, id_, text))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    first = rows.filter("root is not null").groupBy("root").agg(F.min(order).alias("kept"))
+    gone_row, gone_id = spare(docs, "_gone_row", "_gone_id")
+    gone = rows.join(first, "root").filter(F.col("row") != F.col("kept.row")).select(F.col("row").alias(gone_row), F.col("doc_id").alias(gone_id)).distinct()
+    same = (F.xxhash64(column(docs, id_), column(docs, text)) == F.col(gone_row)) & column(docs, id_).eqNullSafe(F.col(gone_id))
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")

@@ -155,8 +155,10 @@ def test_signatures_are_complete():
             signed = []
             for s in (p, q):
                 bands = jaccard.bands_of(len(s))
-                signed.append(set(np.concatenate([jaccard.sign([s], np.array([b]), 0)[0] for b in bands]).tolist()))
-            assert signed[0] & signed[1], size
+                signed.append(set(np.concatenate([jaccard.sign(s, np.array([len(s)]), np.array([b]), 0)[0] for b in bands if jaccard.parts_of(b)[0]] or [s]).tolist()))
+            assert signed[0] & signed[1] or not spare, size
+            wide = [jaccard.sketch(s, jaccard.wide_bits(len(s))) for s in (p, q)]
+            assert jaccard.may_be_similar(wide[0], len(p), wide[1], len(q)) and jaccard.may_be_similar(jaccard.sketch(p), len(p), wide[1], len(q))
 
 
 def test_near_duplicates_leave_one(spark):
@@ -184,35 +186,82 @@ def near_texts(rng):
     return texts
 
 
-@pytest.mark.parametrize("block", [7, 1024])
-def test_common_passages_are_not_compared_in_one_task(spark, monkeypatch, block):
-    met, inner = [], jaccard.unsettled_pairs
+def test_signatures_of_many_sets_are_those_of_each():
+    rng = np.random.default_rng(17)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (4, 5, 9, 40, 300, 7, 4)]
+    sizes = np.array(list(map(len, sets)))
+    bands = np.array([jaccard.band_of(n) for n in sizes.tolist()])
+    sig, owner = jaccard.sign(np.concatenate(sets), sizes, bands, 0)
+    for i, s in enumerate(sets):
+        assert sorted(sig[owner == i].tolist()) == sorted(jaccard.sign(s, sizes[i : i + 1], bands[i : i + 1], 0)[0].tolist())
+
+
+def test_shingle_sets():
+    texts = [t or "" for t in ODD] + ["a b c d e f g", "A b\tc", "x " * 40, "one two three four five", ""]
+    elements, sizes = jaccard.shingle_sets(texts, jaccard.WordHashes())
+    assert sizes.tolist() == [len(brute.shingles(t)) for t in texts]
+    alone = [jaccard.shingle_sets([t], jaccard.WordHashes())[0] for t in texts]
+    assert elements.tolist() == np.concatenate(alone).tolist() and all((np.diff(a.astype(object)) > 0).all() for a in alone)
+
+
+def counted(monkeypatch, name, made):
+    """Let a step of the join note the number of its rows."""
+    inner = getattr(jaccard, name)
 
     def spy(rows):
-        met.append(rows.groupBy("sig").count().agg(F.max("count")).first()[0] or 0)
-        return inner(rows)
+        out = inner(rows)
+        made.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, name, spy)
+
 
-    monkeypatch.setattr(jaccard, "unsettled_pairs", spy)
-    monkeypatch.setattr(jaccard, "LARGE", 10, raising=False)
-    monkeypatch.setattr(jaccard, "BLOCK", block, raising=False)
+@pytest.mark.parametrize("block", [7, 4096])
+def test_common_passages(spark, monkeypatch, block):
+    rounds, last = [], []
+    counted(monkeypatch, "proposed", rounds)
+    counted(monkeypatch, "all_pairs", last)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     texts = near_texts(random.Random(15))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(table(spark, texts)).collect()}
-    assert max(met) <= 10
     assert got == brute.near_components(list(enumerate(texts)))
-
-
-def test_rare_elements_are_complete():
-    """Every pair of sets at the threshold meets often enough, whatever the sizes and the order."""
-    rng = np.random.default_rng(16)
-    for size in [*range(1, 60), 100, 333, 1000]:
-        for _ in range(10):
-            often = rng.integers(0, 3, 1 << jaccard.BUCKET_BITS)
-            common = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
-            spare = int(size / 0.8) - size
-            a = int(rng.integers(0, spare + 1))
-            p, q = (np.unique(np.r_[common, rng.integers(0, 2**63, n, dtype=np.uint64)]) for n in (a, spare - a))
-            n = len(np.intersect1d(jaccard.rare(p, often), jaccard.rare(q, often)))
-            assert n >= jaccard.agreed(min(len(p), len(q))), size
+    assert all(out <= rows for rows, out in rounds) and len(last) == 1
+
+
+def test_a_chain_of_near_copies_is_one_component(spark, monkeypatch):
+    """Each text is similar to some before and behind it, and to no other."""
+    rounds, last = [], []
+    counted(monkeypatch, "proposed", rounds)
+    counted(monkeypatch, "all_pairs", last)
+    words = [f"w{i}" for i in range(3200)]
+    texts = [" ".join(words[3 * i : 3 * i + 120]) for i in range(1000)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_groups(table(spark, texts)).collect()}
+    assert set(got.values()) == {0} and len(got) == 1000
+    assert sum(out for _, out in rounds + last) < 10_000
+    assert all(out <= rows for rows, out in rounds)
+
+
+def test_blocks_cover_each_pair_across_components(spark):
+    rng = random.Random(18)
+    rows = [(sig, c, rng.choice([1, 1, 1, 1, 2, 3])) for sig in range(4) for c in range(60)]
+    met = set()
+    for r in jaccard.dealt(spark.createDataFrame(rows, "sig bigint, cls bigint, grp bigint")).groupBy("sig", "i", "j").agg(
+        F.collect_list(F.when(F.col("first"), F.struct("cls", "grp"))).alias("p"), F.collect_list(F.when(~F.col("first"), F.struct("cls", "grp"))).alias("q")
+    ).collect():
+        both = [(x, y) for x in r["p"] for y in r["q"]] if r["i"] != r["j"] else [(x, y) for x in r["p"] + r["q"] for y in r["p"] + r["q"]]
+        met |= {(r["sig"], *sorted((x["cls"], y["cls"]))) for x, y in both if x["grp"] != y["grp"]}
+    assert met == {(s, c, d) for s, c, g in rows for t, d, h in rows if s == t and c < d and g != h}
+
+
+def test_keep_one_takes_repeated_and_missing_identifiers(spark):
+    one, two = (" ".join(f"{p}{i}" for i in range(100)) for p in "xy")
+    rows = [(5, one), (5, two), (7, one + " more"), (None, two + " more"), (None, "all alone in here now"), (9, two), (9, two), (3, "ab"), (2, "AB")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    groups = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.near_groups(docs).collect()), key=str)
+    assert groups == sorted([(5, 5), (5, 5), (7, 5), (None, 5), (None, None), (9, 5), (9, 5), (3, 2), (2, 2)], key=str)
+    assert {tuple(r) for r in jaccard.keep_one(docs).collect()} == {(5, one), (5, two), (None, "all alone in here now"), (2, "AB")}
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("int"))
+    assert jaccard.keep_one(nameless).count() == 4
 
 
 def test_components(spark):
