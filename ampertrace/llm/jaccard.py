@@ -4,12 +4,12 @@ Two sets of sizes r <= s with a Jaccard similarity of 0.8 or more differ in (r +
 Sizes are cut into bands. For pairs whose smaller set lies in a band, k bounds the difference. The feature domain is partitioned
 twice by hashes: into n = k // 2 + 1 + t parts, and each part into ``SUB`` parts of its own. k differing elements spoil two
 and more elements in k // 2 parts at most, so t + 1 parts or more differ in one element at most, and that one lies in one of the ``SUB``.
-A set signs all subsets of ``SUB`` - 1 of each part's sub-parts: similar sets share a signature, and a signature speaks for some
-five elements, so few others do. A set takes part in its own band and in those lower bands where its partners may lie.
+A set signs all subsets of ``SUB`` - 1 of each part's sub-parts: similar sets share a signature, and others seldom do, as it speaks for several
+elements. A set takes part in its own band and in those lower bands where its partners may lie.
 
 A subset without elements says nothing and would be shared by very many sets, so it is not signed. A part with such a subset is
 thin. That loses nothing where one of two sets has t thin parts or fewer: some agreeing part is not thin. A set with
-more of them signs a second and a third partition of the domain as well, where the same holds; if it is unlucky in all, it
+more of them signs another partition of the domain as well, where the same holds, up to ``SEEDS`` of them; if it is unlucky in all, it
 signs its empty subsets too.
 
 Equal sets are one class. Classes that share a signature are candidates. Components, not pairs, are asked for, so:
@@ -53,9 +53,13 @@ from ampertrace.session import cut_lineage
 SHINGLE = 5
 BAND = 1.4
 #: sub-parts of a part; all but one of them are signed
-SUB = 4
-SEEDS = 3
+SUB = 3
+SEEDS = 4
 SKETCH_BITS = 1024
+#: rows of candidates that are sent to all executors (16 bytes each) to read their texts; beyond it texts and candidates are shuffled
+SENT_ROWS = 1_000_000
+#: bytes of an element that a test compares: a chance of one in 10^9 that two sets of 500 seem to share one more
+TESTED_BYTES = 6
 #: rows compared with each other at once within one signature
 COMPARED = 256
 #: classes of one signature in a block, about
@@ -127,20 +131,37 @@ def band_of(size: int) -> int:
     return number
 
 
+def more_than(t: int, n: int, p: float) -> float:
+    """Chance of more than t hits in n trials."""
+    term = total = (1 - p) ** n
+    for i in range(t):
+        term *= (n - i) / (i + 1) * p / (1 - p)
+        total += term
+    return max(0.0, 1 - total)
+
+
 @lru_cache(maxsize=None)
 def parts_of(band: int) -> tuple[int, int]:
-    """Number of parts of the domain in a band (0: similar sets are equal), and the spare agreements t."""
+    """Number of parts of the domain in a band (0: similar sets are equal), and the spare agreements t.
+
+    More spare parts leave fewer sets unlucky, but make all parts thinner; the t with the fewest signatures in all is taken.
+    """
     least, most = band_start(band), band_start(band + 1) - 1
-    k, spare = most // 4, 0
+    k = most // 4
     if k == 0:
         return 0, 0
-    for _ in range(20):
+    best = (np.inf, 0, 0)
+    for spare in range(1 + k):
         n = k // 2 + 1 + spare
         each = least / n
         # no element at all, or all in one sub-part
-        thin = n * (np.exp(-each) + SUB * np.exp(-each * (SUB - 1) / SUB) * (1 - np.exp(-each / SUB)))
-        spare = max(0, int(np.ceil(thin + 2.5 * np.sqrt(thin))) - 1) if n > 1 else 0
-    return k // 2 + 1 + spare, spare
+        thin = np.exp(-each) + SUB * np.exp(-each * (SUB - 1) / SUB) * (1 - np.exp(-each / SUB))
+        unlucky = more_than(spare, n, thin)
+        # sets that are unlucky in all partitions sign empty subsets, which many share
+        best = min(best, (n * (1 + unlucky + unlucky**2 + 100 * unlucky**SEEDS), n, spare))
+        if spare > 3 * n * thin + 20:
+            break
+    return best[1], best[2]
 
 
 @lru_cache(maxsize=4096)
@@ -186,7 +207,8 @@ def sign(elements: np.ndarray, sizes: np.ndarray, bands: np.ndarray, seed: int)
             out.append((more, unlucky[of]))
         else:
             shown = filled | np.isin(owner, unlucky)[:, None]
-    out.append((mix(subsets + names)[shown], np.repeat(owner, SUB).reshape(total, SUB)[shown]))
+    # 48 bits: a signature shared by chance is one candidate more
+    out.append((mix(subsets + names)[shown] >> U64(16), np.repeat(owner, SUB).reshape(total, SUB)[shown]))
     return np.concatenate([x for x, _ in out]), np.concatenate([o for _, o in out])
 
 
@@ -290,30 +312,54 @@ def shared(signed: DataFrame) -> DataFrame:
     return signed.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(run, "sig bigint, cls bigint, centre bigint")
 
 
-def candidate_sets(slim: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """``cls size elements narrow wide`` of the wanted classes (``cls row``), read from the row that stands for each."""
-    texts = slim.join(wanted.hint("shuffle_hash"), "row").select("cls", "_t")
+def read_sets(slim: DataFrame, wanted: DataFrame, seed: int, give: dict[str, tuple[pa.DataType, str, object]]) -> DataFrame:
+    """``cls`` and what ``give`` makes of its elements, for classes ``cls row``; each is read from the row that stands for it."""
+    side = F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted.hint("shuffle_hash")
+    texts = slim.join(side, "row").select("cls", "_t")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         for rows, found in blocks(batches, "_t"):
             elements, sizes = shingle_sets(found, hashes)
             own = class_numbers(elements, sizes, seed)[0].tolist()
-            good = []
+            kept, sets = [], []
             # rows may be repeated, and a row's number may stand for two rows
             for (c,), s, o in zip(rows, np.split(elements, np.cumsum(sizes)[:-1]), own):
                 if c == o and c not in seen:
                     seen.add(c)
-                    good.append((c, len(s), s.tobytes(), sketch(s), sketch(s, wide_bits(len(s)))))
-            if good:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*good), kinds)], names=["cls", "size", "elements", "narrow", "wide"])
+                    kept.append(c)
+                    sets.append(s)
+            columns = [pa.array([make(s) for s in sets], type=kind) for kind, _, make in give.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, type=pa.int64()), *columns], names=["cls", *give])
+
+    return texts.mapInArrow(run, ", ".join(["cls bigint", *[f"{name} {kind}" for name, (_, kind, _) in give.items()]]))
+
 
-    return texts.mapInArrow(run, "cls bigint, size bigint, elements binary, narrow binary, wide binary")
+def sketches(slim: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """``cls row size narrow wide`` of the wanted classes (``cls row``)."""
+    give = {
+        "size": (pa.int64(), "bigint", len), "narrow": (pa.binary(), "binary", sketch),
+        "wide": (pa.binary(), "binary", lambda s: sketch(s, wide_bits(len(s)))),
+    }
+    return read_sets(slim, wanted, seed, give).join(wanted, "cls")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``a b``: those of the pairs ``x y`` of classes whose whole sets are similar."""
+def packed(s: np.ndarray) -> bytes:
+    """The leading ``TESTED_BYTES`` of each element, in order."""
+    return np.ascontiguousarray(s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :TESTED_BYTES]).tobytes()
+
+
+def unpacked(b) -> np.ndarray:
+    full = np.zeros((len(b) // TESTED_BYTES, 8), dtype=np.uint8)
+    full[:, :TESTED_BYTES] = np.frombuffer(b, dtype=np.uint8).reshape(-1, TESTED_BYTES)
+    return full.view(">u8").ravel().astype(np.uint64)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, slim: DataFrame, seed: int) -> DataFrame:
+    """Links ``a b``: those of the pairs ``x y`` of classes whose whole sets are similar.
+
+    Elements are read and sent for the classes of those pairs only that their sketches leave open.
+    """
     narrow = sets.select("cls", "size", "wide")
     both = pairs.join(narrow.toDF("x", "na", "wa"), "x").join(narrow.toDF("y", "nb", "wb"), "y").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
 
@@ -323,17 +369,20 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = pa.array([may_be_similar(*p) for p in zip(wa, na, wb, nb)], type=pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("x", "y")], names=["x", "y"])
 
-    left = both.select("x", "y", "wa", "na", "wb", "nb").mapInArrow(open_pairs, "x bigint, y bigint")
-    whole = sets.select("cls", "elements")
-    sent = left.join(whole.toDF("x", "ea"), "x").join(whole.toDF("y", "eb"), "y").select("x", "y", "ea", "eb")
+    left = cut_lineage(both.select("x", "y", "wa", "na", "wb", "nb").mapInArrow(open_pairs, "x bigint, y bigint"))
+    met = left.select(F.col("x").alias("cls")).unionByName(left.select(F.col("y").alias("cls"))).distinct()
+    wanted = cut_lineage(sets.select("cls", "row").join(met, "cls"))
+    whole = read_sets(slim, wanted, seed, {"elements": (pa.binary(), "binary", packed)})
+    sent = left.join(whole.toDF("y", "eb"), "y").join(whole.toDF("x", "ea"), "x").select("x", "y", "ea", "eb")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for i in range(batch.num_rows):
-                p = np.frombuffer(batch.column("ea")[i].as_buffer(), dtype=np.uint64)
-                q = np.frombuffer(batch.column("eb")[i].as_buffer(), dtype=np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
+                p, q = (unpacked(batch.column(c)[i].as_buffer()) for c in ("ea", "eb"))
+                both = np.concatenate([p, q])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
                 good.append(100 * common >= 80 * (len(p) + len(q) - common))
             kept = pa.array(good, type=pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("x").filter(kept), batch.column("y").filter(kept)], names=["a", "b"])
@@ -482,8 +531,8 @@ def dealt(members: DataFrame) -> DataFrame:
     return with_each_other.unionByName(with_inside).unionByName(inside)
 
 
-def open_members(groups: DataFrame, found: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members ``sig cls grp`` of the signatures (``sig cls centre``) whose classes lie in several components, and ``cls grp``."""
+def open_members(groups: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members ``sig cls grp`` of the signatures (``sig cls centre``) whose classes lie in several components."""
     root = components(found)
     named = cut_lineage(sets.select("cls").join(root.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("grp")))
     pairs = groups.select("centre", "cls").distinct()
@@ -491,29 +540,31 @@ def open_members(groups: DataFrame, found: DataFrame, sets: DataFrame) -> tuple[
     sigs = cut_lineage(groups.join(apart, ["centre", "cls"], "left_semi").select("sig").distinct())
     left = cut_lineage(groups.join(sigs, "sig", "left_semi"))
     members = left.select("sig", "cls").unionByName(left.select("sig", F.col("centre").alias("cls")).distinct())
-    return cut_lineage(members.join(named, "cls")), named
+    return cut_lineage(members.join(named, "cls"))
 
 
 def links(slim: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     """Links ``a b`` between similar classes (``cls row``); they connect what all links connect."""
     groups = cut_lineage(shared(signatures(slim, seed)))
     members = groups.select("cls").unionByName(groups.select(F.col("centre").alias("cls"))).distinct()
-    sets = cut_lineage(candidate_sets(slim, cut_lineage(classes.join(members, "cls").select("cls", "row")), seed))
+    sets = cut_lineage(sketches(slim, cut_lineage(classes.join(members, "cls").select("cls", "row")), seed))
     narrow = sets.select("cls", "size", "narrow")
     pairs = groups.groupBy(F.col("centre").alias("x"), F.col("cls").alias("y")).agg(F.count("*").alias("n"))
     tested = cut_lineage(pairs.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x")).select("x", "y"))
-    found = cut_lineage(similar(tested, sets))
+    found = cut_lineage(similar(tested, sets, slim, seed))
     while True:
-        left, named = open_members(groups, found, sets)
+        left = open_members(groups, found, sets)
         size = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
         chunked = left.join(size, "sig").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(seed)), "chunks").cast("int")).select("sig", "chunk", "cls", "grp")
         new = cut_lineage(proposed(chunked.join(narrow, "cls")).join(tested, ["x", "y"], "left_anti"))
-        joined = cut_lineage(similar(new, sets))
+        if new.isEmpty():
+            break
+        joined = cut_lineage(similar(new, sets, slim, seed))
         tested, found = tested.unionByName(new), found.unionByName(joined)
         if joined.isEmpty():
             break
     rest = cut_lineage(all_pairs(dealt(left).join(narrow, "cls")).join(tested, ["x", "y"], "left_anti"))
-    return found.unionByName(similar(rest, sets))
+    return found if rest.isEmpty() else found.unionByName(similar(rest, sets, slim, seed))
 
 
 def grouped(docs: DataFrame, id_: str, text: str) -> DataFrame:
