@@ -39,3 +39,31 @@ def spare(df: DataFrame, *names: str) -> list[str]:
 def column(df: DataFrame, name: str) -> Column:
     """A column by its exact name, dots included."""
     return df[f"`{name}`"]
+
+
+#: elements that are folded one by one; ``running`` folds blocks of so many, then the blocks
+FOLDED = 256
+
+
+def running(values: Column, zero: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array the fold of those before it, by an associative ``both`` with the neutral element ``zero``.
+
+    An array that grows by one element a step is copied each time. So blocks of ``FOLDED`` elements are folded by themselves, and then their
+    totals: even very many elements are copied a few hundred times at most, not once for each other.
+    """
+
+    def folded(array: Column) -> Column:
+        start = F.struct(zero.alias("all"), F.slice(F.array(zero), 1, 0).alias("before"))
+        return F.aggregate(
+            array, start, lambda acc, x: F.struct(both(acc["all"], x).alias("all"), F.array_append(acc["before"], acc["all"]).alias("before"))
+        )
+
+    def blocks_of(array: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(array) + 1, F.lit(FOLDED)), lambda i: i <= F.size(array))
+        return F.transform(starts, lambda i: folded(F.slice(array, i, FOLDED)))
+
+    def whole_array(parts: Column) -> Column:
+        offsets = folded(F.transform(parts, lambda p: p["all"]))["before"]
+        return let(offsets, lambda o: F.flatten(F.transform(parts, lambda p, i: F.transform(p["before"], lambda x: both(o[i], x)))))
+
+    return let(values, lambda v: let(blocks_of(v), whole_array))

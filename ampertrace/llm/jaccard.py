@@ -15,9 +15,9 @@ signs its empty subsets too.
 Equal sets are one class. Classes that share a signature are candidates. Components, not pairs, are asked for, so:
 
 1. The least class of a signature is its centre. Each class is tested against the centre with which it shares most signatures.
-2. Rounds: a signature whose classes lie in one component is settled. The others propose a spanning forest of their components,
-   one pair for each two that it would join; a pair is tested once, whatever number of signatures propose it. The rounds end
-   when one of them joins nothing.
+2. Rounds: a signature whose classes lie in one component, or in which no pair across components can be similar, is settled. The
+   others propose a spanning forest of their components, one pair for each two that it would join; a pair is tested once, whatever
+   number of signatures propose it. The rounds end when most of the proposed pairs turn out not to be similar.
 3. Last, all pairs across components are compared within the signatures that are still open, in blocks: classes outside a
    signature's largest component with each other and with those inside. Nothing is left out, so the result is exact.
 
@@ -38,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampertrace.llm.arrays import column, spare
-from ampertrace.llm.codes import MOST_CODES, arrow_type, blocks
+from ampertrace.llm.codes import arrow_type, blocks
 from ampertrace.llm.components import components
 from ampertrace.session import cut_lineage
 
@@ -60,8 +61,8 @@ SKETCH_BITS = 1024
 SENT_ROWS = 1_000_000
 #: bytes of an element that a test compares: a chance of one in 10^9 that two sets of 500 seem to share one more
 TESTED_BYTES = 6
-#: rows compared with each other at once within one signature
-COMPARED = 256
+#: pairs whose sketches are compared at once
+COMPARED = 1 << 14
 #: classes of one signature in a block, about
 BLOCK = 4096
 
@@ -80,31 +81,63 @@ def salt(seed: int) -> np.uint64:
     return mix(np.array([seed + 1], dtype=np.uint64))[0]
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+#: bytes of text hashed at once; longer words are hashed one by one
+SPAN, LONG_WORD = 1 << 18, 256
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0x9E3779B97F4A7C15
 
 
-def shingle_sets(texts: list[str], hashes: WordHashes, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=None)
+def powers(base: int) -> np.ndarray:
+    """``base ** 0, base ** 1, ...`` of 64 bits."""
+    out = np.full(SPAN + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z as a-z, text after text, and the number of words of each text.
+
+    A word's hash is a polynomial in its bytes, the difference of two running sums over the text, moved to exponent 0.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    joined = b" ".join(raw).lower() + b" "
+    data = np.frombuffer(joined, dtype=np.uint8)
+    space = np.r_[True, _SPACE[data]]
+    starts = np.flatnonzero(space[:-1] & ~space[1:])
+    ends = np.flatnonzero(~space[:-1] & space[1:])
+    bounds = np.cumsum(np.fromiter((len(r) + 1 for r in raw), dtype=np.int64, count=len(raw)))
+    counts = np.diff(np.r_[0, np.searchsorted(starts, bounds)])
+    h = np.empty(len(starts), dtype=np.uint64)
+    up, down = powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
+    first = 0
+    while first < len(starts):
+        origin = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, origin + SPAN, side="right")))
+        s, e = starts[first:last] - origin, np.minimum(ends[first:last] - origin, SPAN)
+        part = _BYTES[data[origin : origin + e[-1]]]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        h[first:last] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        first = last
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : ends[i]])
+    return h, counts
+
+
+def shingle_sets(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The sets of the texts as sorted distinct hashes, one set after the other, and their sizes."""
-    if len(hashes) > MOST_CODES:
-        hashes.clear()
-    words: list[bytes] = []
-    ends = np.zeros(len(texts) + 1, dtype=np.int64)
-    for i, t in enumerate(texts):
-        words += t.encode("utf-8", "surrogatepass").lower().split()
-        ends[i + 1] = len(words)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    counts = np.diff(ends)
+    h, counts = word_hashes(texts)
     made = np.where(counts > n, counts - n + 1, np.minimum(counts, 1))
     width = np.minimum(counts, n)
-    # a shingle that would run over the end of its text is left out below
     total = np.repeat(width.astype(np.uint64), counts)
     for k in range(n):
-        full = np.flatnonzero(np.repeat(width > k, counts)[: len(h) - k] if k else np.repeat(width > k, counts))
-        total[full] += h[full + k] * ODD[k]
-    kept = np.arange(len(h)) - np.repeat(ends[:-1], counts) < np.repeat(made, counts)
+        # where a shingle would run over the end of its text, it is left out below
+        full = np.repeat(width > k, counts)[: max(0, len(h) - k)]
+        total[: len(full)] += np.where(full, h[k:] * ODD[k], U64(0))
+    kept = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts) < np.repeat(made, counts)
     elements = mix(total[kept])
     stops = np.cumsum(made)
     for start, stop in zip((stops - made).tolist(), stops.tolist()):
@@ -132,12 +165,8 @@ def band_of(size: int) -> int:
 
 
 def more_than(t: int, n: int, p: float) -> float:
-    """Chance of more than t hits in n trials."""
-    term = total = (1 - p) ** n
-    for i in range(t):
-        term *= (n - i) / (i + 1) * p / (1 - p)
-        total += term
-    return max(0.0, 1 - total)
+    """Chance of more than t hits in n trials, about."""
+    return 0.5 * erfc((t + 0.5 - n * p) / sqrt(2 * n * p * (1 - p)))
 
 
 @lru_cache(maxsize=None)
@@ -251,9 +280,8 @@ def numbered(slim: DataFrame, seed: int) -> DataFrame:
     kind, id_arrow = slim.schema["doc_id"].dataType.simpleString(), arrow_type(slim, "doc_id")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for rows, texts in blocks(batches, "_t"):
-            elements, sizes = shingle_sets(texts, hashes)
+            elements, sizes = shingle_sets(texts)
             cls, check = class_numbers(elements, sizes, seed)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], type=id_arrow), pa.array([r[1] for r in rows], type=pa.int64()), pa.array(sizes), pa.array(cls), pa.array(check)],
@@ -267,9 +295,9 @@ def signatures(slim: DataFrame, seed: int) -> DataFrame:
     """``sig cls``; a task signs each class once."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for _, texts in blocks(batches, "_t"):
-            elements, sizes = shingle_sets(texts, hashes)
+            elements, sizes = shingle_sets(texts)
             cls = class_numbers(elements, sizes, seed)[0]
             new = []
             for i, c in enumerate(cls.tolist()):
@@ -318,9 +346,9 @@ def read_sets(slim: DataFrame, wanted: DataFrame, seed: int, give: dict[str, tup
     texts = slim.join(side, "row").select("cls", "_t")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for rows, found in blocks(batches, "_t"):
-            elements, sizes = shingle_sets(found, hashes)
+            elements, sizes = shingle_sets(found)
             own = class_numbers(elements, sizes, seed)[0].tolist()
             kept, sets = [], []
             # rows may be repeated, and a row's number may stand for two rows
@@ -390,33 +418,26 @@ def similar(pairs: DataFrame, sets: DataFrame, slim: DataFrame, seed: int) -> Da
     return sent.mapInArrow(run, "a bigint, b bigint")
 
 
-def close_pairs(size: np.ndarray, group: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs of different groups that the parity bits do not rule out, block by block."""
-    for i in range(0, len(size), COMPARED):
-        for j in range(i, len(size), COMPARED):
-            a, b = slice(i, i + COMPARED), slice(j, j + COMPARED)
-            differ = np.bitwise_count(bits[a, None] ^ bits[None, b]).sum(axis=2, dtype=np.int64)
-            n, m = size[a, None], size[None, b]
-            good = (9 * differ <= n + m) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (group[a, None] != group[None, b])
-            if i == j:
-                good &= np.triu(np.ones(good.shape, dtype=bool), 1)
-            x, y = np.nonzero(good)
-            if len(x):
-                yield x + i, y + j
-
-
-def close_pairs_between(first: np.ndarray, second: np.ndarray, size: np.ndarray, group: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The same for pairs of one place of ``first`` and one of ``second``."""
-    for i in range(0, len(first), COMPARED):
-        a = first[i : i + COMPARED]
-        for j in range(0, len(second), COMPARED):
-            b = second[j : j + COMPARED]
-            n, m = size[a][:, None], size[b][None]
-            x, y = np.nonzero((5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (group[a][:, None] != group[b][None]))
-            x, y = a[x], b[y]
-            good = 9 * np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= size[x] + size[y]
-            if good.any():
-                yield x[good], y[good]
+def near(x: np.ndarray, y: np.ndarray, size: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which pairs of places the sizes and the parity bits leave open."""
+    n, m = size[x], size[y]
+    good = 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+    at = np.flatnonzero(good)
+    for i in range(0, len(at), COMPARED):
+        k = at[i : i + COMPARED]
+        good[k] = 9 * np.bitwise_count(bits[x[k]] ^ bits[y[k]]).sum(axis=1, dtype=np.int64) <= n[k] + m[k]
+    return good
+
+
+def pairs_in(stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places in the same run, the pairs of neighbours of all runs first (``stop``: behind each place's run)."""
+    x, apart = np.arange(len(stop)), 1
+    while True:
+        x = x[x + apart < stop[x]]
+        if not len(x):
+            return
+        yield x, x + apart
+        apart += 1
 
 
 def runs(*keys: np.ndarray) -> list[tuple[int, int]]:
@@ -445,39 +466,59 @@ def by_runs(batches, keys: tuple[str, ...], use) -> Iterator[pa.RecordBatch]:
         yield from use(pa.Table.from_batches(held))
 
 
-def forest(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Of pairs of places some that join as many labels as all of them would; ``label`` is changed to the joined ones."""
-    while True:
-        apart = label[x] != label[y]
-        x, y = x[apart], y[apart]
-        if not len(x):
-            return
-        yield int(x[0]), int(y[0])
-        label[label == label[y[0]]] = label[x[0]]
+def root_of(parent: list[int], i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+def run_ends(*keys: np.ndarray) -> np.ndarray:
+    """For each row the place behind its run of equal keys."""
+    edges = np.array(runs(*keys), dtype=np.int64).reshape(-1, 2)
+    return np.repeat(edges[:, 1], edges[:, 1] - edges[:, 0])
 
 
 def proposed(rows: DataFrame) -> DataFrame:
-    """Pairs ``x y`` of classes that would join the components of each signature (``sig chunk cls grp size narrow``), each once."""
+    """``sig x y``: pairs of classes that would join the components of each signature (``sig chunk cls grp size narrow``).
+
+    A signature without such a pair has no two similar classes in different components, now or later.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
             sig, chunk, cls, grp, size = (table.column(c).to_numpy() for c in ("sig", "chunk", "cls", "grp", "size"))
             bits = np.frombuffer(b"".join(table.column("narrow").to_pylist()), dtype=np.uint64).reshape(len(sig), -1)
-            found = []
-            for s, e in runs(sig, chunk):
-                label = grp[s:e].copy()
-                if (label == label[0]).all():
-                    continue
-                for x, y in close_pairs(size[s:e], label, bits[s:e]):
-                    found += [(s + i, s + j) for i, j in forest(x, y, label)]
+            stop = run_ends(sig, chunk)
+            # components of each run by number, joined as the pairs would join them
+            order = np.lexsort((grp, stop))
+            new = np.r_[True, (grp[order][1:] != grp[order][:-1]) | (stop[order][1:] != stop[order][:-1])]
+            node = np.empty(len(sig), dtype=np.int64)
+            node[order] = np.cumsum(new) - 1
+            parent, label = list(range(int(new.sum()))), np.arange(int(new.sum()))
+            found: list[tuple[int, int]] = []
+            for x, y in pairs_in(stop):
+                apart = label[node[x]] != label[node[y]]
+                x, y = x[apart], y[apart]
+                good = near(x, y, size, bits)
+                before = len(found)
+                for i, j in zip(x[good].tolist(), y[good].tolist()):
+                    p, q = root_of(parent, int(node[i])), root_of(parent, int(node[j]))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        found.append((i, j))
+                if len(found) > before:
+                    label = np.array(parent)
+                    while (label != label[label]).any():
+                        label = label[label]
             if found:
                 i, j = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[i]), pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], names=["sig", "x", "y"])
 
         yield from by_runs(batches, ("sig", "chunk"), pairs_of)
 
     keys = ("sig", "chunk")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "cls").mapInArrow(run, "x bigint, y bigint").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "cls").mapInArrow(run, "sig bigint, x bigint, y bigint")
 
 
 def all_pairs(rows: DataFrame) -> DataFrame:
@@ -489,16 +530,14 @@ def all_pairs(rows: DataFrame) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
             sig, i, j, cls, grp, size = (table.column(c).to_numpy() for c in ("sig", "i", "j", "cls", "grp", "size"))
-            first = table.column("first").to_numpy()
+            first, alone = table.column("first").to_numpy(), i == j
             bits = np.frombuffer(b"".join(table.column("narrow").to_pylist()), dtype=np.uint64).reshape(len(sig), -1)
-            for s, e in runs(sig, i, j):
-                if i[s] == j[s]:
-                    found = ((x + s, y + s) for x, y in close_pairs(size[s:e], grp[s:e], bits[s:e]))
-                else:
-                    at = np.arange(s, e)
-                    found = close_pairs_between(at[first[s:e]], at[~first[s:e]], size, grp, bits)
-                for x, y in found:
-                    p, q = cls[x], cls[y]
+            for x, y in pairs_in(run_ends(sig, i, j)):
+                asked = (grp[x] != grp[y]) & (alone[x] | (first[x] != first[y]))
+                x, y = x[asked], y[asked]
+                good = near(x, y, size, bits)
+                p, q = cls[x[good]], cls[y[good]]
+                if len(p):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["x", "y"])
 
         yield from by_runs(batches, ("sig", "i", "j"), pairs_of)
@@ -531,38 +570,38 @@ def dealt(members: DataFrame) -> DataFrame:
     return with_each_other.unionByName(with_inside).unionByName(inside)
 
 
-def open_members(groups: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members ``sig cls grp`` of the signatures (``sig cls centre``) whose classes lie in several components."""
-    root = components(found)
-    named = cut_lineage(sets.select("cls").join(root.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("grp")))
-    pairs = groups.select("centre", "cls").distinct()
-    apart = pairs.join(named.toDF("cls", "g"), "cls").join(named.toDF("centre", "h"), "centre").filter("g <> h").select("centre", "cls")
-    sigs = cut_lineage(groups.join(apart, ["centre", "cls"], "left_semi").select("sig").distinct())
-    left = cut_lineage(groups.join(sigs, "sig", "left_semi"))
-    members = left.select("sig", "cls").unionByName(left.select("sig", F.col("centre").alias("cls")).distinct())
-    return cut_lineage(members.join(named, "cls"))
+def open_members(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sig cls grp`` of the members ``sig cls`` of signatures whose classes lie in several components."""
+    root = components(found).withColumnRenamed("node", "cls")
+    named = sets.select("cls").join(root, "cls", "left").select("cls", F.coalesce("root", "cls").alias("grp"))
+    rows = cut_lineage(members.join(named, "cls"))
+    several = rows.groupBy("sig").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("sig")
+    return cut_lineage(rows.join(several, "sig", "left_semi"))
 
 
 def links(slim: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     """Links ``a b`` between similar classes (``cls row``); they connect what all links connect."""
     groups = cut_lineage(shared(signatures(slim, seed)))
-    members = groups.select("cls").unionByName(groups.select(F.col("centre").alias("cls"))).distinct()
-    sets = cut_lineage(sketches(slim, cut_lineage(classes.join(members, "cls").select("cls", "row")), seed))
+    members = groups.select("sig", "cls").unionByName(groups.select("sig", F.col("centre").alias("cls")).distinct())
+    sets = cut_lineage(sketches(slim, cut_lineage(classes.join(members.select("cls").distinct(), "cls").select("cls", "row")), seed))
     narrow = sets.select("cls", "size", "narrow")
     pairs = groups.groupBy(F.col("centre").alias("x"), F.col("cls").alias("y")).agg(F.count("*").alias("n"))
     tested = cut_lineage(pairs.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x")).select("x", "y"))
     found = cut_lineage(similar(tested, sets, slim, seed))
     while True:
-        left = open_members(groups, found, sets)
+        left = open_members(members, found, sets)
         size = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-        chunked = left.join(size, "sig").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(seed)), "chunks").cast("int")).select("sig", "chunk", "cls", "grp")
-        new = cut_lineage(proposed(chunked.join(narrow, "cls")).join(tested, ["x", "y"], "left_anti"))
-        if new.isEmpty():
-            break
+        chunked = left.join(size, "sig").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(seed)), "chunks").cast("int"))
+        asked = cut_lineage(proposed(chunked.select("sig", "chunk", "cls", "grp").join(narrow, "cls")))
+        # the others are settled for good, but for those of several chunks, which have not met
+        still = asked.select("sig").unionByName(size.filter("chunks > 1").select("sig")).distinct()
+        members = cut_lineage(left.join(still, "sig", "left_semi").select("sig", "cls"))
+        new = cut_lineage(asked.select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))
         joined = cut_lineage(similar(new, sets, slim, seed))
         tested, found = tested.unionByName(new), found.unionByName(joined)
-        if joined.isEmpty():
+        if 2 * joined.count() <= new.count():
             break
+    left = open_members(members, found, sets)
     rest = cut_lineage(all_pairs(dealt(left).join(narrow, "cls")).join(tested, ["x", "y"], "left_anti"))
     return found if rest.isEmpty() else found.unionByName(similar(rest, sets, slim, seed))
 

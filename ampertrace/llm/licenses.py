@@ -3,8 +3,9 @@
 The automaton holds all substrings of all templates and phrases, word by word. A text streams through it once: after
 each word it knows the longest run of words, ending there, that occurs in some template (the matching statistics). Runs
 that cannot be extended and reach ``LEAST_MATCH`` words are chained, for each template, where they follow each other in the
-text and in the template with small gaps; a chain that covers enough of the template is a span of it. Phrases are found in the same
-pass: a phrase ends wherever the current run ends with it.
+text and in the template with small gaps. A run may stand at several places of a template, and each is tried: of all chains the one that
+covers most words of the template is taken first, then the best one of what lies before or behind it, and so on. A chain that
+covers enough of the template is a span of it. Phrases are found in the same pass: a phrase ends wherever the current run ends with it.
 
 The automaton has a size given by the templates and is broadcast. Words outside the templates reset it, so that most words
 of other texts cost one look into a dictionary.
@@ -17,6 +18,7 @@ without rows gives none.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -81,14 +83,14 @@ def words_of(text: str) -> list[bytes]:
 class Automaton:
     """States of the suffix automaton of several word sequences.
 
-    ``ends`` tells, for each state, where in which template its runs end first; ``phrases`` which phrases end there.
+    ``ends`` tells, for each state, behind which words of which template its runs end; ``phrases`` which phrases end there.
     """
 
     numbers: dict[bytes, int] = field(default_factory=dict)
     follow: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    ends: list[dict[str, int]] = field(default_factory=lambda: [{}])
+    ends: list[dict[str, set[int]]] = field(default_factory=lambda: [{}])
     phrases: list[tuple[tuple[int, str], ...]] = field(default_factory=list)
     sizes: dict[str, int] = field(default_factory=dict)
 
@@ -101,9 +103,8 @@ class Automaton:
             a._add([a.numbers.setdefault(w, len(a.numbers)) for w in words_of(text)], None)
         # longer runs hand their places on to the runs they end with
         for state in sorted(range(1, len(a.link)), key=lambda s: -a.length[s]):
-            for name, end in a.ends[state].items():
-                upper = a.ends[a.link[state]]
-                upper[name] = min(end, upper.get(name, end))
+            for name, ends in a.ends[state].items():
+                a.ends[a.link[state]].setdefault(name, set()).update(ends)
         own: dict[int, list[tuple[int, str]]] = {}
         for text, label in phrases.items():
             state = 0
@@ -122,7 +123,7 @@ class Automaton:
         for place, n in enumerate(numbers):
             last = self._extend(last, n)
             if name is not None:
-                self.ends[last].setdefault(name, place)
+                self.ends[last].setdefault(name, set()).add(place + 1)
         return len(numbers)
 
     def _state(self, length: int, follow: dict[int, int], link: int) -> int:
@@ -191,25 +192,69 @@ def runs(a: Automaton, words: list[bytes]) -> tuple[list[tuple[int, int, int]],
     return found, places
 
 
+Match = tuple[int, int, int, int]
+
+
+def gain(before: Match, match: Match) -> int:
+    """Words of the template that a match (first word, end, end in the template, words) adds to a chain that ends with ``before``; 0 if it may not follow."""
+    start, end, place, size = match
+    if end <= before[1] or place <= before[2] or start - before[1] > GAP or place - size - before[2] > GAP:
+        return 0
+    # words that both could claim count once
+    return min(size, end - before[1], place - before[2])
+
+
+def best_chain(matches: list[Match]) -> tuple[int, int, int]:
+    """First word, end and covered words of the chain that covers most, of these the one that ends first (``matches`` by their ends)."""
+    ends = [m[1] for m in matches]
+    covered, first = [], []
+    for start, end, place, size in matches:
+        match, most, at = (start, end, place, size), size, start
+        for i in range(bisect_left(ends, start - GAP), bisect_left(ends, end)):
+            more = gain(matches[i], match)
+            if more and covered[i] + more > most:
+                most, at = covered[i] + more, first[i]
+        covered.append(most)
+        first.append(at)
+    j = covered.index(max(covered))
+    return first[j], ends[j], covered[j]
+
+
+def apart(matches: list[Match]) -> Iterator[list[Match]]:
+    """The matches (by their ends) in groups that neither overlap nor can be chained with each other."""
+    ends = [m[1] for m in matches]
+    low = []
+    for j, m in enumerate(matches):
+        after = bisect_right(ends, m[0])
+        chained = (i for i in range(bisect_left(ends, m[0] - GAP), min(after, j)) if gain(matches[i], m))
+        low.append(min(next(chained, j), after, j))
+    stop = len(matches)
+    for k in range(len(matches) - 1, -1, -1):
+        low[k] = min(low[k], low[k + 1]) if k + 1 < len(matches) else low[k]
+        # nothing from k on is tied to what stands before k
+        if low[k] >= k:
+            yield matches[k:stop]
+            stop = k
+
+
+def best_chains(matches: list[Match]) -> list[tuple[int, int, int]]:
+    """Disjoint chains as (first word, end, covered words): the best one, then the best ones of what lies before and behind it."""
+    found = []
+    open_groups = list(apart(sorted(matches, key=lambda m: (m[1], m[2], m[0]))))
+    while open_groups:
+        group = open_groups.pop()
+        first, end, covered = best_chain(group)
+        found.append((first, end, covered))
+        open_groups += [g for g in ([m for m in group if m[1] <= first], [m for m in group if m[0] >= end]) if g]
+    return sorted(found)
+
+
 def chains(a: Automaton, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
     """Spans as (template, first word, behind the last word, share of the template that is covered)."""
     spans = []
     for name, whole in a.sizes.items():
-        open_chain: list[int] | None = None  # first word, end in the text, end in the template, covered words
-        for start, size, state in found:
-            if name not in a.ends[state]:
-                continue
-            end = a.ends[state][name] + 1
-            if open_chain and start - open_chain[1] <= GAP and 0 <= end - size - open_chain[2] + size // 2 and end - size - open_chain[2] <= GAP:
-                # runs may overlap by the words that both could claim
-                new = min(size, start + size - open_chain[1], end - open_chain[2])
-                open_chain = [open_chain[0], start + size, max(end, open_chain[2]), open_chain[3] + max(0, new)]
-            else:
-                if open_chain:
-                    spans.append((name, open_chain[0], open_chain[1], min(1.0, open_chain[3] / whole)))
-                open_chain = [start, start + size, end, size]
-        if open_chain:
-            spans.append((name, open_chain[0], open_chain[1], min(1.0, open_chain[3] / whole)))
+        matches = [(start, start + size, end, size) for start, size, state in found for end in a.ends[state].get(name, ())]
+        spans += [(name, first, end, min(1.0, covered / whole)) for first, end, covered in best_chains(matches)]
     return spans
 
 

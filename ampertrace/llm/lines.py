@@ -5,7 +5,7 @@ more than once in the corpus keeps its first occurrence, by document and line; t
 covered lines are removed, so that overlapping windows merge to whole passages. Lines without a word stay where they are.
 
 Windows are two 64-bit hashes, summed up before and after the shuffle: a window that very many documents share is one
-row per task. The first occurrences are joined back to the windows; that join has no aggregate behind it in its stage, so
+row per task. The first occurrences are written and joined back to the windows; no aggregate stands in the stage of that join, so
 that Spark can split a hot window over tasks.
 
 Defined results: a null text stays null, a text with fewer than three lines with a word is unchanged. Rows with the same identifier and
@@ -38,26 +38,21 @@ def windows(text: Column, n: int = WINDOW) -> Column:
 
 
 def without(text: Column, covered: Column) -> Column:
-    """The text without the lines with a word whose numbers are in the sorted array ``covered``."""
+    """The text without the lines with a word whose numbers are in ``covered``; linear in the lines."""
 
-    def step(acc: Column, line: Column) -> Column:
-        has_word = line.rlike(WORD)
-        # the covered numbers are met in order, so one pointer is enough
-        hit = has_word & F.coalesce(F.get(covered, acc["next"]) == acc["number"], F.lit(False))
-        return F.struct(
-            (acc["number"] + has_word.cast("int")).alias("number"), (acc["next"] + hit.cast("int")).alias("next"),
-            F.when(hit, acc["kept"]).otherwise(F.array_append(acc["kept"], line)).alias("kept"),
-        )
+    def kept(lines: Column) -> Column:
+        places = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(WORD), i)), lambda i: i.isNotNull())
+        gone = let(places, lambda p: F.transform(covered, lambda n: p[n]))
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: lines[i])
 
-    start = F.struct(F.lit(0).alias("number"), F.lit(0).alias("next"), F.array().cast("array<string>").alias("kept"))
-    return F.array_join(F.aggregate(F.split(text, "\n"), start, step, lambda acc: acc["kept"]), "\n")
+    return F.array_join(let(F.split(text, "\n"), kept), "\n")
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
     """``_id _hash covered``: for each document with repeated windows the sorted numbers of the lines to remove."""
     found = cut_lineage(docs.select("_id", "_hash", F.explode(windows(F.col("_t"))).alias("w")).select("_id", "_hash", "w.*"))
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("_id", "_hash", "at")).alias("first"), F.max(F.struct("_id", "_hash", "at")).alias("last"))
-    repeated = first.filter("first <> last").select("h1", "h2", "first")
+    repeated = cut_lineage(first.filter("first <> last").select("h1", "h2", "first"))
     later = found.join(repeated, ["h1", "h2"]).filter(~F.struct("_id", "_hash", "at").eqNullSafe(F.col("first"))).select("_id", "_hash", "at")
     lines = later.distinct().groupBy("_id", "_hash").agg(F.collect_list("at").alias("at"))
     spread = F.flatten(F.transform("at", lambda i: F.array(*[i + k for k in range(WINDOW)])))

@@ -5,11 +5,12 @@ and given a lower bound on its number of bins, the largest over a family of dual
 the property that sizes which fit into a bin have values f that sum to one at most, so the values of all pieces, summed
 and rounded up, bound the bins from below. A partition whose bins meet its bound is certified and done. In the others
 the pieces of all bins that are not full, and of every ``MIXED``-th bin for choice, are exchanged: they are dealt anew
-over fewer partitions and packed again, until nothing is left to exchange or the pieces have met in one partition. As
-bounds are rounded up once per partition, the loosely filled bins of certified partitions take part in the exchange.
+over fewer partitions and packed again, until nothing is left to exchange, an exchange saves no bin, or the pieces have met in one
+partition. As bounds are rounded up once per partition, the loosely filled bins of certified partitions take part in the exchange.
+The certificates are part of the result: bins and bound of each partition that was packed, and of all pieces together.
 
 A partition holds ``partition_pieces`` pieces on average, so a task's memory does not grow with the corpus; pieces are
-dealt by a hash of their key, so no source or group of copies gathers in one.
+dealt by a hash of a running number, so no source, group of copies or repeated row gathers in one.
 
 Defined results: a null or empty text is one piece, its end token alone. Repeated rows are packed each for itself. A table
 without rows gives no pieces.
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,9 +37,10 @@ from ampertrace.session import cut_lineage
 CAPACITY = 4096
 END = 1
 PARTITION_PIECES = 20_000
-ROUNDS = 6
 #: of the bins of a partition with a gap, the share that is exchanged even if full
 MIXED = 8
+#: rounds that a sequence's number has room for
+MOST_ROUNDS = 2047
 #: bins filled up to this share of the capacity are exchanged by certified partitions too
 LOOSE = 0.75
 
@@ -94,9 +98,13 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     others as they are. For k = 1, 2, ...: a size x counts x / capacity where (k + 1) x is a multiple of the
     capacity, else floor((k + 1) x / capacity) / k.
     """
-    if not len(sizes):
+    return bound_of(np.bincount(sizes, minlength=capacity + 1)[: capacity + 1].astype(np.int64), capacity)
+
+
+def bound_of(counts: np.ndarray, capacity: int) -> int:
+    """The bound of so many pieces of each size from 0 to the capacity."""
+    if not counts.any():
         return 0
-    counts = np.bincount(sizes, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
     size = np.arange(capacity + 1)
     number, total = np.cumsum(counts), np.cumsum(counts * size)
     t = np.arange(0, capacity // 2 + 1)
@@ -124,12 +132,23 @@ def pack_group(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, filled[bins], made, lower_bound(sizes, capacity)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
-    """Pieces (column ``length``, and what else they carry) with ``sequence_id`` and ``offset``; counts of bins and bound.
+@dataclass
+class Packing:
+    """``placed``: the pieces with ``sequence_id`` and ``offset``. ``certificates``: ``round partition bins bound`` of each partition as it was
+    packed. ``bins`` are used in all, and any packing of the pieces needs ``bound``."""
+
+    placed: DataFrame
+    certificates: DataFrame
+    rounds: int
+    bins: int
+    bound: int
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> Packing:
+    """Pack pieces (column ``length``, and what else they carry).
 
-    ``pieces`` should be a written table: it is read once for its size and once to be packed.
+    ``pieces`` should be a written table: it is read for the histogram of its lengths and to be packed.
     """
-    spark = pieces.sparkSession
     columns = pieces.columns
     place = "_group long, _bin long, offset bigint, _filled bigint, _made bigint, _bound bigint"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields), "_key bigint, _round int", place])
@@ -138,28 +157,42 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
         bins, offsets, filled, made, bound = pack_group(frame["length"].to_numpy(), capacity)
         return frame.assign(_bin=bins, offset=offsets, _filled=filled, _made=made, _bound=bound)
 
-    pool = pieces.withColumn("_key", F.xxhash64(*columns)).withColumn("_round", F.lit(0))
-    n = pieces.count()
+    # at most ``capacity`` lengths
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    n = sum(lengths.values())
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    counts[list(lengths)] = list(lengths.values())
+    pool = pieces.withColumn("_key", F.monotonically_increasing_id()).withColumn("_round", F.lit(0))
     done: list[DataFrame] = []
-    groups = max(1, -(-n // partition_pieces))
-    for number in range(rounds):
+    packed_rounds: list[DataFrame] = []
+    groups, number, before = max(1, -(-n // partition_pieces)), 0, None
+    bin_of = F.struct("_group", "_bin")
+    while True:
         # another seed in each round deals the pieces of a partition over all others
         dealt = pool.withColumn("_group", F.pmod(F.xxhash64("_key", F.lit(number)), F.lit(groups)))
         packed = cut_lineage(dealt.groupBy("_group").applyInPandas(run, schema).withColumn("_round", F.lit(number)))
+        packed_rounds.append(packed)
         gap = (F.col("_made") > F.col("_bound")) & ((F.col("_filled") < capacity) | (F.col("_bin") % MIXED == number % MIXED))
         exchanged = gap | (F.col("_filled") <= int(LOOSE * capacity))
-        loose = packed.filter(exchanged).count() if groups > 1 and number < rounds - 1 else 0
-        if not loose:
+        found = packed.filter(exchanged).agg(F.count("*").alias("n"), F.count_distinct(bin_of).alias("bins")).first()
+        used = packed.select(bin_of).distinct().count()
+        # bins that this round made of the pieces it was given; the round before had ``before``
+        if not found["n"] or groups == 1 or (before is not None and used >= before) or number == MOST_ROUNDS:
             done.append(packed)
             break
+        before = found["bins"]
         done.append(packed.filter(~exchanged))
         pool = packed.filter(exchanged).select(*columns, "_key", "_round")
-        groups = max(1, min(groups - 1, -(-loose // partition_pieces)))
-    placed = done[0]
-    for more in done[1:]:
-        placed = placed.unionByName(more)
-    sequence = F.shiftleft(F.col("_round").cast("long"), 58).bitwiseOR(F.shiftleft(F.col("_group"), 26)).bitwiseOR(F.col("_bin"))
-    return placed.select(*[F.col(f"`{c}`") for c in columns], sequence.alias("sequence_id"), "offset"), {"pieces": n, "rounds": len(done), "groups": groups}
+        groups, number = max(1, min(groups - 1, -(-found["n"] // partition_pieces))), number + 1
+    placed = reduce(DataFrame.unionByName, done)
+    sequence = F.shiftleft(F.col("_round").cast("long"), 52).bitwiseOR(F.shiftleft(F.col("_group"), 26)).bitwiseOR(F.col("_bin"))
+    certificates = reduce(DataFrame.unionByName, packed_rounds).groupBy(F.col("_round").alias("round"), F.col("_group").alias("partition")).agg(
+        F.max("_made").alias("bins"), F.max("_bound").alias("bound")
+    )
+    bins = sum(d.select(bin_of).distinct().count() for d in done)
+    return Packing(
+        placed.select(*[F.col(f"`{c}`") for c in columns], sequence.alias("sequence_id"), "offset"), certificates, len(done), bins, bound_of(counts, capacity)
+    )
 
 
 def pack_documents(
@@ -167,4 +200,4 @@ def pack_documents(
 ) -> DataFrame:
     """``doc_id piece start length ids_crc32 sequence_id offset`` of every piece."""
     pieces = cut_lineage(cut_pieces(docs, path, id_, text, capacity))
-    return pack(pieces, capacity, partition_pieces)[0]
+    return pack(pieces, capacity, partition_pieces).placed

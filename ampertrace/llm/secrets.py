@@ -3,7 +3,8 @@
 Every version of a text is addressed by the SHA-256 of its bytes. The ledger, a folder on the shared store, holds which
 rule versions have seen which blob, and the spans they found. A scan takes the pairs of blob and rule version that the
 ledger lacks, reads each such blob once, however many paths and versions carry it, and joins the findings back to all
-paths. A new version of one rule scans the old blobs for that rule alone.
+paths. A new version of one rule scans the old blobs for that rule alone. Findings are kept by blob and rule version, and only those of
+the versions asked for are read. A ledger opened again, in another session too, goes on from the finished runs in its folder.
 
 Spans count code points, end exclusive. A rule's matches are leftmost and do not overlap; those that fail its test are
 dropped after matching. Places come from the lengths of the matches and of the pieces between them.
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampertrace.llm.arrays import column, let, spare, whole
+from ampertrace.llm.arrays import column, let, running, spare, whole
 from ampertrace.session import cut_lineage, shared_folder
 
 
@@ -65,11 +66,11 @@ MORE = (
     Rule("bearer", r"(?i:bearer)\x20+([A-Za-z0-9._~+/=-]+)", 20, group=1),
 )
 RULES = BASE + MORE
-SPANS = "array<struct<start: bigint, kind_no: int, kind: string, end: bigint>>"
+SPANS = "array<struct<start: bigint, end: bigint, rule: string, kind: string>>"
 
 
-def scan(text: Column, rule: Rule, number: int) -> Column:
-    """Spans of one rule; null matches none. The text is cut at the matches only where it has some."""
+def scan(text: Column, rule: Rule) -> Column:
+    """Spans of one rule; null matches none. The text is cut at the matches only where it has some; linear in the matches."""
     # runs of one character class cannot start inside a longer run, so short ones need not be listed
     pattern = rule.pattern.replace("]+", "]{%d,}" % rule.least) if rule.kind == "hex" else rule.pattern
     whole_match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -78,18 +79,14 @@ def scan(text: Column, rule: Rule, number: int) -> Column:
         tested = m if not rule.group else F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
 
         def placed(gaps: Column) -> Column:
-            def step(acc: Column, x: Column) -> Column:
-                start = acc["at"] + F.length(x["gap"])
-                end = start + F.length(x["hit"])
-                span = F.struct(start.alias("start"), F.lit(number).alias("kind_no"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-                return F.struct(
-                    end.alias("at"), F.when(F.length(x["tested"]) >= rule.least, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found")
-                )
-
-            zipped = F.transform(m, lambda hit, i: F.struct(F.get(gaps, i).alias("gap"), hit.alias("hit"), i.alias("i")))
-            with_test = let(tested, lambda t: F.transform(zipped, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.get(t, x["i"]).alias("tested"))))
-            start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPANS).alias("found"))
-            return F.aggregate(with_test, start, step, lambda acc: acc["found"])
+            size = lambda c: F.length(c).cast("bigint")
+            before = running(F.transform(m, lambda hit, i: size(gaps[i]) + size(hit)), F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+            def span(hit: Column, start: Column) -> Column:
+                return F.struct(start.alias("start"), (start + size(hit)).alias("end"), F.lit(rule.key).alias("rule"), F.lit(rule.kind).alias("kind"))
+
+            made = let(before, lambda b: let(tested, lambda t: F.transform(m, lambda hit, i: F.when(F.length(t[i]) >= rule.least, span(hit, b[i] + size(gaps[i]))))))
+            return F.filter(made, lambda x: x.isNotNull())
 
         return let(F.split(text, pattern, -1), placed)
 
@@ -101,16 +98,22 @@ def address(text: Column) -> Column:
 
 
 class Ledger:
-    """Folders ``seen`` (blob, rules) and ``found`` (blob, spans of those rules), one pair of folders per run.
+    """Folders ``seen`` (blob, rules) and ``found`` (blob, spans with their rule versions), one pair of folders per run.
 
     A run writes ``found`` before ``seen``: a run that broke off leaves findings that nothing refers to, and its pairs
-    are scanned again.
+    are scanned again. Finished runs are those whose ``seen`` is complete.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = path or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+        self.runs: list[str] = self._finished() if path else []
+
+    def _finished(self) -> list[str]:
+        jvm, context = self.spark._jvm, self.spark.sparkContext
+        ends = jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/seen/_SUCCESS")
+        found = ends.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(ends)
+        return sorted(f.getPath().getParent().getParent().getName() for f in found or [])
 
     def seen(self) -> DataFrame:
         kind = "blob string, rules array<string>"
@@ -139,7 +142,7 @@ class Ledger:
         # the pair of path and blob is even whatever the copies; the small side is hashed
         texts = blobs.join(todo.hint("shuffle_hash"), ["_path", "blob"])
         none = F.array().cast(SPANS)
-        lists = [F.when(F.array_contains("todo", r.key), scan(F.col("_t"), r, k)).otherwise(none) for k, r in enumerate(rules)]
+        lists = [F.when(F.array_contains("todo", r.key), scan(F.col("_t"), r)).otherwise(none) for r in rules]
         hits = texts.select("blob", F.sort_array(F.concat(*lists)).alias("spans")).filter(F.size("spans") > 0)
         # a row that is there twice has been read twice
         hits.dropDuplicates(["blob"]).write.parquet(f"{self.path}/{run}/found")
@@ -148,12 +151,14 @@ class Ledger:
 
 
 def spans_of(ledger: Ledger, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """All spans of a blob in the order of start and kind: ``blob spans``. Blobs without any are not listed."""
-    kinds = [r.kind for r in rules]
-    kept = ledger.found().withColumn("spans", F.filter("spans", lambda s: s["kind"].isin(kinds)))
+    """All spans of a blob by these rule versions in the order of start and rule: ``blob spans``. Blobs without any are not listed."""
+    keys = [r.key for r in rules]
+    kept = ledger.found().withColumn("spans", F.filter("spans", lambda s: s["rule"].isin(keys)))
     if len(ledger.runs) > 1:
-        kept = kept.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    return kept.filter(F.size("spans") > 0)
+        kept = kept.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    place = lambda s: F.array_position(F.array(*[F.lit(k) for k in keys]), s["rule"])
+    by_place = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return kept.withColumn("spans", F.sort_array(by_place)).filter(F.size("spans") > 0)
 
 
 def joined(spans: Column) -> Column:
@@ -179,16 +184,18 @@ def find_secrets(docs: DataFrame, id_: str = "doc_id", text: str = "text", ledge
 
 
 def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """The text with every span, or run of overlapping spans, replaced."""
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        grown = F.struct(F.concat(acc["out"], gap, F.lit(mask)).alias("out"), s["end"].alias("at"))
-        inside = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-        return F.when(s["start"] < acc["at"], inside).otherwise(grown)
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step, rest)
+    """The text with every span, or run of overlapping spans, replaced (``spans`` by start); linear in the text and the spans."""
+
+    def cut(chars: Column, ends: Column) -> Column:
+        """What stands before each run of spans, and behind the last."""
+        gaps = F.transform(spans, lambda s, i: F.when(s["start"] >= ends[i], F.struct(ends[i].alias("at"), s["start"].alias("to"))))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        pieces = F.array_append(F.filter(gaps, lambda g: g.isNotNull()), F.struct(last.alias("at"), F.size(chars).cast("bigint").alias("to")))
+        piece = lambda g: F.array_join(F.slice(chars, (g["at"] + 1).cast("int"), (g["to"] - g["at"]).cast("int")), "")
+        return F.array_join(F.transform(pieces, piece), mask)
+
+    before = running(F.transform(spans, lambda s: s["end"]), F.lit(0).cast("bigint"), F.greatest)
+    return let(F.split(text, ""), lambda chars: let(before, lambda ends: cut(chars, ends)))
 
 
 def mask_secrets(docs: DataFrame, id_: str = "doc_id", text: str = "text", ledger: Ledger | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
