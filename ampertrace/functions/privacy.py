@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -137,6 +138,10 @@ def plain_text(text: str) -> tuple[str, Sequence[int]]:
     return text, places
 
 
+#: names of which a task keeps the words
+NAMES_KEPT = 20_000
+
+
 class Words:
     """The words and signs of a text, by which names are found.
 
@@ -194,10 +199,16 @@ def pattern_hits(text: Column, patterns: list[tuple[str, re.Pattern]]) -> Column
     return F.pandas_udf(lambda texts: texts.map(hits), "array<struct<start:int,end:int,canonical:string>>")(text)
 
 
+@lru_cache(maxsize=NAMES_KEPT)
+def name_words(name: str) -> Words:
+    """The words of a name, which is met in many texts."""
+    return Words(plain_text(name)[0])
+
+
 def name_hits(words: Words, names: Sequence[dict]) -> list[tuple[int, int, str]]:
     return [
         (s, e, n["canonical"]) for n in names if not n["ending"]
-        for s, e in words.find(Words(plain_text(n["name"])[0]), n["fold"])
+        for s, e in words.find(name_words(n["name"]), n["fold"])
     ]
 
 

@@ -4,8 +4,12 @@ A blank context value never conflicts. A value conflicts when the session has al
 value of the same field. The sequential rule becomes a local one: let ``reach`` of a row be the
 latest earlier place where one of its fields had a different value. The row opens a session exactly
 when the current session started at or before ``reach``. Only rows with a ``reach`` (a changed value)
-or a time gap can open a session, and most of these are certain from their direct neighbour; an
-ordered fold is left only for short runs of uncertain candidates.
+or a time gap can open a session, and most of these are certain from their direct neighbour.
+
+Between two certain starts the others follow from pointers: if a session starts at p, the next one starts at the first row
+whose reach is p or later, and that is a running minimum from the end. The pointers are composed with themselves, so that round k
+holds the start 2^k sessions on, and the certain starts are then followed through all rounds, longest steps first. So a run of n
+sessions takes log n joins, evenly dealt by row, whatever share of the rows a device has.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ampertrace.functions.payload import boolish, norm_status
 from ampertrace.functions.text import clean_text, scenario_hint, strip, text_or_blank
-from ampertrace.operators.ordered import seconds_between, segment, with_history
+from ampertrace.operators.ordered import MICROS, SLOT_SECONDS, micros, seconds_between, segment, with_history, with_running
 from ampertrace.operators.sessions import DEVICE_KEYS, ORDER, SESSION_BREAK_SECONDS
 from ampertrace.session import cut_lineage, spread
 
@@ -67,8 +71,20 @@ def _candidates(rows: DataFrame, gap_seconds: int) -> DataFrame:
     return history.select("_device", *ORDER, gap.alias("_gap"), reach.alias("_reach")).filter("_gap or _reach is not null")
 
 
+def _next_starts(candidates: DataFrame) -> DataFrame:
+    """``_run p next``: for a session that starts at ``p`` where the next one of the run starts, if there is one."""
+    reaches = candidates.select("_run", F.col("reach").alias("at"), F.lit(0).alias("kind"), F.col("p").alias("value"))
+    starts = candidates.select("_run", F.col("p").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(candidates.schema["p"].dataType).alias("value"))
+    back = reaches.filter("at is not null").unionByName(starts).withColumns(
+        {"_time": -micros(F.col(f"at.{ORDER[0]}")), "_id": -F.col(f"at.{ORDER[1]}")}
+    )
+    slot = F.floor(F.col("_time") / F.lit(SLOT_SECONDS * MICROS))
+    followed = with_running(back, "_run", ("_time", "_id", "kind"), {"next": ("min", F.col("value"))}, slot=slot)
+    return followed.filter("kind = 1 and next is not null").select("_run", F.col("at").alias("p"), "next")
+
+
 def _session_starts(candidates: DataFrame) -> DataFrame:
-    blocks = segment(
+    runs = segment(
         candidates,
         "_device",
         ORDER,
@@ -76,21 +92,19 @@ def _session_starts(candidates: DataFrame) -> DataFrame:
         lambda row, previous: row["gap"] | (row["reach"] >= previous["place"]),
         seq="_block",
     )
-    ordered = F.sort_array(F.collect_list(F.struct(F.struct(*ORDER).alias("place"), F.col("_reach").alias("reach"))))
-    folded = blocks.groupBy("_device", "_block").agg(ordered.alias("_rows"))
-    first = F.col("_rows")[0]["place"]
-    starts = F.aggregate(
-        "_rows",
-        F.struct(first.alias("start"), F.array(first).alias("all")),
-        lambda state, row: F.when(
-            row["reach"] >= state["start"],
-            F.struct(row["place"].alias("start"), F.array_append(state["all"], row["place"]).alias("all")),
-        ).otherwise(state),
-        lambda state: F.array_distinct(state["all"]),
-    )
-    return folded.select("_device", F.explode(starts).alias("_s")).select(
-        "_device", *[F.col("_s")[c].alias(c) for c in ORDER], F.lit(True).alias("_starts")
-    )
+    run = F.concat_ws("\u0001", "_device", F.col("_block").cast("string")).alias("_run")
+    rows = cut_lineage(runs.select("_device", run, F.struct(*ORDER).alias("p"), F.col("_reach").alias("reach"), "is_start"))
+    open_runs = rows.filter("not is_start").select("_run").distinct()
+    # the first row of a run is certain, and what it reaches lies before the run
+    pointed = rows.withColumn("reach", F.when(~F.col("is_start"), F.col("reach"))).join(open_runs, "_run", "left_semi")
+    steps = [cut_lineage(_next_starts(pointed.select("_run", "p", "reach")))]
+    while not steps[-1].isEmpty():
+        further = steps[-1].select("_run", F.col("p").alias("next"), F.col("next").alias("_after"))
+        steps.append(cut_lineage(steps[-1].join(further, ["_run", "next"]).select("_run", "p", F.col("_after").alias("next"))))
+    found = rows.filter("is_start").select("_device", "_run", "p")
+    for step in reversed(steps[:-1]):
+        found = cut_lineage(found.unionByName(found.join(step, ["_run", "p"]).select("_device", "_run", F.col("next").alias("p"))))
+    return found.select("_device", *[F.col(f"p.{c}").alias(c) for c in ORDER], F.lit(True).alias("_starts"))
 
 
 def sessionize_context(events: DataFrame, gap_seconds: int = SESSION_BREAK_SECONDS) -> DataFrame:

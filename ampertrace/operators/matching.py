@@ -1,7 +1,10 @@
 """Set-containment and substring joins through an index key, never through a cross join.
 
-Every term is looked up under one key only: its rarest token or character group among the terms. A
-match must contain that key, so the equi join on it finds all matches; the exact test follows.
+Every term is looked up under one key only, which any match must contain, so the equi join on it finds all matches; the
+exact test follows. Sets are keyed by their rarest token. Strings are keyed by half of themselves or more: their first or last
+2^k characters, for the largest 2^k that fits, whichever fewer terms share. Texts are cut into windows of the lengths in
+use, at most one for each power of two, so a key is met hardly anywhere but in true matches, and the work grows with the
+texts plus the matches, not with texts times terms.
 """
 
 from __future__ import annotations
@@ -9,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 3
+#: characters of a text that are cut into windows together
+PIECE = 256
 
 
 def _rarest(terms: DataFrame, parts: Column) -> DataFrame:
@@ -32,25 +36,40 @@ def subset_pairs(sets: DataFrame, set_tokens: str, terms: DataFrame, term_tokens
     )
 
 
-def _grams(text: Column, n: int) -> Column:
-    return F.when(
-        F.length(text) >= n,
-        F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n))),
-    ).otherwise(F.array().cast("array<string>"))
+def _windows(text: Column, width: Column) -> Column:
+    """All substrings of ``width`` characters. Pieces first: a substring is found by counting from the start."""
+    size = F.length(text)
+    pieces = F.transform(F.sequence(F.lit(1), size - width + 1, F.lit(PIECE)), lambda at: F.substr(text, at, width + (PIECE - 1)))
+    cut = lambda piece: F.transform(F.sequence(F.lit(1), F.length(piece) - width + 1), lambda i: F.substr(piece, i, width))
+    return F.when(size >= width, F.flatten(F.transform(pieces, cut))).otherwise(F.array().cast("array<string>"))
+
+
+def _width(length: Column) -> Column:
+    """The largest power of two that is not above a length of one or more."""
+    return F.pow(F.lit(2), F.length(F.bin(length)) - 1).cast("int")
+
+
+def substring_candidates(texts: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
+    """``_text_id`` (a hash of the text) with the ``terms`` whose key occurs in it."""
+    distinct = terms.filter(F.length(term) > 0).withColumn("_term_id", F.to_json(F.struct(*terms.columns)))
+    width = _width(F.length(term))
+    ends = F.array(F.xxhash64(F.substr(F.col(term), F.lit(1), width)), F.xxhash64(F.substr(F.col(term), F.length(term) - width + 1, width)))
+    keyed = _rarest(distinct, ends).drop("_term_id")
+    widths = distinct.agg(F.collect_set(width).alias("_widths"))
+    # the texts themselves are not copied for each window
+    probes = (
+        texts.select(F.xxhash64(text).alias("_text_id"), F.col(text).alias("_text")).crossJoin(F.broadcast(widths))
+        .select("_text_id", F.explode(F.flatten(F.transform("_widths", lambda w: F.array_distinct(F.transform(_windows(F.col("_text"), w), lambda x: F.xxhash64(x)))))).alias("_key"))
+    )
+    return probes.join(keyed, "_key").drop("_key").distinct()
 
 
 def substring_pairs(texts: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
     """Join rows of ``texts`` with the ``terms`` that occur in them literally."""
-    distinct = terms.filter(F.length(term) > 0).withColumn("_term_id", F.to_json(F.struct(*terms.columns)))
-    own = F.when(F.length(term) >= GRAM, _grams(F.col(term), GRAM)).otherwise(F.array(F.col(term)))
-    keyed = _rarest(distinct, own).drop("_term_id")
-    grams = F.concat(*[_grams(F.col(text), n) for n in range(1, GRAM + 1)])
-    # the texts themselves are not copied for each group of characters; a shared hash is settled by the exact test
-    probes = texts.select(F.xxhash64(text).alias("_text_id"), F.explode(F.array_distinct(grams)).alias("_key")).distinct()
-    candidates = probes.join(keyed, "_key").drop("_key")
+    # a shared hash, of texts or of windows, is settled by the exact test
     return (
         texts.withColumn("_text_id", F.xxhash64(text))
-        .join(candidates, "_text_id")
+        .join(substring_candidates(texts, text, terms, term), "_text_id")
         .filter(F.contains(F.col(text), F.col(term)))
         .drop("_text_id")
     )

@@ -133,24 +133,31 @@ def person_view(items: DataFrame, role: str) -> DataFrame:
 def mask_names(df: DataFrame, column: str, people: DataFrame, mode: str = "hash") -> DataFrame:
     """Replace known names by the person hash, or strip them (mode ``strip``). Case is ignored, longer names go first.
 
-    The distinct texts are joined to the names they contain, whatever the size of the directory, and each text is
-    edited with just its own names. NULL becomes an empty text.
+    NULL becomes an empty text.
     """
-    mark = F.col("person_hash") if mode == "hash" else F.lit(" ")
-    terms = people.filter(F.col("name") != "").groupBy(F.lower("name").alias("_term")).agg(
-        F.min(F.struct(F.col("name").alias("name"), mark.alias("mark"))).alias("_n")
-    ).select("_term", "_n.*")
+    return masked_copies(df, column, people, {column: mode})
+
+
+def masked_copies(df: DataFrame, column: str, people: DataFrame, modes: dict[str, str]) -> DataFrame:
+    """Columns with the names in ``column`` masked, by name and mode (see ``mask_names``).
+
+    The distinct texts are joined to the names they contain once, whatever the number of copies and the size of the directory, and
+    each text is edited with just its own names.
+    """
+    record = F.struct("name", F.col("person_hash").alias("digest"))
+    terms = people.filter(F.col("name") != "").groupBy(F.lower("name").alias("_term")).agg(F.min(record).alias("_n")).select("_term", "_n.*")
     given = df.withColumn("_given", F.coalesce(F.col(column).cast("string"), F.lit("")))
     texts = given.select("_given").distinct().withColumn("_text", F.lower("_given"))
-    order = F.struct((-F.length("name")).alias("l"), "name", "mark")
+    order = F.struct((-F.length("name")).alias("l"), "name", "digest")
     per_text = substring_pairs(texts, "_text", terms, "_term").groupBy("_given").agg(F.array_sort(F.collect_set(order)).alias("_names"))
-    edited = F.aggregate(
-        "_names", F.col("_given"), lambda text, n: F.regexp_replace(text, F.concat(F.lit("(?iu)"), _quoted(n["name"])), n["mark"])
-    )
-    masked = given.join(per_text, "_given", "left").withColumn(column, F.coalesce(edited, F.col("_given"))).drop("_names", "_given")
-    if mode == "strip":
-        return masked.withColumn(column, collapse(column))
-    return masked
+
+    def edited(mode: str) -> Column:
+        mark = (lambda n: n["digest"]) if mode == "hash" else (lambda n: F.lit(" "))
+        text = F.aggregate("_names", F.col("_given"), lambda t, n: F.regexp_replace(t, F.concat(F.lit("(?iu)"), _quoted(n["name"])), mark(n)))
+        text = F.coalesce(text, F.col("_given"))
+        return collapse(text) if mode == "strip" else text
+
+    return given.join(per_text, "_given", "left").withColumns({c: edited(m) for c, m in modes.items()}).drop("_names", "_given")
 
 
 def _quoted(name: Column) -> Column:

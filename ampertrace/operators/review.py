@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampertrace.functions.names import keywords, norm_summary
@@ -87,3 +87,41 @@ def coverage_classes(problems: DataFrame, cases: DataFrame, min_shared: int = 2)
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out.select("problem_id", "case_id", "problem_words", "case_words", "shared", "coverage")
+
+
+def top_cases(problems: DataFrame, cases: DataFrame, n: int = 3) -> DataFrame:
+    """The best cases of each problem by the weights of the shared topic words, ties of the last place included.
+
+    ``problem_id case_words score place``: cases of equal words are one row. A word weighs 100 times the number of such rows over
+    those that have it, in whole numbers. Problems without a shared word have no row.
+
+    Two passes over the postings of the words, after the threshold algorithm: the cases of a problem's heaviest word give a score that
+    the n-th best case reaches at least. The words of the problem are then taken by falling weight as long as the weights that are left
+    could still reach that score; a case that has none of these words cannot be among the best. So the words that most
+    cases have become join keys only where nothing better is there, and the result grows with the problems.
+    """
+    split = lambda name: F.filter(F.split(name, " "), lambda w: w != "")
+    asked = _word_classes(problems, "problem_id", "problem_words")
+    postings = cut_lineage(_word_classes(cases, "case_id", "case_words").select("case_words").distinct().select("case_words", F.explode(split("case_words")).alias("word")))
+    number = postings.agg(F.count_distinct("case_words").alias("_n"))
+    weights = postings.groupBy("word").agg(F.count("*").alias("_f")).crossJoin(F.broadcast(number)).select("word", F.expr("_n * 100 div _f").alias("weight"))
+    own = asked.select("problem_words").distinct().select("problem_words", F.explode(split("problem_words")).alias("word")).join(weights, "word")
+    by_weight = Window.partitionBy("problem_words").orderBy(F.col("weight").desc(), "word")
+    rest = by_weight.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    terms = cut_lineage(own.withColumns({"turn": F.row_number().over(by_weight), "left": F.sum("weight").over(rest)}))
+    weighed = cut_lineage(terms.groupBy("problem_words").agg(F.collect_list(F.struct("word", "weight")).alias("_w")))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        # a shared word counts with the problem's weight of it
+        hit = lambda x: F.array_contains(split("case_words"), x["word"])
+        total = F.aggregate(F.filter("_w", hit), F.lit(0).cast("bigint"), lambda acc, x: acc + x["weight"])
+        return pairs.join(weighed, "problem_words").select("problem_words", "case_words", total.alias("score"))
+
+    best = Window.partitionBy("problem_words").orderBy(F.col("score").desc())
+    first = scored(terms.filter("turn = 1").join(postings, "word").select("problem_words", "case_words"))
+    reached = first.withColumn("_p", F.row_number().over(best)).filter(F.col("_p") == n).select("problem_words", F.col("score").alias("least"))
+    bounded = terms.join(reached, "problem_words", "left").withColumn("least", F.coalesce("least", F.lit(0)))
+    pairs = bounded.filter("left >= least").join(postings, "word").select("problem_words", "case_words", "least").distinct()
+    good = scored(pairs).join(reached, "problem_words", "left").filter("score >= coalesce(least, 0)")
+    places = good.withColumn("place", F.rank().over(best)).filter(F.col("place") <= n)
+    return asked.join(places, "problem_words").select("problem_id", "case_words", "score", "place")

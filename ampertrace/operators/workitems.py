@@ -80,24 +80,54 @@ def top_values(df: DataFrame, keys: Sequence[str], value: str, n: int, name: str
     )
 
 
-def case_headers(items: DataFrame) -> DataFrame:
-    """Repeated cases (more than one item) with counts by class, dominant class and title."""
-    counts = items.groupBy("normalized_summary").agg(
-        F.count("*").alias("n"),
-        *[F.count_if(F.col("item_class") == c).alias(f"{c.lower()}_count") for c in ("Defect", "Finding", "Other")],
+CLASSES = ("Defect", "Finding", "Other")
+
+
+def case_values(items: DataFrame, fields: dict[str, int]) -> DataFrame:
+    """Counted values ``normalized_summary field value n place`` of each case: all classes, the title and the top values of the fields.
+
+    Each item gives one row per field, so one count and one ranking serve them all, and no case or value is gathered in a task.
+    """
+    rows = items.select("normalized_summary", F.explode(F.array(
+        F.struct(F.lit("item_class").alias("field"), F.col("item_class").alias("value")),
+        *[F.struct(F.lit(f).alias("field"), F.nullif(c, F.lit("")).alias("value")) for f, c in (("title", "title"), *((f, f) for f in fields))],
+    )).alias("v")).select("normalized_summary", "v.field", "v.value").filter("field = 'item_class' or value is not null")
+    counts = rows.groupBy("normalized_summary", "field", "value").agg(F.count("*").alias("n"))
+    place = Window.partitionBy("normalized_summary", "field").orderBy(F.col("n").desc(), F.col("value").asc())
+    most = {"item_class": len(CLASSES) + 1, "title": 1, **fields}
+    # a limit by literals lets Spark prune before the shuffle
+    ranked = counts.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= max(most.values()))
+    return ranked.filter(F.col("place") <= F.element_at(F.create_map(*[F.lit(x) for pair in most.items() for x in pair]), F.col("field")))
+
+
+def case_headers(items: DataFrame, tops: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """Repeated cases (more than one item) with counts by class, dominant class and title, and top values by name (field, number)."""
+    tops = tops or {}
+    is_class = F.col("field") == "item_class"
+    listed = lambda field: F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("place", "value", "n"))))
+    bare = lambda c: F.transform(c, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
+    cases = case_values(items, {field: n for field, n in tops.values()}).groupBy("normalized_summary").agg(
+        F.sum(F.when(is_class, F.col("n"))).alias("n"),
+        *[F.coalesce(F.sum(F.when(is_class & (F.col("value") == c), F.col("n"))), F.lit(0)).alias(f"{c.lower()}_count") for c in CLASSES],
+        F.max(F.when(F.col("field") == "title", F.col("value"))).alias("title"),
+        *[listed(field).alias(name) for name, (field, _) in tops.items()],
     ).filter(F.col("n") > 1)
-    titles = items.groupBy("normalized_summary", "title").agg(F.count("*").alias("_t"))
-    title = titles.groupBy("normalized_summary").agg(
-        F.min_by("title", F.struct((-F.col("_t")).alias("a"), F.col("title").alias("b"))).alias("title")
-    )
     defect, finding = F.col("defect_count") > 0, F.col("finding_count") > 0
     kind = F.when(defect & ~finding, F.lit("Defect")).when(finding & ~defect, F.lit("Finding")).otherwise(F.lit("Mixed"))
-    return counts.withColumn("case_type", kind).join(title, "normalized_summary")
+    return cases.select(
+        "normalized_summary", "n", *[f"{c.lower()}_count" for c in CLASSES], kind.alias("case_type"), "title",
+        *[F.when(F.size(name) > 0, bare(name)).alias(name) for name in tops],
+    )
+
+
+def repeated_keys(items: DataFrame) -> DataFrame:
+    """The keys of the cases of more than one item, with their number."""
+    return items.groupBy("normalized_summary").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
 
 
 def case_items(items: DataFrame, limit: int = 12) -> DataFrame:
     """At most ``limit`` example items of every repeated case."""
-    repeated = case_headers(items).select("normalized_summary")
+    repeated = repeated_keys(items).select("normalized_summary")
     place = Window.partitionBy("normalized_summary").orderBy("work_item_id", "project", "title")
     return (
         items.join(repeated, "normalized_summary", "left_semi")
@@ -109,21 +139,15 @@ def case_items(items: DataFrame, limit: int = 12) -> DataFrame:
 
 def repeated_cases(items: DataFrame) -> DataFrame:
     """Case headers with their top projects, departments and people."""
-    key = ["normalized_summary"]
-    out = case_headers(items)
-    for value, n, name in (
-        ("project", 8, "projects"),
-        ("owner_department", 5, "owner_departments"),
-        ("creator_department", 5, "creator_departments"),
-        ("owner_hash", 5, "owner_people"),
-        ("creator_hash", 5, "creator_people"),
-    ):
-        out = out.join(top_values(items, key, value, n, name), key, "left")
-    return out.orderBy(F.col("n").desc(), F.lower("title"), "normalized_summary")
+    tops = {
+        "projects": ("project", 8), "owner_departments": ("owner_department", 5), "creator_departments": ("creator_department", 5),
+        "owner_people": ("owner_hash", 5), "creator_people": ("creator_hash", 5),
+    }
+    return case_headers(items, tops).orderBy(F.col("n").desc(), F.lower("title"), "normalized_summary")
 
 
 def workitem_summary(items: DataFrame) -> DataFrame:
-    cases = case_headers(items).agg(
+    cases = repeated_keys(items).agg(
         F.count("*").alias("repeated_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("repeated_items")
     )
     named = lambda c: F.count_distinct(F.nullif(c, F.lit("")))
@@ -177,7 +201,7 @@ def project_details(items: DataFrame, limit: int = 12) -> DataFrame:
     rows = items.filter(F.col("project") != "")
     totals = rows.groupBy("project").agg(F.count("*").alias("total"), *_class_counts("Defect", "Finding"))
     repeated = (
-        rows.join(case_headers(items).select("normalized_summary"), "normalized_summary", "left_semi")
+        rows.join(repeated_keys(items).select("normalized_summary"), "normalized_summary", "left_semi")
         .groupBy("project")
         .agg(F.count("*").alias("repeated"))
     )

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ampertrace.operators import workitems as W
-from ampertrace.operators.people import attach_people, mask_names
+from ampertrace.operators.people import attach_people, masked_copies
 from ampertrace.session import cut_lineage
 
 
 def prepare_items(items: DataFrame, people: DataFrame) -> DataFrame:
     """Known people attached, names masked and scrubbed; written once because every table reads it."""
     known = attach_people(items, people)
-    safe = mask_names(known.withColumn("safe_summary", known["work_item"]), "safe_summary", people, "hash")
-    scrubbed = mask_names(safe.withColumn("scrubbed_summary", safe["work_item"]), "scrubbed_summary", people, "strip")
-    return cut_lineage(W.prepared(scrubbed, "scrubbed_summary", "safe_summary"))
+    masked = masked_copies(known, "work_item", people, {"safe_summary": "hash", "scrubbed_summary": "strip"})
+    return cut_lineage(W.prepared(masked, "scrubbed_summary", "safe_summary"))
 
 
 def workitem_analysis(items: DataFrame, people: DataFrame) -> dict[str, DataFrame]:

@@ -23,7 +23,7 @@ select event_id as raw_id, ts as event_ts, ts + (event_id % 7) * interval '30' s
  'dev1' as device_name, concat('CH', cast(user_id % 2 as string)) as charger_name,
  concat('PH', cast(user_id % 3 as string)) as phone,
  case when user_id % 2 = 0 then '0854_086' else '0854_108' end as project_number,
- 'P1' as position, concat('SW', cast(cast(floor(d / 4) as int) as string)) as software_version,
+ concat('P', cast(1 + user_id % 4 as string)) as position, concat('SW', cast(cast(floor(d / 4) as int) as string)) as software_version,
  concat('log_', cast(d as string), '.csv') as source_csv_file,
  case d % 5 when 0 then 'RFID Protection' when 1 then 'FOD test' when 2 then 'NFC' when 3 then null else 'Charging 0-100%' end as scenario_hint,
  case when d % 5 = 1 and d % 2 = 0 then 'coin' end as fod_object,
@@ -39,6 +39,13 @@ select event_id as raw_id, ts as event_ts, ts + (event_id % 7) * interval '30' s
 from e
 """
 
+# The same rows with all metrics, some of them not in every row.
+ALL_METRICS = f"""
+select x.*, case when raw_id % 3 <> 0 then cast(raw_id % 7 as double) / 10 end as rpp, cast(raw_id % 5 as double) / 50 as current_a,
+ case when raw_id % 4 <> 1 then 3 + cast(raw_id % 9 as double) / 8 end as voltage_v, case when raw_id % 6 = 0 then cast(raw_id % 100 as double) end as battery_level
+from ({PROCESSED}) x
+"""
+
 WORK_ITEMS = """
 select o.o_orderkey as work_item_id, concat('PRJ', cast(o.o_custkey % 12 as string)) as project,
  case when o.o_orderkey % 10 < 5 then 'Defect' when o.o_orderkey % 10 < 9 then 'Finding (review)' else 'Task' end as type,
@@ -99,6 +106,10 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(spark, sf_dir, PROCESSED)
 
 
+def all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project(spark, sf_dir, ALL_METRICS)
+
+
 def work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(spark, sf_dir, WORK_ITEMS)
 

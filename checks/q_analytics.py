@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import tempfile
 from datetime import date
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampertrace.operators import analytics as A
 from ampertrace.operators import ranking
 from ampertrace.plans.nightly import nightly
-from ampertrace.plans.problem_report import problem_report
+from ampertrace.plans.problem_report import full_report, problem_report
 from ampertrace.sources import snapshots, telemetry
 from ampertrace.session import cut_lineage, shared_folder
 from checks import inputs
-from checks.q_report import ASSESS, PROBLEM_SQL, assessed, events, report_sessions_of  # noqa: F401
-from checks.q_scalars import P
+from checks.q_report import ALL, ASSESS, PROBLEM_SQL, assessed, events, report_sessions_of  # noqa: F401
+from checks.q_scalars import FLAGS as CANDIDATE
+from checks.q_scalars import GROUP_KEYS, P
 from checks.q_sessions import (
     BEST_SQL, ORDER_SQL, RANK_SQL, SCORE_COLUMNS, SCORE_FLOATS, SCORE_SQL, SECTIONS, SESSION_EXACT, SESSIONS_SQL, built,
     rounded, rounded_sql, scored_sql,
@@ -169,19 +172,19 @@ def _(spark, sf):
 
 @query(
     "d14_metric_coverage",
-    f"with p as ({P}), n as (select count(*) as c, count(hmi_status) as h from p) "
+    f"with p as ({inputs.plain(inputs.ALL_METRICS)}) "
     + " union all ".join(
-        f"select '{m}' as metric, {'c' if m in ('eff', 'rx', 'tx', 'temperature') else '0::bigint'} as available_count, {'0::bigint' if m in ('eff', 'rx', 'tx', 'temperature') else 'c'} as missing_count, {'1.0::double' if m in ('eff', 'rx', 'tx', 'temperature') else '0.0::double'} as coverage_rate from n"
+        f"select '{m}' as metric, count({m}) as available_count, count(*) - count({m}) as missing_count, round(count({m}) / count(*), 9) as coverage_rate from p"
         for m in ("eff", "rx", "tx", "rpp", "current_a", "temperature", "battery_level", "voltage_v")
     ),
 )
 def _(spark, sf):
-    return A.coverage(inputs.processed(spark, sf))
+    return A.coverage(inputs.all_metrics(spark, sf)).withColumn("coverage_rate", F.round("coverage_rate", 9))
 
 
 STATUS_ROWS = f"p as ({P}), sr as (select *, coalesce(hmi_status, 'N/A') as st from p)"
-POSITION = f"""{STATUS_ROWS}, ps as (select 1 as position_number, 'P1' as position_label, count(*) as total_rows, count(*) filter (where st <> 'N/A') as considered_rows,
- count(*) filter (where st in ('2','3')) as pass_rows, count(*) filter (where st not in ('2','3','N/A')) as not_ok_rows, quantile_cont(eff, 0.5) as median_eff from sr)"""
+POSITION = f"""{STATUS_ROWS}, ps as (select cast(substr(position, 2) as int) as position_number, position as position_label, count(*) as total_rows, count(*) filter (where st <> 'N/A') as considered_rows,
+ count(*) filter (where st in ('2','3')) as pass_rows, count(*) filter (where st not in ('2','3','N/A')) as not_ok_rows, quantile_cont(eff, 0.5) as median_eff from sr group by position)"""
 
 
 @query(
@@ -218,9 +221,9 @@ def _(spark, sf):
 
 @query(
     "d18_position_overview",
-    f"""{ASSESS}, {POSITION.replace('p as (', 'p9 as (', 1).replace('from p)', 'from p9)')}, v as (select count(*) as session_count, count(*) filter (where verdict = 'ok') as ok_session_count,
- count(*) filter (where verdict = 'not_ok') as not_ok_session_count, count(*) filter (where verdict = 'defect') as defect_session_count from asd)
- select cast(position_number as int) as position_number, considered_rows, not_ok_rows, session_count, ok_session_count, not_ok_session_count, defect_session_count from ps, v""",
+    f"""{ASSESS}, {POSITION.replace('p as (', 'p9 as (', 1).replace('from p)', 'from p9)')}, v as (select position, count(*) as session_count, count(*) filter (where verdict = 'ok') as ok_session_count,
+ count(*) filter (where verdict = 'not_ok') as not_ok_session_count, count(*) filter (where verdict = 'defect') as defect_session_count from asd group by position)
+ select cast(position_number as int) as position_number, considered_rows, not_ok_rows, session_count, ok_session_count, not_ok_session_count, defect_session_count from ps join v on position = position_label""",
 )
 def _(spark, sf):
     rows = A.overview(inputs.processed(spark, sf), assessed(spark, sf))
@@ -269,6 +272,31 @@ def _(spark, sf):
     return spark.read.parquet(path).select("session_key", "source_row_count", "start_ts", "interruption_count")
 
 
-@query("j13_problem_report_end_to_end")
+#: rows of a group between its first candidate - 20 minutes and its last + 20 minutes
+_KEYS = [f"coalesce({c}, '') as g{k}" for k, c in enumerate(GROUP_KEYS)]
+_NAMES = ", ".join(f"g{k}" for k in range(len(GROUP_KEYS)))
+REPORT_SQL = PROBLEM_SQL.replace(
+    f"p as ({ALL}),",
+    f"""p0 as (select *, {', '.join(_KEYS)} from ({ALL})), wi as (select {_NAMES}, min(event_ts) - interval 20 minute as wf, max(event_ts) + interval 20 minute as wt
+ from p0 where {CANDIDATE["compat"]} group by {_NAMES}), p as (select p0.* from p0 join wi using ({_NAMES}) where event_ts between wf and wt),""",
+)
+ITEM_COLUMNS = ("session_key", "classification", "short_reason", "status_code", "problem_ts")
+
+
+@query("j13_problem_report_end_to_end", f"{REPORT_SQL} select {', '.join(ITEM_COLUMNS)} from it")
+def _(spark, sf):
+    return problem_report(inputs.all_metrics(spark, sf)).select(*ITEM_COLUMNS)
+
+
+@query(
+    "j12_j13_full_report",
+    f"""{REPORT_SQL} select 'items' as part, classification as label, count(*) as n from it group by 2 union all select 'phones', phone, count(*) from it where phone <> '' group by 2
+ union all select 'types', test_type, count(*) from it where test_type <> '' group by 2 union all select 'positions', position, count(*) from it where position <> '' group by 2
+ union all select 'sessions', verdict, count(*) from asd group by 2""",
+)
 def _(spark, sf):
-    return problem_report(inputs.processed(spark, sf)).select("session_key", "classification", "short_reason", "status_code", "problem_ts")
+    report = full_report(inputs.all_metrics(spark, sf))
+    counted = lambda df, part, c: df.groupBy(F.col(c).alias("label")).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "label", "n")
+    parts = [counted(report["items"], "items", "classification"), counted(report["sessions"], "sessions", "verdict")]
+    parts += [report[f"by_{c}"].select(F.lit(part).alias("part"), "label", "n") for part, c in (("phones", "phone"), ("types", "test_type"), ("positions", "position"))]
+    return reduce(DataFrame.unionByName, parts)

@@ -12,7 +12,7 @@ from ampertrace.operators import review
 from ampertrace.operators.report_sessions import defect_refs
 from ampertrace.sources import html
 from checks import inputs
-from checks.q_workitems import ITEMS
+from checks.q_workitems import ITEMS, STOP
 from checks.registry import query
 
 
@@ -222,14 +222,15 @@ def _(spark, sf):
 @query(
     "c9_j14_compare_benchmark",
     f"""with {CELL_SQL}, {POSITIONS}, r as (select project_number, position_number, (not_ok_count + defect_count) / nullif(pass_count + not_ok_count + defect_count, 0) as b, defect_count / nullif(pass_count + not_ok_count + defect_count, 0) as d from g),
- lv as (select * from r where project_number = '0854_108'), be as (select * from r where project_number = '0854_086' and position_number <> 2)
+ lv as (select * from r where project_number = '0854_108'), be as (select project_number, position_number + 1 as position_number, b, d from r where project_number = '0854_086')
  select coalesce(lv.position_number, be.position_number) as position_number, case when lv.b is null or be.b is null then 'neutral' when coalesce(lv.d, 0) - coalesce(be.d, 0) > 0.03 or lv.b - be.b > 0.12 then 'critical'
   when lv.b - be.b > 0.05 then 'warn' when lv.b - be.b < -0.08 then 'ok' else 'neutral' end as verdict_class from lv full join be on lv.position_number = be.position_number""",
 )
 def _(spark, sf):
     rows = B.benchmark_by_position(cells(spark, sf))
     live = rows.filter("project_number = '0854_108'")
-    reference = rows.filter("project_number = '0854_086' and position_number <> 2")
+    # one position further on, so that each side has a position that the other has not
+    reference = rows.filter("project_number = '0854_086'").withColumn("position_number", F.col("position_number") + 1)
     return B.compare_benchmark(live, reference).select("position_number", "verdict_class")
 
 
@@ -258,15 +259,21 @@ def _(spark, sf):
     return review.norm_cases(raw).select("test_case_id", "case_title", "department", "tags")
 
 
-_WORDS = """list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({0})),
+_WORDS = """list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(replace(lower({0}), 'ß', '')),
  '\\b[a-z]{{1,4}}-[0-9]+\\b', ' ', 'g'), '\\b(wi|id)\\s*[:#-]?\\s*[0-9]+\\b', ' ', 'g'), '\\b[0-9]{{4,}}\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '),
- lambda w: length(w) >= 4 and not regexp_matches(w, '^[0-9]+$')))"""
+ lambda w: length(w) >= 4 and not regexp_matches(w, '^[0-9]+$') and w not in (""" + STOP + ")))"
+
+
+_CLASS = "array_to_string(list_sort({0}), ' ')"
+_PROBLEMS = f"""select p_partkey as problem_id, {_WORDS.format("p_name || ' ' || p_type")} as w from part"""
+_ALL_CASES = f"""select item_id as case_id, {_WORDS.format('text')} as w from benchmark union all
+ select 1000 + p_partkey, {_WORDS.format("p_name || ' ' || p_type || ' ' || p_brand")} from part"""
 
 
 @query(
     "j23_coverage_candidates",
-    f"""with ca as (select item_id as case_id, {_WORDS.format('text')} as w from benchmark), pr as (select p_partkey as problem_id, {_WORDS.format("p_name || ' ' || p_type")} as w from part),
- all_cases as (select case_id, w from ca union all select 1000 + p_partkey, {_WORDS.format("p_name || ' ' || p_type || ' ' || p_brand")} from part where p_size = 7),
+    f"""with pr as ({_PROBLEMS}), all_cases as (select item_id as case_id, {_WORDS.format('text')} as w from benchmark union all
+  select 1000 + min(p_partkey), {_WORDS.format('p_type')} from part group by p_type),
  pa as (select problem_id, case_id, len(list_intersect(pr.w, all_cases.w)) as shared from pr join all_cases on list_has_any(pr.w, all_cases.w)),
  re as (select problem_id, case_id, cast(shared as int) as shared, 'B' as coverage from pa where shared >= 2)
  select * from re union all select problem_id, null, 0, 'C' from pr where problem_id not in (select problem_id from re)""",
@@ -275,20 +282,48 @@ def _(spark, sf):
     part = inputs.table(spark, sf, "part")
     problems = part.selectExpr("p_partkey as problem_id", "concat(p_name, ' ', p_type) as text")
     cases = inputs.table(spark, sf, "benchmark").selectExpr("item_id as case_id", "text").unionByName(
-        part.filter("p_size = 7").selectExpr("1000 + p_partkey as case_id", "concat(p_name, ' ', p_type, ' ', p_brand) as text")
+        part.groupBy("p_type").agg(F.min("p_partkey").alias("k")).selectExpr("1000 + k as case_id", "p_type as text")
     )
     return review.coverage_candidates(problems, cases)
 
 
-@query("j23_coverage_classes")
-def _(spark, sf):
-    """All parts as cases; tests compare it with brute force."""
+def all_cases(spark, sf):
+    """Problems and cases of all parts."""
     part = inputs.table(spark, sf, "part")
     problems = part.selectExpr("p_partkey as problem_id", "concat(p_name, ' ', p_type) as text")
     cases = inputs.table(spark, sf, "benchmark").selectExpr("item_id as case_id", "text").unionByName(
         part.selectExpr("1000 + p_partkey as case_id", "concat(p_name, ' ', p_type, ' ', p_brand) as text")
     )
-    return review.coverage_classes(problems, cases)
+    return problems, cases
+
+
+@query(
+    "j23_coverage_classes",
+    f"""with pr as ({_PROBLEMS}), ca as ({_ALL_CASES}),
+ pc as (select distinct {_CLASS.format('w')} as problem_words, w from (select distinct list_sort(w) as w from pr)), cc as (select distinct {_CLASS.format('w')} as case_words, w from (select distinct list_sort(w) as w from ca)),
+ re as (select problem_words, case_words, cast(len(list_intersect(pc.w, cc.w)) as int) as shared from pc join cc on list_has_any(pc.w, cc.w) where len(list_intersect(pc.w, cc.w)) >= 2)
+ select problem_id, null::bigint as case_id, {_CLASS.format('w')} as problem_words, null::varchar as case_words, null::int as shared, null::varchar as coverage from pr
+ union all select null, case_id, null, {_CLASS.format('w')}, null, null from ca
+ union all select null, null, problem_words, case_words, shared, 'B' from re
+ union all select null, null, problem_words, null, 0, 'C' from pc where problem_words not in (select problem_words from re)""",
+)
+def _(spark, sf):
+    """All parts as cases, in classes of equal words."""
+    return review.coverage_classes(*all_cases(spark, sf))
+
+
+@query(
+    "j23_top_cases",
+    f"""with pr as ({_PROBLEMS}), ca as ({_ALL_CASES}), cc as (select distinct {_CLASS.format('w')} as case_words from ca),
+ po as (select case_words, unnest(string_split(case_words, ' ')) as word from cc where case_words <> ''),
+ we as (select word, (select count(distinct case_words) from po) * 100 // count(*) as weight from po group by word),
+ pc as (select distinct {_CLASS.format('w')} as problem_words from pr), pw as (select problem_words, unnest(string_split(problem_words, ' ')) as word from pc where problem_words <> ''),
+ sc as (select problem_words, case_words, cast(sum(weight) as bigint) as score from pw join po using (word) join we using (word) group by 1, 2),
+ rk as (select *, rank() over (partition by problem_words order by score desc) as place from sc)
+ select problem_id, case_words, score, cast(place as int) as place from pr join rk on {_CLASS.format('w')} = problem_words where place <= 3""",
+)
+def _(spark, sf):
+    return review.top_cases(*all_cases(spark, sf))
 
 
 @query(

@@ -11,12 +11,14 @@ from checks.q_sessions import rounded, rounded_sql  # noqa: F401
 from checks.registry import query
 
 P = inputs.plain(inputs.PROCESSED)
+ALL = inputs.plain(inputs.ALL_METRICS)
+METRICS = ("eff", "rx", "tx", "rpp", "current_a", "voltage_v")
 _HINT = """case when scenario_hint ilike '%rfid%' then 'rfid' when scenario_hint ilike '%fod%' then 'fod'
   when scenario_hint ilike '%nfc%' then 'nfc' when scenario_hint like '%0-100%' then 'charging' end"""
 
 # The sequential rule itself, one row of every device per step.
 SESSION_SQL = f"""
-p as ({P}),
+p as ({ALL}),
 o as (select *, phone || '|' || project_number || '|' || device_name || '|' || charger_name || '|' || position as dev,
   row_number() over (partition by phone, project_number, device_name, charger_name, position order by event_ts, raw_id) as rn,
   lower(nullif(trim(software_version),'')) as c1, lower(nullif(trim(sample_label),'')) as c2, {_HINT} as c3,
@@ -34,7 +36,7 @@ r as (
  lateral (select (epoch_us(o.event_ts) - epoch_us(o.pts) > 1200000000 or coalesce(o.c1 <> r.m1, false) or coalesce(o.c2 <> r.m2, false)
    or coalesce(o.c3 <> r.m3, false) or coalesce(o.c4 <> r.m4, false) or coalesce(o.c5 <> r.m5, false)) as x)),
 ev0 as (select o.*, md5(o.dev || '|' || cast(r.sid as varchar)) as session_key, r.sid = o.raw_id as is_start from o join r on o.dev = r.dev and o.rn = r.rn),
-ev as (select *, lag(event_ts) over w as prev_ts, lag(eff) over w as prev_eff, lag(rx) over w as prev_rx, lag(tx) over w as prev_tx,
+ev as (select *, lag(event_ts) over w as prev_ts, {', '.join(f'lag({m}) over w as prev_{m}' for m in METRICS)},
   first_value(event_ts) over w as session_start,
   last_value(case when status <> 'N/A' then status end ignore nulls) over (partition by session_key order by event_ts, raw_id rows between unbounded preceding and 1 preceding) as prev_status,
   (epoch_us(event_ts) - epoch_us(lag(event_ts) over w)) / 1000000.0 as gap
@@ -51,7 +53,7 @@ RECURSIVE = f"with recursive {SESSION_SQL}"
 
 
 def events(spark, sf):
-    rows = inputs.processed(spark, sf).withColumn("ingest_delay_seconds", ingest_delay())
+    rows = inputs.all_metrics(spark, sf).withColumn("ingest_delay_seconds", ingest_delay())
     return context_sessions.sessionize_context(rows)
 
 
@@ -90,7 +92,10 @@ def _transition(metric: str, warn: float, alarm: float, level: float | None) ->
 
 
 TRANSITIONS = " union all ".join(
-    [_transition("eff", 5.0, 12.0, None), _transition("rx", 0.4, 0.8, 2.5), _transition("tx", 0.4, 0.8, 2.5)]
+    [
+        _transition("eff", 5.0, 12.0, None), _transition("rx", 0.4, 0.8, 2.5), _transition("tx", 0.4, 0.8, 2.5), _transition("rpp", 0.2, 0.4, 0.3),
+        _transition("current_a", 0.03, 0.08, 0.08), _transition("voltage_v", 0.15, 0.35, 3.5),
+    ]
 )
 
 
@@ -108,15 +113,15 @@ def _(spark, sf):
     return spans.interruption_events(spans.with_metric_rows(events(spark, sf)))
 
 
-@query(
-    "e10_alert_segments",
-    f"{RECURSIVE} "
-    + " union all ".join(
-        f"select session_key, raw_id, '{c}' as metric, prev_ts as start_ts, event_ts as end_ts, prev_{c} as before, {c} as after from ev "
-        f"where prev_{c} > 0 and {c} < prev_{c} and (prev_{c} - {c}) / prev_{c} > 0.2"
-        for c in ("rx", "tx")
-    ),
-)
+def _alerts(metric: str) -> str:
+    """Falls against the last row of the session in which the metric is known."""
+    before = "over (partition by session_key order by event_ts, raw_id rows between unbounded preceding and 1 preceding)"
+    return f"""select session_key, raw_id, '{metric}' as metric, kts as start_ts, event_ts as end_ts, known as before, {metric} as after
+ from (select *, last_value({metric} ignore nulls) {before} as known, last_value(case when {metric} is not null then event_ts end ignore nulls) {before} as kts from ev)
+ where known > 0 and {metric} < known and (known - {metric}) / known > 0.2"""
+
+
+@query("e10_alert_segments", f"{RECURSIVE} " + " union all ".join(map(_alerts, METRICS[1:])))
 def _(spark, sf):
     return spans.alert_segments(events(spark, sf))
 
@@ -187,7 +192,9 @@ _DOMS = {
     for c in ("software_version", "source_csv_file", "fod_object", "sample_label", "manual_result", "defect_id")
 }
 _SEV = {}
-for _m, _w, _a, _lv in (("eff", 5.0, 12.0, None), ("rx", 0.4, 0.8, 2.5), ("tx", 0.4, 0.8, 2.5)):
+for _m, _w, _a, _lv in (
+    ("eff", 5.0, 12.0, None), ("rx", 0.4, 0.8, 2.5), ("tx", 0.4, 0.8, 2.5), ("rpp", 0.2, 0.4, 0.3), ("current_a", 0.03, 0.08, 0.08), ("voltage_v", 0.15, 0.35, 3.5),
+):
     _rise = f"prev_{_m} <= {_lv} or " if _lv is not None else ""
     _SEV[_m] = f"""case when is_metric and abs(prev_{_m}) >= 1e-9 and (abs({_m} - prev_{_m}) / abs(prev_{_m}) >= 0.1 or abs({_m} - prev_{_m}) >= {_w})
  and not ({_m} > prev_{_m} and ({_rise} epoch_us(event_ts) - epoch_us(session_start) <= 180000000))

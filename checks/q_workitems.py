@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampertrace.functions import names
@@ -10,7 +13,7 @@ from ampertrace.operators import workitems as W
 from ampertrace.plans.workitem_analysis import prepare_items, workitem_analysis
 from ampertrace.sources import tables
 from checks import inputs
-from checks.registry import query
+from checks.registry import ORACLES, query
 
 ITEMS = inputs.plain(inputs.WORK_ITEMS)
 PEOPLE = inputs.plain(inputs.PEOPLE)
@@ -287,16 +290,45 @@ def _(spark, sf):
     return W.ll_candidates(by_case, cases).select("case_key", "title", "entry_count", "input_creator_department")
 
 
-@query("j22_workitem_analysis", f"{WITH} select 'summary' as part, 1 as n union all select 'cases', (select count(*) from hd) union all select 'people', (select count(*) from (select distinct creator_hash from it where creator_hash <> '') limit 20)")
-def _(spark, sf):
-    parts = workitem_analysis(work(spark, sf), directory(spark, sf))
-    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
-    people_total = F.count_distinct(F.nullif("creator_hash", F.lit("")))
-    people_rows = people_ops.attach_people(work(spark, sf), directory(spark, sf)).agg(people_total.alias("n"))
-    return (
-        count(parts["summary"], "summary").unionByName(count(parts["repeated_cases"], "cases"))
-        .unionByName(people_rows.select(F.lit("people").alias("part"), "n"))
-    )
+#: table of the analysis: the query that it is part of, its columns, arrays last
+ANALYSIS = {
+    "summary": ("d23_workitem_summary", "total_items defects findings other owner_departments creator_departments projects repeated_groups repeated_items", ""),
+    "repeated_cases": (
+        "d22_repeated_cases", "normalized_summary n defect_count finding_count other_count title case_type",
+        "projects owner_departments creator_departments owner_people creator_people",
+    ),
+    "case_items": ("d22_case_items", "normalized_summary place work_item_id", ""),
+    "creator_department_details": ("d24_department_details", "department total defects findings other", "top_people"),
+    "owner_department_details": ("d24_department_details", "department total defects findings other", "top_people"),
+    "department_split": ("d25_department_split", "department owner_count creator_count owner_defects owner_findings creator_defects creator_findings", ""),
+    "project_details": ("d26_project_details", "project total defects findings repeated", "owner_departments creator_departments"),
+    "creator_hash_counts": ("d27_people_counts", "person_hash n", ""),
+    "owner_hash_counts": ("d27_people_counts", "person_hash n", ""),
+    "keyword_counts": ("i8_keyword_counts", "keyword n", ""),
+}
+
+
+def analysis_sql() -> str:
+    """All rows of the ten tables as (part, line), from the texts of the single queries."""
+    out = []
+    for part, (name, plain, arrays) in ANALYSIS.items():
+        body = ORACLES[name].removeprefix(WITH)
+        if part.startswith("owner"):
+            body = body.replace("creator_department", "owner_department").replace("creator_hash", "owner_hash")
+        cells = ", ".join(f"coalesce(cast({c} as varchar), '-')" for c in f"{plain} {arrays}".split())
+        out.append(f"select '{part}' as part, concat_ws('|', {cells}) as line from ({WITH}{body})")
+    return " union all ".join(out)
+
+
+@query("j22_workitem_analysis", analysis_sql())
+def _(spark, sf):
+    tables_of = workitem_analysis(work(spark, sf), directory(spark, sf))
+    lines = []
+    for part, (_, plain, arrays) in ANALYSIS.items():
+        cells = [F.col(c).cast("string") for c in plain.split()] + [joined(c) for c in arrays.split()]
+        line = F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in cells])
+        lines.append(tables_of[part].select(F.lit(part).alias("part"), line.alias("line")))
+    return reduce(DataFrame.unionByName, lines)
 
 
 # ---- text functions ------------------------------------------------------------------------------

@@ -1,6 +1,8 @@
 """Coverage of problems by cases against brute force."""
 
+import random
 import re
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -50,6 +52,30 @@ def test_coverage_by_classes(spark):
     assert len(rows) == len(problems) + len(cases) + 4
 
 
+def brute_top(problems, cases, n):
+    rows = {" ".join(sorted(words(t))) for _, t in cases} - {""}
+    often = Counter(w for r in rows for w in r.split())
+    weight = {w: len(rows) * 100 // k for w, k in often.items()}
+    out = set()
+    for i, t in problems:
+        scores = {r: sum(weight.get(w, 0) for w in words(t) & set(r.split())) for r in rows}
+        best = sorted((s for s in scores.values() if s), reverse=True)
+        out |= {(i, r, s, best.index(s) + 1) for r, s in scores.items() if s and best.index(s) < n}
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_top_cases_equal_brute_force(spark, n):
+    rng = random.Random(n)
+    vocabulary = [f"word{c}" for c in "abcdefghij"] + [f"rare{c}" for c in "abcdefghijklmnop"]
+    text = lambda: " ".join(rng.choices(vocabulary, [9] * 10 + [1] * 16, k=rng.randint(0, 6)))
+    problems = [(i, text()) for i in range(60)] + [(90, "nothing shared anywhere"), (91, "")]
+    cases = [(100 + i, text()) for i in range(120)] + [(400, "worda"), (401, "worda"), (402, "")]
+    got = review.top_cases(spark.createDataFrame(problems, "problem_id bigint, text string"), spark.createDataFrame(cases, "case_id bigint, text string"), n)
+    assert {tuple(r) for r in got.collect()} == brute_top(problems, cases, n)
+    assert review.top_cases(spark.createDataFrame([], "problem_id bigint, text string"), spark.createDataFrame([], "case_id bigint, text string")).collect() == []
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="driver tables are not here")
 def test_all_parts_are_cases(spark):
     part = spark.read.parquet(f"{SF}/part.parquet").collect()

@@ -127,6 +127,26 @@ def test_context_sessions_equal_the_sequential_rule(spark, seed, blank):
     assert {r["raw_id"]: starts[r["session_key"]] for r in got.collect()} == loop_sessions(events)
 
 
+def test_a_long_run_of_uncertain_candidates_needs_no_fold(spark):
+    """One device, two fields that change in turn and are blank in between: hardly a row is certain from its neighbour."""
+    rows = spark.range(200_000).select(
+        F.col("id").alias("raw_id"), F.timestamp_seconds(1_704_067_200 + F.col("id")).cast("timestamp_ntz").alias("event_ts"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("s"), (F.col("id") / 6).cast("int"))).alias("sample_label"),
+        F.when(F.col("id") % 2 == 1, F.concat(F.lit("c"), (F.col("id") / 10).cast("int"))).alias("card_position"),
+    )
+    events = rows.select(*[F.col(c) if c in rows.columns else F.lit("x" if c == "phone" else None).cast(TYPES.get(c, "timestamp_ntz" if c == "inserted_at" else "string")).alias(c) for c in COLUMNS])
+    got = sessionize_context(events)
+    found = {r["raw_id"] for r in got.filter("is_start").select("raw_id").collect()}
+    want, seen = set(), {}
+    for i in range(200_000):
+        field, value = ("s", i // 6) if i % 2 == 0 else ("c", i // 10)
+        if not want or seen.get(field, value) != value:
+            want.add(i)
+            seen = {}
+        seen[field] = value
+    assert found == want and len(want) > 30_000
+
+
 def test_intervals_completion_and_transitions(spark):
     statuses = [("3", 0), ("3", 60), ("2", 120)]
     ev = sessionize_context(frame(spark, [event(i, s, hmi_status=c, eff=50.0) for i, (c, s) in enumerate(statuses)]))
