@@ -23,7 +23,7 @@ select event_id as raw_id, ts as event_ts, ts + (event_id % 7) * interval '30' s
  'dev1' as device_name, concat('CH', cast(user_id % 2 as string)) as charger_name,
  concat('PH', cast(user_id % 3 as string)) as phone,
  case when user_id % 2 = 0 then '0854_086' else '0854_108' end as project_number,
- concat('P', cast(1 + user_id % 4 as string)) as position, concat('SW', cast(cast(floor(d / 4) as int) as string)) as software_version,
+ concat('P', cast(1 + user_id % 3 as string)) as position, concat('SW', cast(cast(floor(d / 4) as int) as string)) as software_version,
  concat('log_', cast(d as string), '.csv') as source_csv_file,
  case d % 5 when 0 then 'RFID Protection' when 1 then 'FOD test' when 2 then 'NFC' when 3 then null else 'Charging 0-100%' end as scenario_hint,
  case when d % 5 = 1 and d % 2 = 0 then 'coin' end as fod_object,
