@@ -26,21 +26,22 @@ def _stars(links: DataFrame, larger: bool) -> DataFrame:
     return hung.filter("a <> b").distinct()
 
 
+def _done(now: DataFrame) -> bool:
+    """Whether every node hangs on one other and nothing hangs on it; then further rounds change nothing."""
+    ends = now.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), "b").unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(None).cast(now.schema["b"].dataType).alias("b")))
+    seen = ends.groupBy("node").agg(F.min("hangs").alias("l"), F.max("hangs").alias("h"), F.min("b").alias("low"), F.max("b").alias("high"))
+    return seen.filter("l <> h or low <> high").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node root`` for every node that has a link (columns ``a``, ``b``); the root is the component's least node.
 
-    Links of a node to itself and repeated links do not matter. The rounds end when the links no longer change; their
+    Links of a node to itself and repeated links do not matter. The rounds end when only stars are left; their
     number grows with the logarithm of the longest chain.
     """
     now = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = mark(now)
-    while True:
+    while not _done(now):
         now = cut_lineage(_stars(_stars(now, True), False))
-        after = mark(now)
-        if after == before:
-            break
-        before = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

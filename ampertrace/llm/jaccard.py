@@ -570,40 +570,52 @@ def dealt(members: DataFrame) -> DataFrame:
     return with_each_other.unionByName(with_inside).unionByName(inside)
 
 
-def open_members(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """``sig cls grp`` of the members ``sig cls`` of signatures whose classes lie in several components."""
-    root = components(found).withColumnRenamed("node", "cls")
-    named = sets.select("cls").join(root, "cls", "left").select("cls", F.coalesce("root", "cls").alias("grp"))
+def open_members(members: DataFrame, named: DataFrame) -> DataFrame:
+    """``sig cls grp`` of the members ``sig cls`` of signatures whose classes (``cls grp``) lie in several components."""
     rows = cut_lineage(members.join(named, "cls"))
     several = rows.groupBy("sig").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("sig")
     return cut_lineage(rows.join(several, "sig", "left_semi"))
 
 
-def links(slim: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
-    """Links ``a b`` between similar classes (``cls row``); they connect what all links connect."""
+def joined_by(found: DataFrame, named: DataFrame) -> DataFrame:
+    """``cls grp`` with the components that the links ``a b`` between classes join."""
+    links = found.join(named.toDF("a", "ga"), "a").join(named.toDF("b", "gb"), "b").filter("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    root = components(links).withColumnRenamed("node", "grp")
+    return cut_lineage(named.join(root, "grp", "left").select("cls", F.coalesce("root", "grp").alias("grp")))
+
+
+def class_components(slim: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
+    """``cls grp``: the component of each class (``cls row``) that shares a signature with another."""
     groups = cut_lineage(shared(signatures(slim, seed)))
     members = groups.select("sig", "cls").unionByName(groups.select("sig", F.col("centre").alias("cls")).distinct())
     sets = cut_lineage(sketches(slim, cut_lineage(classes.join(members.select("cls").distinct(), "cls").select("cls", "row")), seed))
+    # a class whose row is there twice may be there twice
     narrow = sets.select("cls", "size", "narrow")
     pairs = groups.groupBy(F.col("centre").alias("x"), F.col("cls").alias("y")).agg(F.count("*").alias("n"))
     tested = cut_lineage(pairs.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x")).select("x", "y"))
-    found = cut_lineage(similar(tested, sets, slim, seed))
+    named = joined_by(cut_lineage(similar(tested, sets, slim, seed)), sets.select("cls").distinct().select("cls", F.col("cls").alias("grp")))
     while True:
-        left = open_members(members, found, sets)
+        left = open_members(members, named)
         size = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
         chunked = left.join(size, "sig").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(seed)), "chunks").cast("int"))
         asked = cut_lineage(proposed(chunked.select("sig", "chunk", "cls", "grp").join(narrow, "cls")))
         # the others are settled for good, but for those of several chunks, which have not met
         still = asked.select("sig").unionByName(size.filter("chunks > 1").select("sig")).distinct()
-        members = cut_lineage(left.join(still, "sig", "left_semi").select("sig", "cls"))
+        left = cut_lineage(left.join(still, "sig", "left_semi"))
+        members = left.select("sig", "cls")
         new = cut_lineage(asked.select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"))
-        joined = cut_lineage(similar(new, sets, slim, seed))
-        tested, found = tested.unionByName(new), found.unionByName(joined)
-        if 2 * joined.count() <= new.count():
+        links = cut_lineage(similar(new, sets, slim, seed))
+        tested, number = tested.unionByName(new), links.count()
+        if number:
+            named = joined_by(links, named)
+        if 2 * number <= new.count():
             break
-    left = open_members(members, found, sets)
+    if number:
+        left = open_members(members, named)
+    if left.isEmpty():
+        return named
     rest = cut_lineage(all_pairs(dealt(left).join(narrow, "cls")).join(tested, ["x", "y"], "left_anti"))
-    return found if rest.isEmpty() else found.unionByName(similar(rest, sets, slim, seed))
+    return named if rest.isEmpty() else joined_by(cut_lineage(similar(rest, sets, slim, seed)), named)
 
 
 def grouped(docs: DataFrame, id_: str, text: str) -> DataFrame:
@@ -619,8 +631,8 @@ def grouped(docs: DataFrame, id_: str, text: str) -> DataFrame:
         if classes.filter("low <> high").isEmpty():
             break
         seed += 1
-    root = components(links(slim, classes.select("cls", "row"), seed)).withColumnRenamed("node", "cls")
-    named = cut_lineage(classes.join(root, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "node"))
+    grp = class_components(slim, classes.select("cls", "row"), seed)
+    named = cut_lineage(classes.join(grp, "cls", "left").select("cls", F.coalesce("grp", "cls").alias("root"), "node"))
     least = named.groupBy("root").agg(F.min("node").alias("component_id"))
     of_class = named.select("cls", "root").join(least, "root")
     return table.join(of_class, "cls", "left").select(
