@@ -10,6 +10,7 @@ from ampertrace.functions.names import (
 )
 from ampertrace.functions.text import strip, text_or_blank
 from ampertrace.operators.matching import subset_pairs, substring_pairs
+from ampertrace.session import cut_lineage
 
 RECORD = ("name", "department", "person_hash", "normalized_name")
 
@@ -41,7 +42,8 @@ def repair_people(people: DataFrame) -> DataFrame:
 def resolve_people(names: DataFrame, people: DataFrame, column: str = "name") -> DataFrame:
     """Distinct names with the record found: exact name, same tokens in any order, largest token subset.
 
-    ``people`` is a ``directory``. Unknown names are absent from the result.
+    ``people`` is a ``directory``. Unknown names are absent from the result. The distinct names with their first two tiers are
+    written once, so that the third does not read the names again.
     """
     wanted = (
         names.select(F.col(column).alias("given")).distinct().withColumn("_norm", norm_person("given")).filter(F.col("_norm") != "")
@@ -49,7 +51,7 @@ def resolve_people(names: DataFrame, people: DataFrame, column: str = "name") ->
     record = F.struct(*RECORD)
     exact = people.groupBy(F.col("normalized_name").alias("_norm")).agg(F.min_by(record, F.struct("name", "department")).alias("_exact"))
     tokens = people.groupBy(F.col("tokens_key").alias("_tokens")).agg(F.min_by(record, F.struct("name", "department")).alias("_same"))
-    staged = (
+    staged = cut_lineage(
         wanted.join(exact, "_norm", "left")
         .withColumn("_tokens", tokens_key(F.col("_norm")))
         .join(tokens, "_tokens", "left")
@@ -76,8 +78,8 @@ def attach_people(items: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def resolve_roles(items: DataFrame, people: DataFrame) -> DataFrame:
-    names = items.select(F.col("owner").alias("name")).union(items.select("creator"))
-    found = resolve_people(names, people)
+    """Name, department and hash of owner and creator. The names found are written once, as both roles read them."""
+    found = cut_lineage(resolve_people(items.select(F.explode(F.array("owner", "creator")).alias("name")), people))
     out = items
     for role in ("owner", "creator"):
         side = found.select(
@@ -98,9 +100,10 @@ def resolve_roles(items: DataFrame, people: DataFrame) -> DataFrame:
 
 def match_stats(items: DataFrame, people: DataFrame, samples: int = 5) -> DataFrame:
     """Match counts and the first few unknown names (in text order) per role."""
-    rows = resolve_roles(
-        items.withColumns({"_owner_given": strip("owner"), "_creator_given": strip("creator")}), people
-    )
+    given = {"_owner_given": strip("owner"), "_creator_given": strip("creator")}
+    rows = resolve_roles(items.select("owner", "creator").withColumns(given), people)
+    # read three times
+    rows = cut_lineage(rows.select("owner_known", "creator_known", *given))
     owner, creator = F.col("owner_known"), F.col("creator_known")
     counts = rows.agg(
         F.count("*").alias("parsed"),
@@ -211,9 +214,10 @@ def resolve_responsible(cases: DataFrame, people: DataFrame, strict: bool = True
     """
     record = F.struct("name", "department", "normalized_name", "jazz_login")
     by_key = people.groupBy(F.col("normalized_name").alias("_key")).agg(F.min(record).alias("_by_key"))
-    by_name = resolve_people(cases, people, "responsible_name").join(
+    # one row per name, read by the check and by the result
+    by_name = cut_lineage(resolve_people(cases, people, "responsible_name").join(
         people.groupBy("normalized_name").agg(F.min(record).alias("_by_name")), "normalized_name"
-    ).select(F.col("given").alias("responsible_name"), "_by_name")
+    ).select(F.col("given").alias("responsible_name"), "_by_name"))
     out = (
         cases.withColumn("_key", collapse("responsible_normalized"))
         .join(by_key, "_key", "left")

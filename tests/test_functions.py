@@ -197,3 +197,40 @@ def test_snapshot_partitions_are_replaced_by_date(spark, tmp_path):
     latest = snapshots.latest_snapshot(spark, path, date(2024, 1, 3)).first()
     assert (latest["snapshot_date"], latest["session_count"], latest["is_current"]) == (date(2024, 1, 2), 7, False)
     assert json.loads(latest["payload"])[0]["label"] == "PH0"
+
+
+def _joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_people_are_resolved_once_for_all_readers(spark):
+    raw = spark.createDataFrame([(1, "Nowak Jan", "DD", None), (2, "Nowak Anna", "DEF", None)], "id long, name string, department string, jazz_login string")
+    known = people.directory(raw)
+    items = spark.createDataFrame(
+        [(1, "Nowak Jan", "Anna Nowak", "seen by nowak jan"), (2, "nobody", None, "x"), (3, None, "Jan Maria Nowak", "y")],
+        "work_item_id long, owner string, creator string, work_item string",
+    )
+    rows = people.resolve_roles(items, known)
+    assert _joins(rows) <= 2
+    got = {r["work_item_id"]: (r["owner"], r["creator"], r["owner_known"], r["creator_known"]) for r in rows.collect()}
+    assert got == {1: ("Nowak Jan", "Nowak Anna", True, True), 2: ("", "", False, False), 3: ("", "Nowak Jan", False, True)}
+    stats = people.match_stats(items, known)
+    assert _joins(stats) <= 2
+    row = stats.first().asDict()
+    assert (row["parsed"], row["owner_matched"], row["creator_matched"], row["dropped"]) == (3, 1, 2, 1)
+    assert (row["unknown_owner_samples"], row["unknown_creator_samples"]) == ("nobody", "")
+
+
+def test_broadcasts_are_bounded_by_rows_not_by_files(spark, tmp_path):
+    from ampertrace.session import prepare
+
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        # 600,000 rows of 48 bytes in memory, about 3 MB of files
+        spark.range(600_000, numPartitions=1).selectExpr("id", "concat('name ', id % 1000) as name").write.parquet(f"{tmp_path}/t")
+        small = prepare(spark).read.parquet(f"{tmp_path}/t")
+        plan = spark.range(10**9).join(small, "id")._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
