@@ -148,7 +148,10 @@ def masked_copies(df: DataFrame, column: str, people: DataFrame, modes: dict[str
     each text is edited with just its own names.
     """
     record = F.struct("name", F.col("person_hash").alias("digest"))
-    terms = people.filter(F.col("name") != "").groupBy(F.lower("name").alias("_term")).agg(F.min(record).alias("_n")).select("_term", "_n.*")
+    # read four times; what is written has a known size, so no join of names is taken for small by the size of their table
+    terms = cut_lineage(
+        people.filter(F.col("name") != "").groupBy(F.lower("name").alias("_term")).agg(F.min(record).alias("_n")).select("_term", "_n.*")
+    )
     given = df.withColumn("_given", F.coalesce(F.col(column).cast("string"), F.lit("")))
     texts = given.select("_given").distinct().withColumn("_text", F.lower("_given"))
     order = F.struct((-F.length("name")).alias("l"), "name", "digest")

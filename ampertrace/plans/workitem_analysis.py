@@ -13,8 +13,9 @@ def prepare_items(items: DataFrame, people: DataFrame) -> DataFrame:
     """Known people attached, names masked and scrubbed; written once because every table reads it.
 
     The attached items are written too: masking reads their texts more than once, and without that each reading would join
-    all people again, with as many broadcasts in one job.
+    all people again, with as many broadcasts in one job. So are the people, whose names are folded for each reader otherwise.
     """
+    people = cut_lineage(people)
     known = cut_lineage(attach_people(items, people))
     masked = masked_copies(known, "work_item", people, {"safe_summary": "hash", "scrubbed_summary": "strip"})
     return cut_lineage(W.prepared(masked, "scrubbed_summary", "safe_summary"))

@@ -234,3 +234,23 @@ def test_broadcasts_are_bounded_by_rows_not_by_files(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_column_of_keys_is_not_broadcast_by_its_small_file(spark, tmp_path):
+    from ampertrace.session import prepare
+
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        # less than 1 MB of files, 3.2 MB of rows, about 8 MB as a hash table
+        spark.range(200_000, numPartitions=1).write.parquet(f"{tmp_path}/t")
+        keys = prepare(spark).read.parquet(f"{tmp_path}/t")
+        joined = spark.range(300_000).join(keys, "id").groupBy().count()
+        assert joined.collect()[0][0] == 200_000
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+        # a few rows still are
+        few = spark.range(300_000).join(keys.filter("id < 100"), "id").groupBy().count()
+        assert few.collect()[0][0] == 100
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
