@@ -254,3 +254,20 @@ def test_a_column_of_keys_is_not_broadcast_by_its_small_file(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_report_query_numbers_its_steps_once(spark, tmp_path, monkeypatch):
+    from checks import q_reports
+    from checks.registry import QUERIES
+
+    spark.sql(
+        "select cast(1 as bigint) as l_orderkey, cast(id as bigint) as l_partkey, cast(id as bigint) as l_suppkey, cast(id as int) as l_linenumber, "
+        "1d as l_quantity, 1d as l_extendedprice, 0d as l_discount, 0d as l_tax, 'A' as l_returnflag, 'O' as l_linestatus, "
+        "timestamp '1996-01-01' as l_shipdate from range(1, 5)"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    once = q_reports.cut_lineage
+    for name in ("j16_failed_without_defect", "c8_case_ids_by_page", "j17_misplaced_defects"):
+        written = []
+        monkeypatch.setattr(q_reports, "cut_lineage", lambda df: written.append(1) or once(df))
+        QUERIES[name](spark, str(tmp_path))
+        assert len(written) == 1, name
