@@ -271,3 +271,41 @@ def test_a_report_query_numbers_its_steps_once(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(q_reports, "cut_lineage", lambda df: written.append(1) or once(df))
         QUERIES[name](spark, str(tmp_path))
         assert len(written) == 1, name
+
+
+def test_cells_are_dealt_by_row_before_they_are_gathered(spark):
+    from ampertrace.operators import reports as R
+
+    cells = [
+        ("r", 1, 1, 0, 1, "b"), ("r", 1, 1, 0, 0, "a"), ("r", 1, 1, 0, 1, "a"), ("r", 1, 1, 0, 1, None), (None, 1, 1, 0, 0, "x"), (None, 1, 1, 0, None, "y"),
+    ]
+    rows = R.rows_of(spark.createDataFrame(cells, "report_id string, page_no int, table_no int, row_no int, col_no int, cell string"))
+    assert {r["report_id"]: r["cells"] for r in rows.collect()} == {"r": ["a", None, "a", "b"], None: ["y", "x"]}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_steps_are_found_among_other_rows(spark):
+    from ampertrace.operators import reports as R
+
+    cells = [
+        ("r", 1, 1, 0, 0, " 1 "), ("r", 1, 1, 0, 1, "note"), ("r", 1, 1, 0, 2, "\tPASSED "), ("r", 1, 1, 1, 0, "2"), ("r", 1, 1, 1, 1, "not passed"),
+        ("r", 1, 1, 2, 0, None), ("r", 1, 1, 2, 1, "3"), ("r", 1, 1, 2, 2, "failed"), ("r", 1, 1, 3, 0, None), ("r", 1, 1, 4, 0, "a"), ("r", 1, 1, 4, 1, "b"), ("r", 1, 1, 4, 2, "Blocked"),
+    ]
+    steps = R.extract_steps(spark.createDataFrame(cells, "report_id string, page_no int, table_no int, row_no int, col_no int, cell string"))
+    assert {(r["row_no"], r["result"], r["step_no"]) for r in steps.collect()} == {(0, "Passed", "1"), (2, "Failed", "3")}
+
+
+def test_only_tables_with_an_overview_are_gathered(spark, monkeypatch):
+    from ampertrace.operators import reports as R
+
+    cells = [("a", 1, 1, 0, 0, "Status overview"), ("a", 1, 1, 1, 0, "Actual test result"), ("a", 1, 1, 1, 1, "Passed"), ("a", 1, 2, 0, 0, "other")]
+    # an overview without a page comes first, and one in the second cell is none
+    cells += [("b", None, 1, 0, 0, "Status overview"), ("b", 1, 1, 0, 0, "Status overview"), ("b", 1, 1, 1, 0, "Actual test result"), ("b", 1, 1, 1, 1, "done")]
+    cells += [("c", 1, 1, 0, 0, "x"), ("c", 1, 1, 0, 1, "Status overview"), ("c", 1, 2, 0, 0, "Status overview"), ("c", 1, 2, 1, 0, "Actual test result"), ("c", 1, 2, 2, 0, "odd")]
+    df = spark.createDataFrame(cells, "report_id string, page_no int, table_no int, row_no int, col_no int, cell string")
+    gathered, gather = [], R.rows_of
+    monkeypatch.setattr(R, "rows_of", lambda c: gathered.append(c.count()) or gather(c))
+    found = {r["report_id"]: (r["overview"], r["status"]) for r in R.status_overview(df, df).collect()}
+    assert found == {"a": ("valid", "Passed"), "b": ("missing", None), "c": ("invalid", "odd")}
+    assert gathered == [len(cells) - 1]
