@@ -23,6 +23,7 @@ not. A table without rows gives none.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -91,7 +92,8 @@ class Classifier:
         return total + self.bias
 
     def score(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(found, counts), -40, 40)))
+        # numpy's exp over arrays differs in the last bit between processors
+        return np.array([1 / (1 + math.exp(-z)) for z in np.clip(self.logits(found, counts), -40, 40).tolist()], dtype=np.float64)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
