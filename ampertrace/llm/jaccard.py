@@ -12,7 +12,8 @@ thin. That loses nothing where one of two sets has t thin parts or fewer: some a
 more of them signs another partition of the domain as well, where the same holds, up to ``SEEDS`` of them; if it is unlucky in all, it
 signs its empty subsets too.
 
-Equal sets are one class. Classes that share a signature are candidates. Components, not pairs, are asked for, so:
+Equal sets are one class, signed from the row that stands for it; a filter of those rows keeps most other rows from being signed again.
+Classes that share a signature are candidates. Components, not pairs, are asked for, so:
 
 1. The least class of a signature is its centre. Each class is tested against the centre with which it shares most signatures.
 2. Rounds: a signature whose classes lie in one component, or in which no pair across components can be similar, is settled. The
@@ -65,6 +66,10 @@ TESTED_BYTES = 6
 COMPARED = 1 << 14
 #: classes of one signature in a block, about
 BLOCK = 4096
+#: bits of the filter of rows that stand for classes: so many for each class, and in all at most
+ROW_BITS, MOST_BITS = 8, 1 << 26
+#: places of a row in that filter
+ROW_PLACES = 3
 
 U64 = np.uint64
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -291,12 +296,36 @@ def numbered(slim: DataFrame, seed: int) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {kind}, row bigint, n_shingles bigint, cls bigint, check bigint")
 
 
-def signatures(slim: DataFrame, seed: int) -> DataFrame:
-    """``sig cls``; a task signs each class once."""
+def row_filter(classes: DataFrame) -> np.ndarray:
+    """A Bloom filter, as words of 64 bits, of the rows of the classes (``cls row``); the driver holds no more than its bits."""
+    bits = min(MOST_BITS, max(64, 1 << (ROW_BITS * classes.count() - 1).bit_length()))
+    places = F.array(*[F.expr(f"((row & 4294967295L) + {k}L * (shiftrightunsigned(row, 32) | 1L)) & {bits - 1}L") for k in range(ROW_PLACES)])
+    words = classes.select(F.explode(places).alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63L as int))")).alias("set")
+    ).toArrow()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
+    return out
+
+
+def may_stand(rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which rows may be in the filter: all that are, and a few others."""
+    r = rows.view(np.uint64)
+    good = np.ones(len(r), dtype=bool)
+    for k in range(ROW_PLACES):
+        p = ((r & U64(0xFFFFFFFF)) + U64(k) * ((r >> U64(32)) | U64(1))) & U64(64 * len(words) - 1)
+        good &= (words[p >> U64(6)] >> (p & U64(63))) & U64(1) == 1
+    return good
+
+
+def signatures(slim: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
+    """``sig cls`` of the classes (``cls row``). A class is signed from its row, and seldom from others too; a task signs it once."""
+    standing = slim.sparkSession.sparkContext.broadcast(row_filter(classes))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for _, texts in blocks(batches, "_t"):
+        needed = (b.filter(pa.array(may_stand(b.column("row").to_numpy(), standing.value))) for b in batches)
+        for _, texts in blocks(needed, "_t"):
             elements, sizes = shingle_sets(texts)
             cls = class_numbers(elements, sizes, seed)[0]
             new = []
@@ -314,7 +343,7 @@ def signatures(slim: DataFrame, seed: int) -> DataFrame:
                     sig, of = sign(elements[chosen[owner]], sizes[own], np.array([bands[i][turn] for i in own.tolist()]), 0)
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cls[own][of])], names=["sig", "cls"])
 
-    return slim.select("_t").mapInArrow(run, "sig bigint, cls bigint")
+    return slim.select("row", "_t").mapInArrow(run, "sig bigint, cls bigint")
 
 
 def shared(signed: DataFrame) -> DataFrame:
@@ -586,7 +615,7 @@ def joined_by(found: DataFrame, named: DataFrame) -> DataFrame:
 
 def class_components(slim: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     """``cls grp``: the component of each class (``cls row``) that shares a signature with another."""
-    groups = cut_lineage(shared(signatures(slim, seed)))
+    groups = cut_lineage(shared(signatures(slim, classes, seed)))
     members = groups.select("sig", "cls").unionByName(groups.select("sig", F.col("centre").alias("cls")).distinct())
     sets = cut_lineage(sketches(slim, cut_lineage(classes.join(members.select("cls").distinct(), "cls").select("cls", "row")), seed))
     # a class whose row is there twice may be there twice

@@ -210,6 +210,19 @@ def near_texts(rng):
     return texts
 
 
+def test_copies_are_not_signed_again(spark):
+    texts = [" ".join(f"w{(7 * i + j) % 50}x{i}" for j in range(40)) for i in range(20)]
+    slim = spark.createDataFrame([(1000 * i + k, t) for i, t in enumerate(texts) for k in range(8)], "row bigint, _t string").repartition(4)
+    classes = jaccard.numbered(slim.withColumn("doc_id", slim.row), 0).groupBy("cls").agg({"row": "min"}).toDF("cls", "row")
+    signed = jaccard.signatures(slim, classes, 0)
+    # each class is signed from its own row; the filter may let a few others through
+    assert signed.select("cls").distinct().count() == 20
+    assert signed.count() <= 1.2 * signed.distinct().count()
+    rows = np.array([-(2**63), -1, 0, 5, 2**63 - 1])
+    words = jaccard.row_filter(spark.createDataFrame([(1, r) for r in rows.tolist()], "cls bigint, row bigint"))
+    assert jaccard.may_stand(rows, words).all()
+
+
 def test_signatures_of_many_sets_are_those_of_each():
     rng = np.random.default_rng(17)
     sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (4, 5, 9, 40, 300, 7, 4)]
