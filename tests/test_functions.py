@@ -9,7 +9,7 @@ from ampertrace.functions import names, payload, privacy, standards
 from ampertrace.operators import benchmark, people, privacy as privacy_ops, reports
 from ampertrace.operators.filters import candidate_flag
 from ampertrace.sources import snapshots, tables, telemetry
-from ampertrace.sources.html import parse_items
+from ampertrace.sources.html import _Tables, parse_items
 
 
 def values(spark, column, inputs):
@@ -166,6 +166,21 @@ def test_masking_is_idempotent_and_handles_clients(spark):
         privacy_ops.select_pages(pages, "1-9", total=6)
 
 
+def test_plain_pages_are_read_like_by_the_general_parser():
+    page = "<p>x</p><table><TR Class=\"a b=c\" nowrap><td title='t &lt; u'  href=\"/a?b=1&amp;c\"> R&D &amp; &copy <a href='..//y'>z</a></td ><th\n>1 > 0</th></tr></table>"
+    pieces = ["", " &", "<", "<br/>", "<!-- <td> -->", "<script>if (a<td)</script>", "<td a=b>", "<td a='x'b='y'>", "<td\xa0x='1'>", "</ td>", "<title><td></title>", "<td\x0ba='1'>"]
+    for piece in pieces:
+        for text in (page + piece, page.replace("z", piece), page.replace("1 >", f"{piece}1")):
+            fast, general = _Tables(), _Tables()
+            fast.read(text)
+            general.feed(text)
+            assert fast.tables == general.tables, text
+    plain = _Tables()
+    plain.feed = None  # not needed for plain pages
+    plain.read(page)
+    assert plain.tables == [[("", [["td", ["R&D & ©", "z"], "..//y"], ["th", ["1 > 0"], ""]])]]
+
+
 def test_html_tables():
     head = "".join(f"<th>{h}</th>" for h in ("Project", "Type", "Owner", "Creator", "Work Item ID", "Work Item"))
     row = "<td>P</td><td>Defect</td><td>A</td><td>B</td><td>7</td><td><a href='../x'>Text &amp; more</a></td>"
