@@ -324,3 +324,56 @@ def test_only_tables_with_an_overview_are_gathered(spark, monkeypatch):
     found = {r["report_id"]: (r["overview"], r["status"]) for r in R.status_overview(df, df).collect()}
     assert found == {"a": ("valid", "Passed"), "b": ("missing", None), "c": ("invalid", "odd")}
     assert gathered == [len(cells) - 1]
+
+
+CELL_SCHEMA = "report_id string, page_no int, table_no int, row_no int, col_no int, cell string"
+
+
+def test_steps_and_defect_pages_gather_cells_once(spark, tmp_path, monkeypatch):
+    from ampertrace.operators import reports as R
+    from checks.registry import QUERIES
+
+    spark.sql(
+        "select cast(1 as bigint) as l_orderkey, cast(id as bigint) as l_partkey, cast(id as bigint) as l_suppkey, cast(id as int) as l_linenumber, "
+        "1d as l_quantity, 1d as l_extendedprice, 0d as l_discount, 0d as l_tax, 'A' as l_returnflag, 'O' as l_linestatus, "
+        "timestamp '1996-01-01' as l_shipdate from range(1, 5)"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    gathered, gather = [], R.rows_of
+    monkeypatch.setattr(R, "rows_of", lambda c: gathered.append(1) or gather(c))
+    found = QUERIES["j17_misplaced_defects"](spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [(1, 2, "after_good_result", 1, "Passed")]
+    assert len(gathered) == 1
+    # the pages are read more than once
+    pages = R.defect_pages(spark.createDataFrame([("r", 1, 1, 0, 0, " Defect ID"), ("r", 1, 1, 0, 1, ""), ("r", 2, 1, 0, 0, "x"), ("r", 2, 1, 0, 1, "defect id")], CELL_SCHEMA))
+    assert "Exchange" not in pages._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in pages.collect()] == [("r", 1)]
+
+
+def test_marked_rows_are_steps_or_begin_with_a_defect_id(spark):
+    from ampertrace.operators import reports as R
+
+    cells = [("r", 1, 1, 0, 0, "1"), ("r", 1, 1, 0, 1, "Passed"), ("r", 1, 2, 0, 0, "Passed"), ("r", 1, 3, 0, 0, "defect id 1"), ("r", 1, 3, 0, 1, "2"), ("r", 1, 3, 0, 2, "failed")]
+    # of two cells in one place the lesser comes first, a null before it
+    cells += [("r", 2, 1, 0, 0, "Defect ID"), ("r", 2, 1, 0, 0, "A"), ("r", 2, 2, 0, 0, "3"), ("r", 2, 2, 0, 0, None), ("r", 2, 2, 0, 0, "+"), ("r", 2, 2, 0, 1, "Passed"), (None, None, 1, 0, 0, "defect id")]
+    df = spark.createDataFrame(cells, CELL_SCHEMA)
+    marked = R.marked_rows(df)
+    for found in (marked, df):
+        steps = R.extract_steps(found)
+        assert steps.columns == ["report_id", "page_no", "table_no", "row_no", "result", "step_no"]
+        assert {tuple(r) for r in steps.collect()} == {("r", 1, 1, 0, "Passed", "1"), ("r", 1, 3, 0, "Failed", "2")}
+        assert {tuple(r) for r in R.defect_pages(found).collect()} == {("r", 1), (None, None)}
+
+
+def test_pages_find_the_latest_page_over_slots(spark):
+    from pyspark.sql import functions as F
+
+    from ampertrace.operators import reports as R
+
+    marks = [("a", 3, "x", 2), ("a", 3, "y", 1), ("a", 60, None, 1), ("a", 120, "z", None), ("a", 130, "w", 5), ("b", None, "n", 1), ("b", 200, "m", 1), (None, 1, "k", 1)]
+    pages = [("a", 2), ("a", 3), ("a", 49), ("a", 50), ("a", 60), ("a", 120), ("a", 500), ("a", None), ("b", 1), ("b", 199), ("b", 200), ("c", 1), (None, 1)]
+    left = spark.createDataFrame([(*p, i) for i, p in enumerate(pages * 2)], "report_id string, page_no int, n int")
+    right = spark.createDataFrame(marks, "report_id string, page_no int, v string, t int")
+    found = R.asof_page(left, right, F.col("v"), F.col("t"), "v")
+    assert found.columns == ["report_id", "page_no", "n", "v"]
+    wanted = [None, "y", "y", "y", "y", "y", "w", None, "n", "n", "m", None, None] * 2
+    assert [r["v"] for r in found.orderBy("n").collect()] == wanted
