@@ -331,15 +331,17 @@ CELL_SCHEMA = "report_id string, page_no int, table_no int, row_no int, col_no i
 
 def test_steps_and_defect_pages_gather_cells_once(spark, tmp_path, monkeypatch):
     from ampertrace.operators import reports as R
+    from checks import load_queries
     from checks.registry import QUERIES
 
+    load_queries()
     spark.sql(
         "select cast(1 as bigint) as l_orderkey, cast(id as bigint) as l_partkey, cast(id as bigint) as l_suppkey, cast(id as int) as l_linenumber, "
         "1d as l_quantity, 1d as l_extendedprice, 0d as l_discount, 0d as l_tax, 'A' as l_returnflag, 'O' as l_linestatus, "
         "timestamp '1996-01-01' as l_shipdate from range(1, 5)"
     ).write.parquet(f"{tmp_path}/lineitem.parquet")
     gathered, gather = [], R.rows_of
-    monkeypatch.setattr(R, "rows_of", lambda c: gathered.append(1) or gather(c))
+    monkeypatch.setattr(R, "rows_of", lambda *a: gathered.append(1) or gather(*a))
     found = QUERIES["j17_misplaced_defects"](spark, str(tmp_path))
     assert [tuple(r) for r in found.collect()] == [(1, 2, "after_good_result", 1, "Passed")]
     assert len(gathered) == 1
