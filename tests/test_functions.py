@@ -379,3 +379,24 @@ def test_pages_find_the_latest_page_over_slots(spark):
     assert found.columns == ["report_id", "page_no", "n", "v"]
     wanted = [None, "y", "y", "y", "y", "y", "w", None, "n", "n", "m", None, None] * 2
     assert [r["v"] for r in found.orderBy("n").collect()] == wanted
+
+
+def test_pages_failed_in_tables_are_gathered_once(spark):
+    from ampertrace.operators import reports as R
+
+    head = [("Test case result: x", "FAILED"), ("test case result", None), ("a", "test case result fail")]
+    body = [("Defect ID", ""), ("Defect ID", "D-1"), ("Defect ID", None, " \t"), (None, "Defect ID"), ("Defect ID",), ("x", "defect id"), ("\tdefect id:", " "), ("defect id", "failed", "")]
+    texts = [(h, b) for h in head for b in body]
+    cells = [("r", page, t, 0, at, cell) for page, rows in enumerate(texts) for t, row in enumerate(rows) for at, cell in enumerate(row)]
+    # of two cells in one place the lesser comes first
+    cells += [("s", 1, 0, 0, 0, "test case result failed"), ("s", 1, 1, 0, 0, "defect id"), ("s", 1, 1, 0, 0, "  ")]
+    cells += [("s", 2, 0, 0, 0, "test case result failed"), ("s", 2, 1, 0, 0, "\tdefect id"), ("s", 2, 1, 0, 0, "  "), (None, None, 1, 0, 0, "test case result failed"), (None, None, 2, 0, 0, "Defect ID"), (None, None, 2, 0, 1, "")]
+    lines = [("t", 1, 1, "TEST CASE RESULT failed"), ("t", 1, 2, "Defect ID:"), ("t", 1, 3, None), ("t", 2, 1, "test case result fail"), ("t", 2, 2, "Defect ID: D-1"), ("r", 0, 1, "Test case result: fail"), ("r", 0, 2, "defect id")]
+    lines += [("t", 3, 1, "test case result fail"), ("t", 3, 2, "x"), ("t", 3, 3, "Test Case 4"), ("t", 3, 4, "defect id"), ("t", 4, 1, "test case result fail"), ("t", 4, 2, "Test Case 4"), ("t", 4, 3, "defect id"), ("t", 4, 4, "Comments")]
+    lines += [("t", 5, 1, "test case result fail"), ("t", 5, 2, "defect id"), ("t", 5, 3, "D-1")]
+    found = R.failed_without_defect(spark.createDataFrame(cells, CELL_SCHEMA), spark.createDataFrame(lines, "report_id string, page_no int, line_no int, line string"))
+    failed, empty = (0, 2), (0, 2, 6)
+    wanted = {("r", h * len(body) + b) for h in failed for b in empty} | {("s", 2), (None, None), ("t", 1), ("t", 4)}
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, wanted))
+    # pages found in tables are written once: cells are not gathered again where they are read
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
